@@ -23,3 +23,15 @@ def url_filter(rules, listed_labels) -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule,
            CASE {verdict} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
     FROM l"""
+
+
+WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((('0x' || substr(p.h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < best THEN best END AS refers_to
+FROM p JOIN g ON p.h = g.h"""

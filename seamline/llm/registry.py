@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import oracles
-from seamline.llm.shared import table
+from seamline.llm.shared import ship, table
 from seamline.llm.url_filter import Rule
 
 URL_RULES = [
@@ -41,7 +42,35 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs.withColumn("held_out", _remainder(docs, 5) == 0)
+    model = toxicity.fit(docs.where("NOT held_out"), labels.where(_remainder(labels, 5) != 0))
+    return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import warc
+
+    got = warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_url_filter": (op2_url_filter, oracles.url_filter(URL_RULES, LISTED_LABELS)),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_language_id": (op5_language_id, None),
+    "op10_warc": (op10_warc, oracles.WARC),
 }
+QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _ALL.items()}
