@@ -35,3 +35,22 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < best THEN best END AS refers_to
 FROM p JOIN g ON p.h = g.h"""
+
+NEAR_DUP = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, md5_number(array_to_string(w[i:i + 4], ' ')) AS x
+  FROM w, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r
+  JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r
+  GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))
+), c(r, label) AS (
+  SELECT r, r FROM w UNION SELECT l.b, c.label FROM c JOIN l ON l.a = c.r
+), m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN w d ON d.r = c.label GROUP BY c.r)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w JOIN m ON m.r = w.r LEFT JOIN n ON n.r = w.r"""

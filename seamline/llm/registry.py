@@ -51,6 +51,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import warc
 
@@ -71,6 +77,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_url_filter": (op2_url_filter, oracles.url_filter(URL_RULES, LISTED_LABELS)),
     "op4_toxicity": (op4_toxicity, None),
     "op5_language_id": (op5_language_id, None),
+    "op9_near_dup": (op9_near_dup, oracles.NEAR_DUP),
     "op10_warc": (op10_warc, oracles.WARC),
 }
 QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _ALL.items()}
