@@ -51,6 +51,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import decontaminate
+
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import recurrent_lm as lm
+    from seamline.llm.shared import written
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", _remainder(docs, 7) == 2)
+    training = docs.where("NOT held_out").select("text")
+    counts = written(lm.count_tokens(training), "counts")
+    return lm.score(docs, lm.fit(training, counts), counts, ["doc_id", "held_out"])
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import near_dup
 
@@ -77,6 +94,8 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_url_filter": (op2_url_filter, oracles.url_filter(URL_RULES, LISTED_LABELS)),
     "op4_toxicity": (op4_toxicity, None),
     "op5_language_id": (op5_language_id, None),
+    "op7_decontaminate": (op7_decontaminate, None),
+    "op8_recurrent_lm": (op8_recurrent_lm, None),
     "op9_near_dup": (op9_near_dup, oracles.NEAR_DUP),
     "op10_warc": (op10_warc, oracles.WARC),
 }
