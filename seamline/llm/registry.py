@@ -51,6 +51,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import piece_codec
+
+    return piece_codec.encode_column(table(spark, sf_dir, "documents"), piece_codec.default_model(), ["doc_id"])
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import decontaminate
 
@@ -94,6 +100,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_url_filter": (op2_url_filter, oracles.url_filter(URL_RULES, LISTED_LABELS)),
     "op4_toxicity": (op4_toxicity, None),
     "op5_language_id": (op5_language_id, None),
+    "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_recurrent_lm": (op8_recurrent_lm, None),
     "op9_near_dup": (op9_near_dup, oracles.NEAR_DUP),
