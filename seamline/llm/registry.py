@@ -19,6 +19,8 @@ URL_RULES = [
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 ]
+#: The key of the surrogates; a deployment sets its own.
+PII_KEY = "surrogate-key-1"
 #: Host labels that mark a listed host, wherever they stand in it.
 LISTED_LABELS = ["spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track"]
 
@@ -42,6 +44,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, ["doc_id", "held_out"])
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import pii
+
+    return pii.surrogate(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import flac
+
+    return flac.audio_features(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import toxicity
 
@@ -97,7 +111,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_pii": (op1_pii, None),
     "op2_url_filter": (op2_url_filter, oracles.url_filter(URL_RULES, LISTED_LABELS)),
+    "op3_flac": (op3_flac, None),
     "op4_toxicity": (op4_toxicity, None),
     "op5_language_id": (op5_language_id, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
