@@ -131,7 +131,8 @@ def has_letter(text: Column) -> Column:
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` plus ``lang_pred`` string, ``score`` double (cosine, 0 to 1) and ``rejected`` boolean."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_letter"))
+    source = "text" if "text" in keep else "_text"
+    chosen = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]), has_letter(F.col("text")).alias("_letter"))
     schema = T.StructType([*[chosen.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +140,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in batches:
             at, score, size = np.empty(batch.num_rows, int), np.empty(batch.num_rows), np.empty(batch.num_rows)
-            for lo, hi, raw, off in tk.column_chunks(batch, "_text"):
+            for lo, hi, raw, off in tk.column_chunks(batch, source):
                 x = features(raw, off)
                 sim = m.similarities(x)
                 size[lo:hi] = x.sum(axis=1)
                 best = sim.argmax(axis=1)
                 at[lo:hi], score[lo:hi] = m.owner[best], sim[np.arange(hi - lo), best]
-            letter = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             rejected = ~letter | (score < m.reject_below * np.minimum(1.0, size / m.reject_full))
             at[~letter], score[~letter] = len(m.languages), 0.0
             score = np.clip(score, 0.0, 1.0)

@@ -126,7 +126,11 @@ def least_estimate(threshold: float) -> float:
 
 
 def forest(sketch: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of rows whose XOR has at most ``limit`` bits."""
+    """A spanning forest of the pairs of rows whose XOR has at most ``limit`` bits.
+
+    Trees start at the first rows; with rows in node order, groups that share
+    most members give mostly the same edges.
+    """
     left = np.arange(len(sketch))
     out = []
     while len(left) > 1:
@@ -324,3 +328,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     out = sig.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of linked ones: that with the least doc_id. All columns stay; a repeated row stays once."""
+    found = written(near_duplicates(docs, percent), "near_duplicates")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
