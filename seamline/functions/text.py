@@ -98,7 +98,7 @@ def monogram(name: Column) -> Column:
 
 
 def one_decimal(x: Column) -> Column:
-    return F.format_number(F.floor(x * 10 + 0.5) / 10, "0.0")
+    return F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
 
 
 def clean_player(name: Column) -> Column:

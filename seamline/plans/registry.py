@@ -11,15 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.functions import ball
-from seamline.functions import text as tx
 from seamline.operators import aggregate as ag
 from seamline.operators import features as ft
-from seamline.operators import models as mo
 from seamline.operators import rates as ra
 from seamline.operators import results as re_
-from seamline.operators import simulate as si
 from seamline.operators import windows as wi
 from seamline.plans import views as v
+from seamline.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -309,6 +307,7 @@ def log_marginal(s: SparkSession, d: str) -> DataFrame:
 
 @query("B5_F19_concentration")
 def concentration(s: SparkSession, d: str) -> DataFrame:
+    ship(s)
     c = _counts(s, d)
     return ra.fit_concentration(c, ra.cell_stats(c))
 
@@ -455,8 +454,8 @@ def index_check(s: SparkSession, d: str) -> DataFrame:
 
 
 _POSITIONS = """
-, a AS (SELECT innings_id, batter AS player, delivery_id * 2 AS at FROM x WHERE NOT super_over UNION ALL SELECT innings_id, non_striker, delivery_id * 2 + 1 FROM x WHERE NOT super_over), f AS (SELECT innings_id, player, min(at) AS at FROM a GROUP BY ALL),
- pp AS (SELECT player, row_number() OVER (PARTITION BY innings_id ORDER BY at, player) AS place FROM f), pos AS (SELECT player, round(sum(place)::DOUBLE / count(*), 6) AS mean_position, count(*) AS innings FROM pp GROUP BY player)"""
+, a AS (SELECT innings_id, batter AS player, delivery_id * 2 AS seen FROM x WHERE NOT super_over UNION ALL SELECT innings_id, non_striker, delivery_id * 2 + 1 FROM x WHERE NOT super_over), f AS (SELECT innings_id, player, min(seen) AS seen FROM a GROUP BY ALL),
+ pp AS (SELECT player, row_number() OVER (PARTITION BY innings_id ORDER BY seen, player) AS place FROM f), pos AS (SELECT player, round(sum(place)::DOUBLE / count(*), 6) AS mean_position, count(*) AS innings FROM pp GROUP BY player)"""
 
 
 @query("W6_batting_positions", E(_POSITIONS + " SELECT * FROM pos"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from seamline.functions import ball
 
 #: The documents' fields, fixed by their format.
-MATCH = T.StructType.fromDDL(
+MATCH = (
     "meta struct<data_version: string, created: string, revision: int>, info struct<balls_per_over: int, city: string, dates: array<string>, event: struct<name: string, stage: string>, match_type: string, outcome: struct<winner: string, result: string>,"
     " registry: struct<people: map<string, string>>, season: string, teams: array<string>, toss: struct<decision: string, winner: string>, venue: string>,"
     " innings array<struct<team: string, super_over: boolean, miscounted_overs: map<string, struct<balls: int>>, target: struct<runs: int, overs: double>,"
