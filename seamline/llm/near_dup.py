@@ -254,7 +254,7 @@ def _forests(groups: DataFrame, limit: int) -> DataFrame:
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     cols = ["key", "bi", "bj"]
-    return groups.select(*cols, "node", "sketch").repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a binary, b binary")
+    return groups.select(*cols, "node", "sketch").repartition(*cols).sortWithinPartitions(*cols, "node").mapInArrow(run, "a binary, b binary")
 
 
 def _sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def _confirmed(groups: DataFrame, percent: int, limit: int) -> DataFrame:
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     cols = ["cluster", "bi", "bj"]
-    return groups.select(*cols, "node", "sketch", "shingles").repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a binary, b binary")
+    return groups.select(*cols, "node", "sketch", "shingles").repartition(*cols).sortWithinPartitions(*cols, "node").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
