@@ -364,7 +364,7 @@ def _subframes(lanes: _Lanes, pos: np.ndarray, n: np.ndarray, depth: np.ndarray)
             out[j, has] = lanes.signed(pos[has] + j * depth[has], depth[has])
         p = pos[at] + order * depth[at]
         coef, shift = np.zeros((top, len(at)), np.int64), np.zeros(len(at), np.int64)
-        for o in range(1, 5):
+        for o in range(1, min(4, top) + 1):
             mine = fixed[at] & (order == o)
             coef[:o, mine] = np.array(FIXED[o])[:, None]
         linear = np.flatnonzero(lpc[at])
