@@ -163,4 +163,4 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, substitutions: int = SU
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no passage of the benchmark was found, all columns."""
     dirty = find_overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dirty, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

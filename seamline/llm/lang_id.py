@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline.llm import textkit as tk
+from seamline.llm.shared import fresh_names
 
 BITS = 12
 DIM = 1 << BITS
@@ -107,7 +108,7 @@ def fit(labelled: DataFrame, sample_per_lang: int = 400, **options) -> Model:
     rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn languages from")
+        return Model([], np.ones(DIM, np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), 0.0, 1)
     u = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20))
     take = F.lit(False)
     for lang, n in sizes.items():
@@ -128,12 +129,17 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` plus ``lang_pred`` string, ``score`` double (cosine, 0 to 1) and ``rejected`` boolean."""
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Columns ``keep`` plus, under ``names``, the language, its score (double, cosine, 0 to 1) and whether the text is rejected.
+
+    A model that has learnt nothing calls every text ``und``, and rejects those without a letter.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = "text" if "text" in keep else "_text"
-    chosen = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]), has_letter(F.col("text")).alias("_letter"))
-    schema = T.StructType([*[chosen.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    free = fresh_names(keep, "_text", "_letter")
+    source = "text" if "text" in keep else free[0]
+    columns = [F.col(f"`{c}`") for c in keep]
+    chosen = docs.select(*columns, *([] if "text" in keep else [F.col("text").alias(free[0])]), has_letter(F.col("text")).alias(free[1]))
+    schema = T.StructType([*[chosen.schema[c] for c in keep], *[T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -148,7 +154,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 at[lo:hi], score[lo:hi] = m.owner[best], sim[np.arange(hi - lo), best]
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             rejected = ~letter | (score < m.reject_below * np.minimum(1.0, size / m.reject_full))
-            at[~letter], score[~letter] = len(m.languages), 0.0
+            unknown = ~letter if m.languages else np.full(len(letter), True)
+            at[unknown], score[unknown] = len(m.languages), 0.0
             score = np.clip(score, 0.0, 1.0)
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(names[at], pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 

@@ -334,9 +334,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of linked ones: that with the least doc_id. All columns stay; a repeated row stays once."""
     found = written(near_duplicates(docs, percent), "near_duplicates")
     gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     twice = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     if twice.isEmpty():
         return left
-    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    once = left.join(twice, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seamline.session import ship  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The URI in ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
@@ -33,23 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a context, so that their Python finds it wherever it is installed."""
-    import os
-    import zipfile
-
-    import seamline
-
-    sc = spark.sparkContext
-    if getattr(sc, "_seamline_shipped", False):
-        return
-    root = os.path.dirname(seamline.__file__)
-    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "seamline_src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("seamline", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._seamline_shipped = True
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores in front of those that are taken."""
+    used = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = "_" + n
+        used.add(n.lower())
+        out.append(n)
+    return out

@@ -48,7 +48,7 @@ class Model:
         at = feature >= 0
         pair = np.unique(row[at] * len(self.weight) + feature[at])
         z = np.bincount(pair // len(self.weight), self.weight[pair % len(self.weight)], n) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(z < -700, 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
 def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
