@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.llm import decontaminate, lang_id, near_dup, pii, piece_codec
 from seamline.llm.registry import PII_KEY
-from seamline.llm.shared import ship, table, written
+from seamline.llm.shared import fresh_names, ship, table, written
 
 NEAR_PERCENT = 80
 
@@ -15,10 +15,10 @@ NEAR_PERCENT = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the identifier rejects; fills a missing ``lang``. With no labelled text, only texts without a letter go."""
     ship(spark)
-    if docs.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''").isEmpty():
-        return docs.where(lang_id.has_letter(F.col("text")))
-    found = lang_id.identify(docs, lang_id.fit(docs), docs.columns).where("NOT rejected")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    names = fresh_names(docs.columns, "lang_pred", "score", "rejected")
+    found = lang_id.identify(docs, lang_id.fit(docs), docs.columns, tuple(names)).where(~F.col(names[2]))
+    named = F.when(F.col(names[0]) != lang_id.UNDETERMINED, F.col(names[0]))
+    return found.withColumn("lang", F.coalesce("lang", named)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; ``n_chars`` follows the new text."""
     new = pii.surrogate(docs, PII_KEY)
-    return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
