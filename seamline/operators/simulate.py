@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions.ball import NOMINAL_RUNS
 
-OVERS, BALLS, WICKETS, CAP, MAX_DELIVERIES = 20, 120, 10, 4, 200
+OVERS, BALLS, WICKETS, CAP, MAX_DELIVERIES, MAX_ATTACKS = 20, 120, 10, 4, 200, 6
 INTENT_STRENGTH = np.array([-0.30, 0.0, 0.34])  # block, rotate, attack
 BLOCK, ROTATE, ATTACK = 0, 1, 2
 RUNS = np.array(NOMINAL_RUNS, float)
@@ -102,7 +102,7 @@ class Game:
     def __post_init__(self) -> None:
         n = len(self.keys)
         z = lambda *s: np.zeros(s or n, np.int64)
-        self.score, self.wickets, self.legal, self.over, self.deliveries = z(), z(), z(), z(), z()
+        self.score, self.wickets, self.legal, self.over, self.deliveries, self.attacks = z(), z(), z(), z(), z(), z()
         self.striker, self.other, self.next_in, self.last = z(), z() + 1, z() + 2, z() - 1
         self.bowled, self.conceded = z(n, self.bowlers), z(n, self.bowlers)
 
@@ -142,24 +142,38 @@ def play_over(g: Game, bowler: np.ndarray, intent: np.ndarray, predict: Predicto
         g.striker[swap], g.other[swap] = g.other[swap], g.striker[swap].copy()
     g.striker[start], g.other[start] = g.other[start], g.striker[start].copy()
     g.bowled[np.flatnonzero(start), bowler[start]] += 1
+    g.attacks[start & (intent == ATTACK)] += 1
     g.last[start] = bowler[start]
     g.over[start] += 1
 
 
+def intent_rules(wickets: Column, required: Column, overs_left: Column, attacks_left: Column, over: Column) -> Column:
+    """The reference batting policy: block in a collapse, attack when the budget need not be saved, the rate asks for it or the end is near."""
+    can = attacks_left > 0
+    return F.when((wickets >= 8) & (required < 12), "block").when(can & ((attacks_left >= overs_left) | (required > 9) | (over >= 15)), "attack").otherwise("rotate")
+
+
 def reference_intent(g: Game) -> np.ndarray:
-    """Rules in order: block at nine down with few needed, attack when the rate asks for it or at the end, else rotate."""
-    r, left = g.required(), BALLS - g.legal
-    return np.select([(g.wickets >= 9) & (r < 8), r >= 10.5, (left <= 30) & (r >= 8), (g.wickets >= 7) & (r < 7)], [BLOCK, ATTACK, ATTACK, BLOCK], ROTATE)
+    """``intent_rules`` for a batch."""
+    req, left, balls = g.required(), MAX_ATTACKS - g.attacks, BALLS - g.legal
+    attack = (left > 0) & ((left >= (balls + 5) // 6) | (req > 9) | (g.over >= 15))
+    return np.select([balls == 0, (g.wickets >= 8) & (req < 12), attack], [ROTATE, BLOCK, ATTACK], ROTATE)
+
+
+def needed_intent(g: Game) -> np.ndarray:
+    """Attack when the rate has climbed out of reach, block with wickets down and the rate in hand."""
+    req = g.required()
+    return np.select([(g.wickets >= 6) & (req < 11), (req > 9.5) & (g.attacks < MAX_ATTACKS), (req < 6.5) & (g.wickets >= 4)], [BLOCK, ATTACK, BLOCK], ROTATE)
 
 
 def reference_bowler(g: Game, order: np.ndarray) -> np.ndarray:
-    """The first legal bowler of ``order`` (best at the death first), the best two kept for after over 15."""
+    """The first legal bowler of ``order`` (best at the death first); before over 15 the best two only if no other is legal."""
     ok = legal_bowlers(g.bowled, g.last, g.over)
     k = g.bowlers
     rank = np.empty(k, int)
     rank[order] = np.arange(k)
-    late = g.over >= 16
-    cost = np.where(late[:, None], rank[None, :], np.where(rank[None, :] < 2, 100 + rank[None, :], rank[None, :] + g.bowled * k))
+    early = g.over < 15
+    cost = rank[None, :] + np.where(early[:, None] & (rank[None, :] < 2), 100, 0)
     cost = np.where(ok, cost, 10_000)
     return cost.argmin(axis=1)
 
@@ -171,15 +185,16 @@ def policy_bowler(g: Game, name: str, expected: np.ndarray) -> np.ndarray:
         return np.argmax(ok, axis=1)
     cost = np.broadcast_to(expected if name != "worst" else -expected, ok.shape).astype(float)
     if name == "save_best":
-        cost = cost + np.where((np.argsort(np.argsort(expected)) < 2)[None, :] & (g.over < 16)[:, None], 100.0, 0.0)
+        cost = cost + np.where((np.argsort(np.argsort(expected)) < 2)[None, :] & (g.over < 15)[:, None], 100.0, 0.0)
     return np.where(ok, cost, 1e9).argmin(axis=1)
 
 
 CHASES: dict[str, Callable[[Game], np.ndarray]] = {
     "never": lambda g: np.full(len(g.keys), ROTATE),
-    "early": lambda g: np.where(g.over < 6, ATTACK, ROTATE),
-    "late": lambda g: np.where(g.over >= 15, ATTACK, ROTATE),
-    "needed": reference_intent,
+    "early": lambda g: np.where(g.over < MAX_ATTACKS, ATTACK, ROTATE),
+    "late": lambda g: np.where(g.over >= OVERS - MAX_ATTACKS, ATTACK, ROTATE),
+    "needed": needed_intent,
+    "reference": reference_intent,
 }
 
 
@@ -197,6 +212,8 @@ def one_ply_intent(g: Game, bowler: np.ndarray, predict: Predictor) -> np.ndarra
     for i in (BLOCK, ROTATE, ATTACK):
         q = with_intent(p, np.full(len(p), i), req)
         wp = win_probability(g.target - g.score - 6 * (q @ RUNS), BALLS - g.legal - 6, WICKETS - g.wickets - 6 * q[:, 6])
+        if i == ATTACK:
+            wp = np.where(g.attacks < MAX_ATTACKS, wp, -1.0)
         out = np.where(wp > best, i, out)
         best = np.maximum(best, wp)
     return out
@@ -223,7 +240,7 @@ class Candidate:
         return np.argsort(np.array(self.probabilities) @ RUNS, kind="stable")
 
 
-def play_games(keys: list[str], target: np.ndarray, cand: Candidate, policy: str = "reference", chase: str = "needed") -> dict[str, np.ndarray]:
+def play_games(keys: list[str], target: np.ndarray, cand: Candidate, policy: str = "reference", chase: str = "reference") -> dict[str, np.ndarray]:
     g = Game(keys, np.asarray(target), len(cand.probabilities))
     predict, order, expected = cand.predictor(), cand.order(), np.array(cand.probabilities) @ RUNS
     spread, n = np.zeros(len(keys)), np.zeros(len(keys))
@@ -242,7 +259,7 @@ def play_games(keys: list[str], target: np.ndarray, cand: Candidate, policy: str
     return {"score": g.score, "wickets": g.wickets, "legal": g.legal, "chased": (g.score >= g.target).astype(int), "spread": spread, "spread_n": n}
 
 
-def monte_carlo(spark: SparkSession, cand: Candidate, targets: list[int], games: int, key: str, policies: list[str] = ["reference"], chases: list[str] = ["needed"]) -> DataFrame:  # noqa: B006
+def monte_carlo(spark: SparkSession, cand: Candidate, targets: list[int], games: int, key: str, policies: list[str] = ["reference"], chases: list[str] = ["reference"]) -> DataFrame:  # noqa: B006
     """A row a game of every target, policy and chase: all of them in one job."""
     grid = spark.range(games).withColumnRenamed("id", "game").crossJoin(spark.createDataFrame([(t, p, c) for t in targets for p in policies for c in chases], "target int, policy string, chase string"))
     held = spark.sparkContext.broadcast(cand)
@@ -269,7 +286,7 @@ def judged(evaluations: DataFrame) -> DataFrame:
     """Adds rejections (all of them, joined), accepted and score to (defend_rate, chase_rate, spread)."""
     band = lambda c, name: F.when(~F.col(c).between(0.35, 0.65), F.lit(f"{name} out of band"))
     why = F.concat_ws("; ", band("defend_rate", "defence"), band("chase_rate", "chase"), F.when(F.col("spread") < 0.018, "decisions matter too little"))
-    balance = 1 - F.abs(F.col("defend_rate") - 0.5) - F.abs(F.col("chase_rate") - 0.5)
+    balance = 1 - (F.abs(F.col("defend_rate") - 0.5) + F.abs(F.col("chase_rate") - 0.5)) / 2
     return evaluations.withColumn("rejections", why).withColumn("accepted", why == "").withColumn("rank_score", F.round(10 * F.col("spread") + balance, 6))
 
 

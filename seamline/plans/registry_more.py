@@ -391,22 +391,23 @@ def decisions(s: SparkSession, d: str) -> DataFrame:
     return si.decision_values(o)
 
 
-@query("M15_reference_intents", "SELECT w::BIGINT AS wickets, r::BIGINT AS rate, b::BIGINT AS balls_left, CASE WHEN w >= 9 AND r < 8 THEN 'block' WHEN r >= 10.5 THEN 'attack' WHEN b <= 30 AND r >= 8 THEN 'attack' WHEN w >= 7 AND r < 7 THEN 'block' ELSE 'rotate' END AS intent FROM range(10) a(w), range(2, 15) c(r), range(10, 121, 10) e(b)")
+@query("M15_reference_intents", "SELECT w::BIGINT AS wickets, r::BIGINT AS rate, o::BIGINT AS over, a::BIGINT AS attacks_left, CASE WHEN w >= 8 AND r < 12 THEN 'block' WHEN a > 0 AND (a >= 20 - o OR r > 9 OR o >= 15) THEN 'attack' ELSE 'rotate' END AS intent FROM range(10) t1(w), range(2, 15) t2(r), range(20) t3(o), range(7) t4(a)")
 def reference_intents(s: SparkSession, d: str) -> DataFrame:
-    g = s.range(10).withColumnRenamed("id", "wickets").crossJoin(s.range(2, 15).withColumnRenamed("id", "rate")).crossJoin(s.range(10, 121, 10).withColumnRenamed("id", "balls_left"))
-    w, r, b = F.col("wickets"), F.col("rate"), F.col("balls_left")
-    return g.withColumn("intent", F.when((w >= 9) & (r < 8), "block").when(r >= 10.5, "attack").when((b <= 30) & (r >= 8), "attack").when((w >= 7) & (r < 7), "block").otherwise("rotate"))
+    g = s.range(10).withColumnRenamed("id", "wickets")
+    for name, grid in (("rate", s.range(2, 15)), ("over", s.range(20)), ("attacks_left", s.range(7))):
+        g = g.crossJoin(grid.withColumnRenamed("id", name))  # a fixed grid
+    return g.withColumn("intent", si.intent_rules(F.col("wickets"), F.col("rate"), F.lit(20) - F.col("over"), F.col("attacks_left"), F.col("over")))
 
 
 JUDGED = [(1, 0.50, 0.48, 0.022), (2, 0.35, 0.65, 0.018), (3, 0.80, 0.50, 0.022), (4, 0.50, 0.85, 0.022), (5, 0.50, 0.50, 0.004), (6, 0.9, 0.1, 0.0)]
 
 
-@query("M19_K7_judge", _values(JUDGED, "attempt, defend_rate, chase_rate, spread").replace("SELECT *", "SELECT attempt, concat_ws('; ', CASE WHEN defend_rate NOT BETWEEN 0.35 AND 0.65 THEN 'defence out of band' END, CASE WHEN chase_rate NOT BETWEEN 0.35 AND 0.65 THEN 'chase out of band' END, CASE WHEN spread < 0.018 THEN 'decisions matter too little' END) AS rejections, round((10 * spread + 1 - abs(defend_rate - 0.5) - abs(chase_rate - 0.5))::DOUBLE, 6) AS rank_score"))
+@query("M19_K7_judge", _values(JUDGED, "attempt, defend_rate, chase_rate, spread").replace("SELECT *", "SELECT attempt, concat_ws('; ', CASE WHEN defend_rate NOT BETWEEN 0.35 AND 0.65 THEN 'defence out of band' END, CASE WHEN chase_rate NOT BETWEEN 0.35 AND 0.65 THEN 'chase out of band' END, CASE WHEN spread < 0.018 THEN 'decisions matter too little' END) AS rejections, round((10 * spread + 1 - (abs(defend_rate - 0.5) + abs(chase_rate - 0.5)) / 2)::DOUBLE, 6) AS rank_score"))
 def judge(s: SparkSession, d: str) -> DataFrame:
     return si.judged(_rows(s, JUDGED, "attempt int, defend_rate double, chase_rate double, spread double")).select("attempt", "rejections", "rank_score")
 
 
-@query("K7_best_accepted", "SELECT '2024-01-01' AS date, 2 AS attempt, 1.18::DOUBLE AS rank_score")
+@query("K7_best_accepted", "SELECT '2024-01-01' AS date, 3 AS attempt, 1.2::DOUBLE AS rank_score")
 def best(s: SparkSession, d: str) -> DataFrame:
     rows = [("2024-01-01", 1, 0.4, 0.5, 0.02), ("2024-01-01", 2, 0.5, 0.5, 0.018), ("2024-01-01", 3, 0.4, 0.4, 0.03), ("2024-01-01", 4, 0.5, 0.5, 0.5), ("2024-01-01", 5, 0.9, 0.5, 0.5)]
     return si.best_accepted(si.judged(_rows(s, rows, "date string, attempt int, defend_rate double, chase_rate double, spread double"))).withColumn("rank_score", F.round("rank_score", 6))
