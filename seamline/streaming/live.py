@@ -16,8 +16,11 @@ SILENCE_MS = 6 * 3600 * 1000
 OUT = "innings_id long, delivery_id long, score_before long, wickets_before long, legal_before long"
 
 
-def running_state_stream(balls: DataFrame) -> DataFrame:
-    """(innings_id, delivery_id, score_before, wickets_before, legal_before) of classified balls with a timestamp ``ts``; ordered within each trigger, repeats dropped."""
+def running_state_stream(balls: DataFrame, silence_ms: int | None = SILENCE_MS) -> DataFrame:
+    """(innings_id, delivery_id, score_before, wickets_before, legal_before) of classified balls; ordered within each trigger, repeats dropped.
+
+    ``silence_ms`` None keeps state for ever; a query with a time-out never ends by itself.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def fold(key, batches: Iterator, state):
@@ -35,10 +38,11 @@ def running_state_stream(balls: DataFrame) -> DataFrame:
             out.append((key[0], d, score, wickets, legal))
             last, score, wickets, legal = int(d), score + int(total), wickets + int(costs), legal + int(ok)
         state.update((last, score, wickets, legal))
-        state.setTimeoutDuration(SILENCE_MS)
+        if silence_ms is not None:
+            state.setTimeoutDuration(silence_ms)
         yield pd.DataFrame(out, columns=["innings_id", "delivery_id", "score_before", "wickets_before", "legal_before"])
 
-    return balls.select("innings_id", "delivery_id", "total", "costs", "legal").groupBy("innings_id").applyInPandasWithState(fold, OUT, "last long, score long, wickets long, legal long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return balls.select("innings_id", "delivery_id", "total", "costs", "legal").groupBy("innings_id").applyInPandasWithState(fold, OUT, "last long, score long, wickets long, legal long", "append", GroupStateTimeout.NoTimeout if silence_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_runs(balls: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:

@@ -90,9 +90,8 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate((x.where(F.col("delivery_id") <= half), x.where(F.col("delivery_id") > half - 20))):  # with repeats
         part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = live.running_state_stream(stream).writeStream.format("memory").queryName("running").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = live.running_state_stream(stream, None).writeStream.format("memory").queryName("running").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
     want = wi.running_state(ex(spark, "/root/testdata/sf0.001")).select("innings_id", "delivery_id", "score_before", "wickets_before", "legal_before")
     got = spark.table("running")
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
