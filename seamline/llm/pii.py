@@ -152,7 +152,9 @@ def _proposal(key: str) -> Column:
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate) for distinct entities (kind, form), without collisions."""
     real = entities.select("kind", F.col("form").alias("_s"))
-    open_, settled = entities.select("kind", "form"), None
+    # the hashing costs far more than the bytes tell, so the rows are dealt out by number, not by size
+    spread = 2 * entities.sparkSession.sparkContext.defaultParallelism
+    open_, settled = entities.select("kind", "form").repartition(spread, "kind", "form"), None
     for attempt in range(MAX_ATTEMPTS):
         tried = open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _proposal(key)).withColumn("_s", F.lower("surrogate"))
         tried = tried.join(real.withColumn("_taken", F.lit(True)), ["kind", "_s"], "left")
