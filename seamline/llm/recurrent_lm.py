@@ -7,10 +7,14 @@ them has probability P(unknown | state) * (c + 1) / (N' + V' + 1) with the
 counts of the words outside the vocabulary. The output softmax is factored:
 P(class | state) * P(token | class, state), classes by frequency rank.
 
-The network is fitted on a bounded sample (``sample_texts`` training texts by a
-hash of the text, ``updates`` steps of truncated backpropagation whose state is
-carried from window to window and reset after an end); the counts and the
-scores cover whole texts of all rows. Scoring runs all texts of a chunk in step,
+The network learns from every training row. It starts from ``sample_texts``
+distinct texts (those with the least hashes, ``updates`` steps on the driver);
+then each training row is learned from in one of ``rounds`` rounds: a task goes
+through its rows of the round by truncated backpropagation, whose state is
+carried from window to window and reset after an end, and the tasks' weights
+are averaged by their tokens before the next round. What a task holds is a
+chunk of texts and the weights, what the driver holds is the weights. Counts
+and scores cover whole texts of all rows. Scoring runs all texts of a chunk in step,
 window by window, and carries each text's state, so a long text needs no more
 memory than its tokens. Null and empty texts are the single end token.
 """
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ END = np.uint64(0xE4D0F7E87)
 #: Tokens of a scoring window over all its texts, and bounds of its length: few long texts get long windows.
 WINDOW_TOKENS, WINDOW_LEAST, WINDOW_MOST = 1 << 16, 64, 4096
 SCORE_BYTES = 4 << 20
+#: Text of a training chunk, its lanes, and tokens of a lane at least; the weights are summed up in so many parts.
+TRAIN_BYTES, TRAIN_LANES, LANE_TOKENS, SUM_PARTS = 4 << 20, 512, 1024, 16
 
 
 def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +67,9 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+WEIGHTS = ("x", "u", "wc", "bc", "wt", "bt")
+
+
 @dataclass
 class Net:
     """Parameters; ``size`` tokens in classes of ``per_class``."""
@@ -79,7 +88,7 @@ class Net:
         return len(self.u)
 
     def params(self) -> list[np.ndarray]:
-        return [self.x, self.u, self.wc, self.bc, self.wt, self.bt]
+        return [getattr(self, f) for f in WEIGHTS]
 
 
 def new_net(counts: np.ndarray, per_class: int, hidden: int, seed: int = 3) -> Net:
@@ -127,6 +136,19 @@ def log_prob(net: Net, h: np.ndarray, token: np.ndarray) -> np.ndarray:
     return out
 
 
+def _loss(a: np.ndarray, target: np.ndarray, m: int) -> tuple[float, np.ndarray]:
+    """Summed loss of the logits ``a``, which are used up, and its gradient over ``m``."""
+    rows = np.arange(len(a))
+    a -= a.max(axis=1, keepdims=True)
+    hit = a[rows, target]
+    d = np.exp(a, out=a)
+    s = d.sum(axis=1)
+    d /= s[:, None]
+    d[rows, target] -= 1
+    d /= m
+    return float((np.log(s) - hit).sum()), d
+
+
 def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
     """Mean loss, gradients and last states of a window: tokens (steps, lanes); ``fresh`` marks a text's first token."""
     steps, lanes = tokens.shape
@@ -140,22 +162,16 @@ def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> t
     flat, tok = states.reshape(-1, k), tokens.ravel()
     cls, within = tok // net.per_class, tok % net.per_class
     m = len(tok)
-    lp = _log_softmax(flat @ net.wc + net.bc)
-    loss = -lp[np.arange(m), cls].sum()
-    d = np.exp(lp)
-    d[np.arange(m), cls] -= 1
-    d /= m
+    loss, d = _loss(flat @ net.wc + net.bc, cls, m)
     g_wc, g_bc, dh_out = flat.T @ d, d.sum(axis=0), d @ net.wc.T
     g_wt, g_bt = np.zeros_like(net.wt), np.zeros_like(net.bt)
     for c in range(classes):
         at = np.flatnonzero(cls == c)
         if len(at):
-            lp = _log_softmax(flat[at] @ net.wt[c] + net.bt[c])
-            loss -= lp[np.arange(len(at)), within[at]].sum()
-            d = np.exp(lp)
-            d[np.arange(len(at)), within[at]] -= 1
-            d /= m
-            g_wt[c], g_bt[c] = flat[at].T @ d, d.sum(axis=0)
+            part = flat[at]
+            more, d = _loss(part @ net.wt[c] + net.bt[c], within[at], m)
+            loss += more
+            g_wt[c], g_bt[c] = part.T @ d, d.sum(axis=0)
             dh_out[at] += d @ net.wt[c].T
     dh_out = dh_out.reshape(steps, lanes, k)
     g_u, dgate = np.zeros_like(net.u), np.empty((steps, lanes, 3 * k), np.float32)
@@ -171,10 +187,29 @@ def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> t
         dh = dh * z + da @ net.u.T + dh_out[t]
         dh = np.where(fresh[t][:, None], np.float32(0), dh)
     g_x = np.zeros_like(net.x)
-    np.add.at(g_x, tok, dgate.reshape(-1, 3 * k))
+    order = np.argsort(tok, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, tok[order][1:] != tok[order][:-1]])
+    g_x[tok[order][cuts]] = np.add.reduceat(dgate.reshape(-1, 3 * k)[order], cuts, axis=0)
     return loss / m, [g_x, g_u, g_wc, g_bc, g_wt, g_bt], h
 
 
+class _Adam:
+    """Steps on the parameters of ``net``, the gradient's norm cut to 1."""
+
+    def __init__(self, net: Net):
+        self.net, self.i = net, 0
+        self.m, self.v = ([np.zeros_like(p) for p in net.params()] for _ in range(2))
+
+    def step(self, grads: list[np.ndarray], rate: float) -> None:
+        self.i += 1
+        norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
+        for p, g, mi, vi in zip(self.net.params(), grads, self.m, self.v, strict=True):
+            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            mi += 0.1 * (g - mi)
+            vi += 0.01 * (g * g - vi)
+            p -= np.float32(rate) * (mi / (1 - 0.9**self.i)) / (np.sqrt(vi / (1 - 0.99**self.i)) + np.float32(1e-7))
+
+
 def train(net: Net, texts: list[np.ndarray], updates: int = 300, lanes: int = 128, steps: int = 32, rate: float = 0.01) -> Net:
     """Truncated backpropagation over ``texts`` (token ids, the end included), laid end to end in lanes."""
     if not texts:
@@ -186,23 +221,30 @@ def train(net: Net, texts: list[np.ndarray], updates: int = 300, lanes: int = 12
     steps = min(steps, max(1, len(stream) // lanes))
     length = len(stream) // lanes
     stream, fresh = stream[: lanes * length].reshape(lanes, length).T, fresh[: lanes * length].reshape(lanes, length).T
-    m, v = ([np.zeros_like(p) for p in net.params()] for _ in range(2))
+    adam = _Adam(net)
     h, at = np.zeros((lanes, net.hidden), np.float32), 0
     for i in range(1, updates + 1):
         if at + steps > length:
             h, at = np.zeros_like(h), 0
         _, grads, h = _grads(net, h, stream[at : at + steps], fresh[at : at + steps])
         at += steps
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
-        lr = rate * min(1.0, i / 20) * (1 - 0.9 * i / updates)
-        for p, g, mi, vi in zip(net.params(), grads, m, v, strict=True):
-            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            mi += 0.1 * (g - mi)
-            vi += 0.01 * (g * g - vi)
-            p -= np.float32(lr) * (mi / (1 - 0.9**i)) / (np.sqrt(vi / (1 - 0.99**i)) + np.float32(1e-7))
+        adam.step(grads, rate * min(1.0, i / 20) * (1 - 0.9 * i / updates))
     return net
 
 
+def pass_over(adam: _Adam, ids: np.ndarray, first: np.ndarray, rate: float, steps: int = 32) -> None:
+    """One pass over all tokens of a chunk of texts; its first tokens fill up the last lane."""
+    fresh = np.zeros(len(ids), bool)
+    fresh[first[:-1]] = True
+    lanes = int(np.clip(len(ids) // LANE_TOKENS, 1, TRAIN_LANES))
+    fill = -len(ids) % lanes
+    ids, fresh = (np.append(a, a[:fill]).reshape(lanes, -1).T for a in (ids, fresh))
+    h = np.zeros((lanes, adam.net.hidden), np.float32)
+    for at in range(0, len(ids), steps):
+        _, grads, h = _grads(adam.net, h, ids[at : at + steps], fresh[at : at + steps])
+        adam.step(grads, rate * min(1.0, (adam.i + 1) / 20))
+
+
 def score_texts(net: Net, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each text of a chunk, all in step, window by window with the states carried."""
     size = np.diff(first)
@@ -239,6 +281,7 @@ class Model:
     distinct: int
     other_total: int  # of words outside the network's vocabulary
     other_distinct: int
+    learned: int = 0  # tokens that the rounds over the training rows went through
 
     @property
     def unknown(self) -> int:
@@ -253,7 +296,7 @@ class Model:
         return np.where(hit, self.count[at], -1), np.where(hit, self.token[at], self.unknown)
 
 
-def fit(training: DataFrame, counts: DataFrame, vocabulary: int = 4095, frequent: int = 1 << 18, per_class: int = 64, hidden: int = 32, sample_texts: int = 1500, updates: int = 300) -> Model:
+def fit(training: DataFrame, counts: DataFrame, vocabulary: int = 4095, frequent: int = 1 << 18, per_class: int = 64, hidden: int = 32, sample_texts: int = 1500, updates: int = 300, rounds: int = 3, rate: float = 0.004) -> Model:
     """``training`` has the texts to learn from, ``counts`` is ``count_tokens`` of them, written."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums.n or 0), int(sums.v)
@@ -268,9 +311,10 @@ def fit(training: DataFrame, counts: DataFrame, vocabulary: int = 4095, frequent
     order = np.argsort(h)
     model = Model(net, h[order], c[order], token[order], total, distinct, other_total, distinct - len(inner))
 
-    n = training.count()
-    u = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 24))
-    rows = training.where(u < max(1, round(min(1.0, sample_texts / max(1, n)) * (1 << 24))))
+    # distinct texts, so that copies neither crowd in nor keep others out
+    hashed = training.select("text", F.xxhash64("text", F.lit(17)).alias("u"))
+    last = hashed.select("u").distinct().orderBy("u").limit(sample_texts).agg(F.max("u")).first()[0]
+    rows = hashed.where(F.col("u") <= F.lit(last)).groupBy("u").agg(F.first("text").alias("text"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,9 +324,50 @@ def fit(training: DataFrame, counts: DataFrame, vocabulary: int = 4095, frequent
 
     sample = sorted(rows.select("text").mapInArrow(ids, "v binary").toArrow()["v"].to_pylist(), key=lambda v: hash_order(v))
     train(net, [model.look_up(np.frombuffer(v, np.uint64))[1] for v in sample], updates)
+    for k in range(rounds):
+        model.learned += learn_round(training.where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(rounds)) == k), model, rate * (1 - k / rounds))
     return model
 
 
+def learn_round(rows: DataFrame, model: Model, rate: float) -> int:
+    """Every task learns from all its rows, starting from the network of ``model``, which then gets the average weighted by tokens; returns the tokens."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        net = replace(m.net, **{f: getattr(m.net, f).copy() for f in WEIGHTS})
+        adam, n = _Adam(net), 0
+        for batch in batches:
+            for _, _, raw, off in tk.column_chunks(batch, "text", TRAIN_BYTES):
+                h, first = token_hashes(raw, off)
+                if len(h):
+                    pass_over(adam, m.look_up(h)[1], first, rate)
+                    n += len(h)
+        if n:
+            parts = np.array_split(np.concatenate([p.ravel() for p in net.params()]), SUM_PARTS)
+            yield pa.record_batch([pa.array(range(SUM_PARTS), pa.int32()), pa.array([n] * SUM_PARTS, pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["part", "n", "w"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for part, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                had = sums.get(part, (0, 0.0))
+                sums[part] = had[0] + n, had[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
+        yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([w.tobytes() for _, w in sums.values()], pa.binary())], names=["part", "n", "w"])
+
+    # the sums of a part pass through one task, a batch at a time
+    learned = rows.select("text").mapInArrow(learn, "part int, n long, w binary").repartition(SUM_PARTS, "part")
+    got = sorted(learned.mapInArrow(add, "part int, n long, w binary").toArrow().to_pylist(), key=lambda r: r["part"])
+    held.unpersist()
+    if not got:
+        return 0
+    flat, at = np.concatenate([np.frombuffer(r["w"], np.float64) / r["n"] for r in got]).astype(np.float32), 0
+    for p in model.net.params():
+        p[...] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+    return got[0]["n"]
+
+
 def hash_order(v: bytes) -> tuple[int, bytes]:
     """An order of texts that does not follow their first words."""
     return int(tk.mix64(np.frombuffer(v, np.uint64).sum(keepdims=True))[0]), v
