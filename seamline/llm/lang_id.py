@@ -7,9 +7,9 @@ decides. A text is rejected if it has no letter, or if its cosine to that
 centroid is under ``reject_below``; as short texts have few n-grams to match,
 the limit falls in proportion for texts of under ``reject_full`` n-grams.
 
-The model is fitted on a bounded sample of labelled rows: about
-``sample_per_lang`` texts a language, chosen by a hash of the text, which is
-documented in ``fit``; predictions read every whole text. Null or empty texts
+The model is fitted on a bounded sample of labelled rows: up to
+``sample_per_lang`` distinct texts a language, chosen by a hash of the text,
+which is documented in ``fit``; predictions read every whole text. Null or empty texts
 and texts without a letter are ``und`` with score 0.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,19 +100,17 @@ def fit_vectors(counts: np.ndarray, langs: list[str], clusters: int = 4, reject_
 
 
 def fit(labelled: DataFrame, sample_per_lang: int = 400, **options) -> Model:
-    """Fits on about ``sample_per_lang`` rows (columns ``text``, ``lang``) of each language.
+    """Fits on ``sample_per_lang`` distinct texts (columns ``text``, ``lang``) of each language, or all if it has fewer.
 
-    Rows are those with the smallest hashes of their text: a hash threshold
-    from each language's count, so no row is collected that is not used.
+    They are those with the smallest hashes, and copies count once: the bound
+    holds however often a text occurs, and no language with a text drops out.
     """
     rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], np.ones(DIM, np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), 0.0, 1)
-    u = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20))
-    take = F.lit(False)
-    for lang, n in sizes.items():
-        take = take | ((F.col("lang") == lang) & (u < max(1, round(min(1.0, sample_per_lang / n) * (1 << 20)))))
+    rows = rows.withColumn("u", F.xxhash64("text", F.lit(5)))
+    # each task ranks and cuts its own part before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    least = rows.select("lang", "u").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_per_lang).select("lang", "u")
+    chosen = rows.join(F.broadcast(least), ["lang", "u"]).groupBy("lang", "u").agg(F.first("text").alias("text")).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +118,9 @@ def fit(labelled: DataFrame, sample_per_lang: int = 400, **options) -> Model:
                 x = features(raw, off).astype(np.uint32)
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "v"])
 
-    got = rows.where(take).mapInArrow(vectors, "lang string, v binary").toArrow().to_pylist()
+    got = chosen.mapInArrow(vectors, "lang string, v binary").toArrow().to_pylist()
+    if not got:
+        return Model([], np.ones(DIM, np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), 0.0, 1)
     got.sort(key=lambda r: (r["lang"], r["v"]))
     return fit_vectors(np.stack([np.frombuffer(r["v"], np.uint32) for r in got]).astype(np.float32), [r["lang"] for r in got], **options)
 

@@ -6,8 +6,8 @@ count as positives, every other text is only unlabelled, and the class prior
 ``pi`` takes the positives hidden among the unlabelled out of the negative
 risk; where the corrected risk falls below zero the step goes the other way.
 
-The fit uses a bounded sample (``max_positive``, ``max_unlabelled`` texts, by a
-hash of the text); scoring reads every whole text. Words are runs of letters,
+The fit uses a bounded sample (``max_positive``, ``max_unlabelled`` distinct texts
+at most, by a hash of the text; copies count once); scoring reads every whole text. Words are runs of letters,
 ASCII lower-cased. Null and empty texts have no words: their score is that of
 the bias alone. Without a positive example every score is 0. Repeated rows are
 scored alike.
@@ -81,21 +81,21 @@ def fit(train: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlab
     """Fits on texts of ``train`` (doc_id, text); ``labels`` (doc_id, toxic) of those rows only.
 
     The prior is the share of toxic rows among the labelled ones. Each sample
-    is bounded through a hash threshold taken from exact counts.
+    is of the distinct texts with the least hashes.
     """
     sizes = labels.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("p"), F.count("toxic").alias("n")).first()
     if not sizes.p:
         return Model(np.full(1 << BITS, -1, np.int64), np.zeros(1), -1e9)
     prior = min(0.95, sizes.p / sizes.n)
 
-    def below(column, n: int, limit: int):
-        return F.pmod(F.xxhash64(column, F.lit(9)), F.lit(1 << 24)) < max(1, round(min(1.0, limit / max(1, n)) * (1 << 24)))
+    def least(hashes: DataFrame, limit: int, flag: str) -> DataFrame:
+        return hashes.select("u").distinct().orderBy("u").limit(limit).withColumn(flag, F.lit(True))
 
-    # bounded by max_positive: a table of ids that may be sent to all tasks
-    chosen = labels.where((F.col("toxic") == 1) & below(F.col("doc_id"), sizes.p, max_positive)).select("doc_id").distinct()
-    rows = train.select("doc_id", "text").where(F.coalesce(F.col("text"), F.lit("")) != "")
-    n_rows = train.count()
-    sample = rows.withColumn("unl", below(F.col("text"), n_rows, max_unlabelled)).join(F.broadcast(chosen.withColumn("pos", F.lit(True))), "doc_id", "left").where("unl OR pos")
+    rows = train.select("doc_id", "text").where(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("u", F.xxhash64("text", F.lit(9)))
+    toxic = rows.select("doc_id", "u").join(labels.where(F.col("toxic") == 1).select("doc_id").distinct(), "doc_id")
+    # max_positive + max_unlabelled hashes at most: a table that may be sent to all tasks
+    chosen = least(toxic, max_positive, "pos").join(least(rows, max_unlabelled, "unl"), "u", "full")
+    sample = rows.join(F.broadcast(chosen), "u").groupBy("u", "pos", "unl").agg(F.first("text").alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,8 +3,6 @@
 import random
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from seamline.llm import recurrent_lm
 
