@@ -8,7 +8,8 @@ given and family name, so that "Dr Ann Lee" and "Dr Lee" stay together.
 
 A replacement is a hash of key, kind, form and attempt, shaped like the
 original: digits in the mention's own separators with the country code kept and
-a valid Luhn digit where the original has one, letters for letters, an address
+a valid Luhn digit where the original has one, letters for letters, a secret or a name in
+upper case where the mention is, an address
 under example.com/org/net, names of the title's gender in the mention's script.
 Collision checks over the whole entity table: of entities with equal
 replacements the least form keeps it, none may equal a real form of its kind or
@@ -27,16 +28,25 @@ from pyspark.sql import functions as F
 
 from seamline.llm.shared import written
 
-MALE = "Mr|Herr|Señor|Monsieur|Signor|г-н|Господин|Κύριος"
-FEMALE = "Mrs|Ms|Miss|Frau|Señora|Madame|Signora|г-жа|Госпожа|Κυρία"
-ANY = "Dr|Prof|Mx|Доктор"
+
+
+def _cased(titles: str) -> str:
+    """The titles as they are and in upper case."""
+    return f"{titles}|{titles.upper()}"
+
+
+MALE = _cased("Mr|Herr|Señor|Monsieur|Signor|г-н|Господин|Κύριος") + "|ΚΥΡΙΟΣ"
+FEMALE = _cased("Mrs|Ms|Miss|Frau|Señora|Madame|Signora|г-жа|Госпожа|Κυρία") + "|ΚΥΡΙΑ"
+ANY = _cased("Dr|Prof|Mx|Доктор")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME = r"\p{Lu}[\p{L}'-]+"
 #: Repetitions of groups are bounded everywhere: a matcher recurses on them.
 EMAIL = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,63}[0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![0-9A-Za-z])"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
+#: National numbers without brackets: one separator throughout; between spaces only where area and exchange could be dialled.
+NATIONAL = r"\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4}"
+PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)" + rf"|(?<![\d+])(?<!\d\d[ .-])(?<![02-9][.-])(?:{NATIONAL})(?![ .-]?\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 #: The look ahead fails at once at most places of a text.
@@ -51,6 +61,8 @@ SYLLABLES = {
 }
 #: Endings by script and gender; family names have none.
 ENDINGS = {"latin": {"m": "n", "f": "na", "x": "l"}, "cyrillic": {"m": "н", "f": "на", "x": "ль"}, "greek": {"m": "ς", "f": "να", "x": "λ"}}
+#: A country code stays in the text, so it stays in a number's form and surrogate too.
+COUNTRY = r"^(\+\d{1,3})(?=[ .(-])"
 MAX_ATTEMPTS = 24
 HOT_SHARE = 1000
 
@@ -108,7 +120,7 @@ def _name(h: Column, script: str, ending: str, attempt: Column) -> Column:
 def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email").when(m.rlike(f"^(?:{IP})$"), "ip").when(m.rlike(f"^(?:{CARD})$"), "card").when(m.rlike(f"^(?:{SSN})$"), "ssn")
-        .when(m.rlike(r"^[+(]"), "phone").when(m.rlike(r"^[0-9a-f]+$"), "secret").otherwise("person")
+        .when(m.rlike(rf"^[+(]|^(?:{NATIONAL})$"), "phone").when(m.rlike(r"^[0-9A-Fa-f]+$"), "secret").otherwise("person")
     )
 
 
@@ -123,7 +135,9 @@ def _parts(m: Column) -> Column:
     pair = lambda k, f: F.struct(k.alias("kind"), f.alias("form"))
     family = pair(F.concat(F.lit("family|"), script), F.lower(F.element_at(words, -1)))
     given = pair(F.concat(F.lit("given|"), gender, F.lit("|"), script), F.lower(words[0]))
-    single = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "ssn", "phone"), digits).otherwise(m)
+    country = F.regexp_extract(m, COUNTRY, 1)
+    phone = F.when(country != "", F.concat(country, F.lit(" "), F.substring(digits, F.length(country), F.length(digits)))).otherwise(digits)
+    single = F.when(kind.isin("email", "secret"), F.lower(m)).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).otherwise(m)
     return F.when((kind == "person") & (F.size(words) > 1), F.array(given, family)).when(kind == "person", F.array(family)).otherwise(F.array(pair(kind, single)))
 
 
@@ -140,8 +154,9 @@ def _proposal(key: str) -> Column:
     stem = F.substring(number, F.lit(1), F.length(number) - 1)
     check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(stem, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(_luhn_sum(form), F.lit(10)) == 0, F.concat(stem, check)).otherwise(number)
+    phone = F.concat(F.regexp_extract(form, r"^(\+\d+ )?", 0), _like(F.regexp_replace(form, r"^\+\d+ ", ""), h))
     ip = F.concat_ws(".", F.pmod(_bytes(h, 0), F.lit(223)) + 1, _bytes(h, 1), _bytes(h, 2), F.pmod(_bytes(h, 3), F.lit(254)) + 1)
-    out = F.when(kind == "email", email).when(kind == "card", card).when(kind.isin("ssn", "phone"), number).when(kind == "ip", ip).when(kind == "secret", F.substring(F.concat(h, F.sha2(h, 256)), F.lit(1), F.length(form)))
+    out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ssn", number).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "secret", F.substring(F.concat(h, F.sha2(h, 256)), F.lit(1), F.length(form)))
     for script, ends in ENDINGS.items():
         out = out.when(kind == f"family|{script}", _name(h, script, "", attempt))
         for g, end in ends.items():
@@ -176,15 +191,18 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def _applied(m: Column, kinds: Column, surrogates: Column) -> Column:
     """The text that replaces mention ``m``."""
     first = surrogates[0]
+    drawn = F.regexp_replace(first, "[^0-9]", "")
 
     def digit(i: Column) -> Column:
         c = F.substring(m, i, F.lit(1))
         k = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]") & (i > F.length(F.regexp_extract(m, r"^(\+\d{1,3})(?=[ .(-])", 1))), F.substring(first, k, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]") & (i > F.length(F.regexp_extract(m, COUNTRY, 1))), F.substring(drawn, k, F.lit(1))).otherwise(c)
 
     title = F.regexp_extract(m, rf"^((?:{MALE}|{FEMALE}|{ANY})\.? )", 1)
+    names = F.array_join(surrogates, " ")
+    upper = ~F.substring(m, F.length(title) + 1, F.length(m)).rlike(r"\p{Ll}")
     numbers = F.array_join(F.transform(_chars(m), digit), "")
-    return F.when(kinds[0].isin("card", "ssn", "phone"), numbers).when(kinds[0].rlike("[|]"), F.concat(title, F.array_join(surrogates, " "))).otherwise(first)
+    return F.when(kinds[0].isin("card", "ssn", "phone"), numbers).when(kinds[0].rlike("[|]"), F.concat(title, F.when(upper, F.upper(names)).otherwise(names))).when((kinds[0] == "secret") & m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(first)).otherwise(first)
 
 
 def surrogate(docs: DataFrame, key: str) -> DataFrame:

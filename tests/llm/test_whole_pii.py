@@ -1,0 +1,33 @@
+import re
+
+from pyspark.sql import functions as F
+
+from seamline.llm import pii
+
+
+def test_upper_case_and_plain_numbers_are_replaced(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'TOKEN = "{low.upper()}"', f"token {low}", "call 555-123-4567 or 1-555-123-4568", "555.123.4567, 555 234 5678", "ASK MR LEE. THEN DR. ANN LEE, MRS LEE; Dr Lee", "10.2.3.4 a 978-316-148 100 200 3000"]
+    out = pii.surrogate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k")
+    got = {r.doc_id: r.text for r in out.collect()}
+    upper, lower = re.fullmatch('TOKEN = "([0-9A-F]{40})"', got[0]), re.fullmatch("token ([0-9a-f]{40})", got[1])
+    assert upper[1].lower() == lower[1] != low
+    assert re.fullmatch(r"call \d{3}-\d{3}-\d{4} or 1-\d{3}-\d{3}-\d{4}", got[2]) and "555-123-4" not in got[2]
+    assert re.fullmatch(r"\d{3}\.\d{3}\.\d{4}, \d{3} \d{3} \d{4}", got[3]) and "555.123.4567" not in got[3] and "234 5678" not in got[3]
+    assert got[2].split()[1].replace("-", "") == got[3].split(",")[0].replace(".", "")
+    names = re.fullmatch(r"ASK MR ([A-Z]+)\. THEN DR\. ([A-Z]+) ([A-Z]+), MRS ([A-Z]+); Dr (\w+)", got[4])
+    assert names and names[1] == names[3] == names[4] == names[5].upper() != "LEE"
+    assert got[5].endswith(" a 978-316-148 100 200 3000") and "10.2.3.4" not in got[5]
+
+
+def test_phones_are_checked_as_written(spark, monkeypatch):
+    # only the last digit is drawn: ten numbers of a country can be told apart, and only if the written one is compared
+    like = pii._like
+    monkeypatch.setattr(pii, "_like", lambda s, h: F.concat(F.substring(like(s, h), F.lit(1), F.length(s) - 9), F.lit("23456789"), F.substring(like(s, h), -1, 1)))
+    text = " ; ".join(f"+1 (55{k}) 111-000{k}" for k in range(5))
+    out = pii.surrogate(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    assert len(set(out.split(" ; "))) == 5
+    form = spark.range(1).select(pii._parts(F.lit("+1 (887) 555-2355")).alias("x")).first().x[0].form
+    assert form == "+1 8875552355"
+    got = pii.assign_surrogates(spark.createDataFrame([("phone", form)], "kind string, form string"), "k").first()
+    assert got.surrogate.startswith("+1 ")
