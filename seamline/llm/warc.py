@@ -35,7 +35,6 @@ from seamline.llm.shared import fresh_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEAD_LIMIT = 1 << 16
 BLOCK = 1 << 20
 
 
@@ -80,7 +79,7 @@ def _headers(text: bytes) -> tuple[str, dict[str, str]]:
 
 
 def _parse(offset: int, data: bytes) -> Record | None:
-    at = data.find(b"\r\n\r\n", 0, HEAD_LIMIT)
+    at = data.find(b"\r\n\r\n") if data.startswith(b"WARC/1.") else -1  # a url may make the header long
     if at < 0:
         return None
     version, head = _headers(data[:at])
@@ -215,5 +214,14 @@ def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """Writes every page to archives and reads them back."""
-    return read_archives(write_archives(with_refers_to(pages)), split_bytes)
+    """Writes every page to archives and reads them back; fails unless as many records are read as were written."""
+    manifest = write_archives(with_refers_to(pages))
+    return checked(written(read_archives(manifest, split_bytes), "records"), manifest)
+
+
+def checked(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``records``, if they are as many as the manifest (path, records) says."""
+    want, got = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if got != want:
+        raise ValueError(f"{got} records were read of {want} that were written")
+    return records
