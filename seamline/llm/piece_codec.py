@@ -135,7 +135,7 @@ class Codec:
         width = 1
         while width < self.depth:  # doubling: ranks by twice as many characters
             key = rank * (n + 1)
-            key[: n - width] += rank[width:] + 1
+            key[: max(0, n - width)] += rank[width:] + 1
             rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
             width *= 2
         suffixes = np.argsort(rank, kind="stable").astype(np.int32)
