@@ -3,14 +3,16 @@
 1. A pass over the texts gives each its set of distinct five-word shingles (64
    bit hashes), a 128-bit fingerprint of that set, MinHash samples, band keys,
    and an odd sketch: the samples folded into a bitmap by parity, so that the
-   XOR of two bitmaps counts the samples in which two texts differ.
-2. Equal sets become one node. Band buckets with two nodes or more are cut into
-   blocks; each pair of blocks is a group of bounded size wherever it runs. In
-   a group the XOR population counts give similarities, and a spanning forest
-   of the pairs that may reach the threshold leaves it, never all pairs.
-3. The forests' components (clusters) hold every link. Clusters, again in
-   bounded pairs of blocks, get their full shingle sets, and links are
-   confirmed on them, best estimates first, skipping what is linked already.
+   XOR of two bitmaps counts the samples in which two texts differ. Equal sets
+   become one node.
+2. Rounds of pivots: each node is held against one pivot, that of another label
+   with which it shares most band buckets. A sketch that allows the threshold
+   sends the pair on to the full sets, and confirmed links join labels: a group
+   of copies, however large, costs a row a node.
+3. Buckets that still hold several labels are cut into blocks, and blocks meet
+   in pairs except within a bucket's main label. Sketches tell which labels may
+   be linked and by which nodes; these meet once more with their full sets. Of
+   what is found, a spanning forest of the labels leaves a task.
 4. Components of the confirmed links are the answer.
 
 A pair at the threshold shares no band with probability (1 - t**rows)**bands:
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 
 from seamline.llm import textkit as tk
 from seamline.llm.components import connected
-from seamline.llm.shared import written
+from seamline.llm.shared import fresh_names, written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-BLOCK = 512
+BLOCK = 512  # rows of a block, and shingles of its sets
+BLOCK_SHINGLES = 1 << 20
+PIVOT_ROUNDS = 2
+TASK_ROWS = 500_000  # ids and labels that a task remembers
 NEED_BITS = 24  # of the bitmap of documents whose sets are needed: 2 MB at most
 
 
@@ -125,46 +130,47 @@ def least_estimate(threshold: float) -> float:
     return max(0.05, threshold - 6.5 * math.sqrt(threshold * (1 - threshold) / SAMPLES) - 0.03)
 
 
-def forest(sketch: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of rows whose XOR has at most ``limit`` bits.
+def within(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """(rows of a, rows of b) boolean: sketches whose XOR has at most ``limit`` bits."""
+    return np.stack([np.bitwise_count(b ^ x).sum(axis=1, dtype=np.int64) <= limit for x in a]) if len(a) else np.zeros((0, len(b)), bool)
 
-    Trees start at the first rows; with rows in node order, groups that share
-    most members give mostly the same edges.
-    """
-    left = np.arange(len(sketch))
-    out = []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            near = np.bitwise_count(sketch[left] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit
-            hit = left[near]
-            out += [(i, j) for j in hit]
-            queue += list(hit)
-            left = left[~near]
-    return out
 
-
-def links_of(sketch: np.ndarray, sets: list[np.ndarray], percent: int, limit: int) -> list[tuple[int, int]]:
-    """Links that connect what all links among the rows connect, each confirmed on the full sets."""
+def common(sets: list[np.ndarray], rows: int, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the first ``rows`` sets with the others (with one another if these are all), by products of incidence matrices, some shingles at a time."""
     n = len(sets)
-    size = np.array([len(s) for s in sets])
-    root = np.arange(n)  # component of each row, kept flat
-    out = []
-    for i in range(n):
-        later = np.arange(i + 1, n)
-        later = later[root[later] != root[i]]
-        if not len(later):
-            continue
-        odd = np.bitwise_count(sketch[later] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        fits = (odd <= limit) & (100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i]))
-        for j in later[fits][np.argsort(odd[fits], kind="stable")]:
-            if root[j] == root[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                out.append((i, j))
-                root[root == root[j]] = root[i]
+    x, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(x, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # the others are in no intersection
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    others = slice(rows if rows < n else 0, n)
+    out = np.zeros((rows, len(range(*others.indices(n)))), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        at = slice(*np.searchsorted(column, [lo, lo + columns]))
+        m = np.zeros((n, columns), np.float32)
+        m[owner[at], column[at] - lo] = 1
+        out += m[:rows] @ m[others].T
+    return out.astype(np.int64)
+
+
+def tree(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the labels that ``linked`` (left rows, right rows) joins: one edge fewer than a tree has labels."""
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    i, j = np.nonzero(linked)
+    i, j = at[i], at[len(left) + j]
+    near = np.zeros((len(names), len(names)), bool)
+    near[i, j] = near[j, i] = True
+    out, free = [], np.ones(len(names), bool)
+    for start in np.flatnonzero(near.any(axis=1)):
+        queue = [start] if free[start] else []
+        free[start] = False
+        while queue:
+            k = queue.pop()
+            hit = np.flatnonzero(near[k] & free)
+            free[hit] = False
+            out += [(int(names[k]), int(names[h])) for h in hit]
+            queue += list(hit)
     return out
 
 
@@ -210,7 +216,7 @@ def _sketch_rows(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, keys, sketch) of every row; node is null for an empty set."""
+    """(doc_id, tag, n_shingles, node, keys, sketch) of every row; tag is a hash of the text, node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,44 +227,62 @@ def signatures(docs: DataFrame) -> DataFrame:
                 node = pa.array(fingerprints(x, cuts), pa.binary(), mask=size == 0)
                 keys = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * BANDS, pa.array(band_keys(mh).ravel()))
                 sketch = pa.array([r.tobytes() for r in odd_sketches(mh)], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), node, keys, sketch], names=["doc_id", "n_shingles", "node", "keys", "sketch"])
+                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in (0, 2)), pa.array(size.astype(np.int64)), node, keys, sketch], names=["doc_id", "tag", "n_shingles", "node", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "doc_id long, tag long, n_shingles long, node binary, keys array<long>, sketch binary")
 
 
-def _in_block_pairs(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """``rows`` with columns bi, bj: a group of ``key`` with many rows is cut into blocks, and each pair of blocks is a group."""
-    df = rows.join(sizes.where("n > 1"), key)
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    df = df.withColumn("_g", blocks).withColumn("_own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_g")).cast("int"))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    return df.withColumn("bi", F.least("_own", "_other")).withColumn("bj", F.greatest("_own", "_other")).drop("n", "_g", "_own", "_other")
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A table for each run of rows that agree in key, bi and bj; the input is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in range(3)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is not None and last != tuple(c[0] for c in cols)
+        cuts = np.flatnonzero(new)
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
+            if held and new[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
 
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
-def _forests(groups: DataFrame, limit: int) -> DataFrame:
-    """Spanning forests (a, b) of the groups (key, bi, bj, node, sketch)."""
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, n_shingles, node, keys, sketch) of every row; tag is a hash of the text, node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 3):
-            cuts, sketch, node = _cuts(t, 3), _sketch_rows(t.column(4)), t.column(3).to_pylist()
-            a, b = [], []
-            pairs = cuts[:-1][np.diff(cuts) == 2]  # most groups: no loop for them
-            near = np.bitwise_count(sketch[pairs] ^ sketch[pairs + 1]).sum(axis=1, dtype=np.int64) <= limit
-            a += [node[i] for i in pairs[near]]
-            b += [node[i + 1] for i in pairs[near]]
-            for k in np.flatnonzero(np.diff(cuts) > 2):
-                lo = cuts[k]
-                for i, j in forest(sketch[lo : cuts[k + 1]], limit):
-                    a.append(node[lo + i])
-                    b.append(node[lo + j])
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        for batch in batches:
+            for lo, hi, raw, off in tk.column_chunks(batch, "text"):
+                x, cuts = shingle_sets(raw, off)
+                size = np.diff(cuts)
+                mh = minhashes(x, cuts)
+                node = pa.array(fingerprints(x, cuts), pa.binary(), mask=size == 0)
+                keys = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * BANDS, pa.array(band_keys(mh).ravel()))
+                sketch = pa.array([r.tobytes() for r in odd_sketches(mh)], pa.binary())
+                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in (0, 2)), pa.array(size.astype(np.int64)), node, keys, sketch], names=["doc_id", "tag", "n_shingles", "node", "keys", "sketch"])
 
-    cols = ["key", "bi", "bj"]
-    return groups.select(*cols, "node", "sketch").repartition(*cols).sortWithinPartitions(*cols, "node").mapInArrow(run, "a binary, b binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "doc_id long, tag long, n_shingles long, node binary, keys array<long>, sketch binary")
 
 
 def _sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) for the ``wanted`` (doc_id, node): a bitmap of bounded size passes few other rows, the join settles it."""
+    """(id, shingles) for the ``wanted`` (id, doc_id, node): a bitmap of bounded size passes few other rows, the join settles it."""
     slot = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << NEED_BITS))
     words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(1 << (NEED_BITS - 6), np.int64)
@@ -272,71 +296,220 @@ def _sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(bits[s >> 6] >> (s & 63) & 1 == 1))
             for lo, hi, raw, off in tk.column_chunks(batch, "text"):
                 x, cuts = shingle_sets(raw, off)
-                sets = [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(fingerprints(x, cuts), pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "node", "shingles"])
+                first = {f: i for i, f in enumerate(fingerprints(x, cuts))}  # copies in a chunk give one row
+                at = list(first.values())
+                sets = [x[cuts[i] : cuts[i + 1]].tobytes() for i in at]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo).take(pa.array(at, pa.int64())), pa.array(list(first), pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "node", "shingles"])
 
     got = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, node binary, shingles binary")
-    return got.join(wanted, ["doc_id", "node"]).select("node", "shingles")
+    same = (got.node == wanted.node) & got.doc_id.eqNullSafe(wanted.doc_id)
+    # rows that share doc_id and text in different chunks are left to dropDuplicates
+    return got.join(wanted, same).select("id", "shingles").dropDuplicates(["id"])
+
 
+def _alike(pairs: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) of columns a, b, sa, sb whose sketches differ in at most ``limit`` bits."""
 
-def _confirmed(groups: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Confirmed links (a, b) in the groups (cluster, bi, bj, node, sketch, shingles)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _sketches(batch.column(2)), _sketches(batch.column(3))
+            fits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of columns a, b, xa, xb whose sets are as near as ``percent`` asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 3):
-            cuts = _cuts(t, 3)
-            a, b = [], []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                g = t.slice(lo, hi - lo)
-                node = g.column(3).to_pylist()
-                one = np.unique(np.array(node, object), return_index=True)[1]  # rows that share a doc_id come twice
-                sets = [np.frombuffer(g.column(5)[int(i)].as_py(), np.uint64) for i in one]
-                for i, j in links_of(_sketch_rows(g.column(4))[one], sets, percent, limit):
-                    a.append(node[one[i]])
-                    b.append(node[one[j]])
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    cols = ["cluster", "bi", "bj"]
-    return groups.select(*cols, "node", "sketch", "shingles").repartition(*cols).sortWithinPartitions(*cols, "node").mapInArrow(run, "a binary, b binary")
+        for batch in batches:
+            fits = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True)):
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    fits[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
 
+    return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
-    Two texts are linked if 100 * |A and B| >= percent * |A or B| over their
-    shingle sets; component_id is the least doc_id that links reach.
+def _pivots(buckets: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of a bucket with two labels or more, and the one pivot of another label with which it shares most buckets.
+
+    A bucket's pivot is the node that a hash of ``turn`` puts first, so nodes
+    that share many buckets mostly share one pivot: a row a node leaves this.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id").alias("b"), F.col("label").alias("lb"))).alias("p")
+    pivots = buckets.groupBy("key").agg(first, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    return buckets.join(pivots.select("key", "p.b", "p.lb"), "key").where("label != lb").groupBy(F.col("id").alias("a")).agg(F.mode("b", True).alias("b"))
+
+
+def _side(nodes: DataFrame, side: str, column: str, name: str) -> DataFrame:
+    return nodes.select(F.col("id").alias(side), F.col(column).alias(name))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, label, n_shingles) with own, bi, bj: blocks of bounded size, and pairs of blocks wherever labels of a key can meet.
+
+    The label with most rows of a key is its main one. Its rows need not meet
+    each other, so its blocks are paired with those of the rest only: where
+    few rows are left beside a huge label, rows grow in proportion.
+    """
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    main = by_label.groupBy("key").agg(F.max(F.struct("n", "label", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > m.n")
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES))).cast("int")
+    sized = main.select("key", F.col("m.label").alias("main"), blocks(F.col("m.n"), F.col("m.w")).alias("gm"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("gr"))
+    df = rows.join(sized, "key")
+    h, is_main = F.xxhash64("id", F.lit(3)), F.col("label") == F.col("main")
+    own = F.when(is_main, F.pmod(h, F.col("gm"))).otherwise(F.col("gm") + F.pmod(h, F.col("gr"))).cast("int")
+    df = df.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.when(is_main, F.col("gm")).otherwise(F.lit(0)), F.col("gm") + F.col("gr") - 1)))
+    return df.select("key", F.least("own", "_other").alias("bi"), F.greatest("own", "_other").alias("bj"), "own", "id", "label")
+
+
+def _meetings(groups: DataFrame, column: str, run) -> DataFrame:
+    """``run`` (own, bi, bj, ids, labels, payload) over each group; it returns label edges and ids that take part: rows (a, b, id)."""
+    cols = ["key", "bi", "bj"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # groups share labels and rows: a task leaves each edge that its edges before do not imply, and each id once
+        root: dict[int, int] = {}
+        a, b, seen = [], [], np.empty(0, np.int64)
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        def left_over() -> pa.RecordBatch:
+            blank = pa.nulls(len(a), pa.int64()), pa.nulls(len(seen), pa.int64())
+            edges = (pa.concat_arrays([pa.array(x, pa.int64()), blank[1]]) for x in (a, b))
+            return pa.record_batch([*edges, pa.concat_arrays([blank[0], pa.array(seen)])], names=["a", "b", "id"])
+
+        for t in _grouped(batches):
+            own, ids, labels = (t.column(c).to_numpy() for c in ("own", "id", "label"))
+            bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+            left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+            if not len(left) or not len(right) or len(np.unique(labels)) < 2:
+                continue
+            linked = run(t.column(column), left, right, bi == bj) & (labels[left][:, None] != labels[right][None, :])
+            for x, y in tree(linked, labels[left], labels[right]):
+                rx, ry = find(x), find(y)
+                if rx != ry:
+                    root[max(rx, ry)] = min(rx, ry)
+                    a.append(x)
+                    b.append(y)
+            seen = np.union1d(seen, np.concatenate([ids[left[linked.any(axis=1)]], ids[right[linked.any(axis=0)]]]))
+            if len(seen) + len(root) > TASK_ROWS:
+                yield left_over()
+                a, b, seen = [], [], seen[:0]
+                root.clear()
+        yield left_over()
+
+    return groups.select(*cols, "own", "id", "label", column).repartition(*cols).sortWithinPartitions(*cols).mapInArrow(each, "a long, b long, id long")
+
+
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) of every node."""
+    found = connected(links).withColumnRenamed("node", "id")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def components(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, tag, n_shingles, label, component_id) of every row; rows with one label belong together, and have the least doc_id of all."""
     limit = most_odd(least_estimate(percent / 100))
     sig = written(signatures(docs), "signatures")
-    nodes = written(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = written(keyed.join(shared, "key"), "buckets")
+
+    # rounds of one candidate a node; what has linked is one label from then on
+    labels, links, sets, now = nodes.select("id", F.col("id").alias("label")), None, None, buckets.withColumn("label", F.col("id"))
+    for turn in range(PIVOT_ROUNDS):
+        near = _pivots(now, turn).join(_side(nodes, "a", "sketch", "sa"), "a").join(_side(nodes, "b", "sketch", "sb"), "b")
+        near = written(_alike(near, limit), "near")
+        sets = _with_sets(docs, nodes, near.select(F.col("a").alias("id")).union(near.select("b")), sets)
+        found = near.join(_side(sets, "a", "shingles", "xa"), "a").join(_side(sets, "b", "shingles", "xb"), "b")
+        found = written(_linked(found, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = written(_labels(nodes, links), "labels")
+        now = written(buckets.join(labels, "id"), "labelled")
+
+    # what still has several labels in a bucket meets in blocks: first sketches, then sets of those that a sketch lets through
+    rows = now.join(nodes.select("id", F.lit(0).alias("n_shingles")), "id")
+    met = _meetings(_across(rows).join(nodes.select("id", "sketch"), "id"), "sketch", lambda c, i, j, same: _near_sketches(c, i, j, limit))
+    met = written(met, "met")
+    cluster = connected(met.where("id IS NULL").select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("key"))
+    active = met.where("id IS NOT NULL").select("id").distinct().join(labels, "id").join(cluster, "label").join(nodes.select("id", "n_shingles"), "id")
+    active = written(active, "active")
+    sets = _with_sets(docs, nodes, active.select("id"), sets)
+    more = _meetings(_across(active).join(sets, "id"), "shingles", lambda c, i, j, same: _near_sets(c, i, j, same, percent))
+    merged = connected(written(more.where("id IS NULL").select("a", "b"), "links"))
+    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("merged")), "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
+
+    labelled = written(nodes.select("id", "node", "doc_id").join(final, "id"), "final")
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_node = labelled.join(least, "label").select("node", "label", "component_id")
+    out = sig.select("doc_id", "tag", "n_shingles", "node").join(of_node, "node", "left")
+    return out.select("doc_id", "tag", "n_shingles", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    full = _in_block_pairs(buckets, "key", buckets.groupBy("key").agg(F.count("*").alias("n")))
-    edges = _forests(full.join(nodes.select("node", "sketch"), "node"), limit).distinct()
-    clusters = connected(edges).withColumnRenamed("label", "cluster")
 
-    member = written(clusters.join(nodes.select("node", "doc_id", "sketch"), "node"), "members")
-    sized = _in_block_pairs(member.select("node", "cluster"), "cluster", member.groupBy("cluster").agg(F.count("*").alias("n")))
-    sets = written(_sets_for(docs, member.select("doc_id", "node")).join(member.select("node", "sketch"), "node"), "sets")
-    links = _confirmed(sized.join(sets, "node"), percent, limit)
-    found = connected(links)
+def _near_sketches(column, left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
+    s = _sketches(column)
+    return within(s[left], s[right], limit)
 
-    labelled = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = labelled.join(least, "label").select("node", "component_id")
-    out = sig.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def _near_sets(column, left: np.ndarray, right: np.ndarray, same: bool, percent: int) -> np.ndarray:
+    s = _sets(column)
+    a, b = [s[i] for i in left], [s[i] for i in right]
+    both = common(a if same else a + b, len(a))
+    size = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    return (both > 0) & (100 * both >= percent * (size - both))
+
+
+def _with_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, have: DataFrame | None) -> DataFrame:
+    """``have`` (id, shingles) with the sets of ``ids`` that it lacks."""
+    ids = ids.distinct()
+    if have is not None:
+        ids = ids.join(have.select("id"), "id", "left_anti")
+    more = written(_sets_for(docs, written(nodes.select("id", "doc_id", "node").join(ids, "id", "left_semi"), "wanted")), "sets")
+    return more if have is None else have.unionByName(more)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
+
+    Two texts are linked if 100 * |A and B| >= percent * |A or B| over their
+    shingle sets; component_id is the least doc_id that links reach.
+    """
+    out = components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: that with the least doc_id. All columns stay; a repeated row stays once."""
-    found = written(near_duplicates(docs, percent), "near_duplicates")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    twice = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    """``docs`` with one document of each group of linked ones: that with the least doc_id. All columns stay.
+
+    A row is told by its doc_id and a hash of its text, so of two texts under
+    one doc_id only the duplicate goes; a repeated row stays once; a group
+    without any doc_id keeps the text with the least hash.
+    """
+    names = fresh_names(docs.columns, "_tag")
+    found = written(components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent), "near_duplicates")
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("best"))
+    grouped = found.join(best, "label")
+    gone = grouped.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tag") == F.col("best.tag")))).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct()
+    twice = written(found.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), "repeated")
+    tagged = docs.withColumn(names[0], F.xxhash64("text"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def kept(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return df.join(keys, df["doc_id"].cast("long").eqNullSafe(keys["_d"]) & (df[names[0]] == keys["_t"]), how)
+
+    left = kept(tagged, gone, "left_anti")
     if twice.isEmpty():
-        return left
-    once = left.join(twice, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+        return left.select(*columns)
+    once = kept(left, twice, "left_semi").dropDuplicates(["doc_id", names[0]])
+    return kept(left, twice, "left_anti").unionByName(once).select(*columns)
