@@ -11,8 +11,8 @@
    of copies, however large, costs a row a node.
 3. Buckets that still hold several labels are cut into blocks, and blocks meet
    in pairs except within a bucket's main label. Sketches tell which labels may
-   be linked and by which nodes; these meet once more with their full sets. Of
-   what is found, a spanning forest of the labels leaves a task.
+   be linked; their nodes meet once more with their full sets. Of what is
+   found, a spanning forest of the labels leaves a task.
 4. Components of the confirmed links are the answer.
 
 A pair at the threshold shares no band with probability (1 - t**rows)**bands:
@@ -44,7 +44,7 @@ SKETCH_BITS = 1024
 BLOCK = 512  # rows of a block, and shingles of its sets
 BLOCK_SHINGLES = 1 << 20
 PIVOT_ROUNDS = 2
-TASK_ROWS = 500_000  # ids and labels that a task remembers
+TASK_LABELS = 500_000  # that a task remembers
 NEED_BITS = 24  # of the bitmap of documents whose sets are needed: 2 MB at most
 
 
@@ -174,45 +174,71 @@ def tree(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[pa.Table]:
     """Tables of whole groups: runs of rows that agree in the first ``keys`` columns; the input is sorted by them."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]]
-        new = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = last is not None and last != tuple(c[0] for c in cols)
-        cut = np.flatnonzero(new)
-        if len(cut):
-            if held or cut[0]:
-                yield pa.Table.from_batches([*held, batch.slice(0, cut[0])])
-            # whole groups between the first and the last new one
-            if cut[-1] > cut[0]:
-                yield pa.Table.from_batches([batch.slice(cut[0], cut[-1] - cut[0])])
-            held = [batch.slice(cut[-1])]
-        else:
-            held.append(batch)
-        last = tuple(c[-1] for c in cols)
+        cols = [batch.column(k).to_numpy() for k in range(keys)]
+        last = held and tuple(held[-1].column(k)[-1].as_py() for k in range(keys))
+        if held and last != tuple(c[0] for c in cols):
+            yield pa.Table.from_batches(held)
+            held = []
+        same = np.logical_and.reduce([c == c[-1] for c in cols])
+        start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1  # of the last group
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _cuts(table: pa.Table, keys: int) -> np.ndarray:
-    new = np.ones(table.num_rows, bool)
-    if table.num_rows > 1:
-        new[1:] = False
-        for k in range(keys):
-            c = table.column(k).to_numpy()
-            new[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(new), table.num_rows)
+def _sketches(column) -> np.ndarray:
+    return tk.string_buffers(column)[0].view(np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def _sketch_rows(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+def _sets(column) -> list[np.ndarray]:
+    raw, off = tk.string_buffers(column)
+    return [raw[a:b].view(np.uint64) for a, b in zip(off, off[1:], strict=False)]
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+class _BySketch:
+    """Which rows of a table may be linked."""
+
+    def __init__(self, column, limit: int):
+        self.s, self.limit = _sketches(column), limit
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.s[i] ^ self.s[j]).sum(axis=1, dtype=np.int64) <= self.limit
+
+    def blocks(self, left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+        return within(self.s[left], self.s[right], self.limit)
+
+
+class _BySet:
+    """Which rows of a table are linked."""
+
+    def __init__(self, column, percent: int):
+        self.s, self.percent = _sets(column), percent
+        self.size = np.array([len(x) for x in self.s], np.int64)
+
+    def _near(self, both: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (both > 0) & (100 * both >= self.percent * (size - both))
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fits = 100 * np.minimum(self.size[i], self.size[j]) >= self.percent * np.maximum(self.size[i], self.size[j])
+        both = np.array([_both(self.s[x], self.s[y]) if f else 0 for x, y, f in zip(i, j, fits, strict=True)], np.int64)
+        return self._near(both, self.size[i] + self.size[j])
+
+    def blocks(self, left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+        sets = [self.s[i] for i in left] + ([] if same else [self.s[j] for j in right])
+        return self._near(common(sets, len(left)), self.size[left][:, None] + self.size[right][None, :])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -324,12 +350,9 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True)):
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    fits[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(fits))
+            n = batch.num_rows
+            both = _BySet(pa.chunked_array([batch.column(2), batch.column(3)]), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(both.pairs(np.arange(n), np.arange(n, 2 * n))))
 
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
@@ -367,46 +390,45 @@ def _across(rows: DataFrame) -> DataFrame:
     return df.select("key", F.least("own", "_other").alias("bi"), F.greatest("own", "_other").alias("bj"), "own", "id", "label")
 
 
-def _meetings(groups: DataFrame, column: str, run) -> DataFrame:
-    """``run`` (own, bi, bj, ids, labels, payload) over each group; it returns label edges and ids that take part: rows (a, b, id)."""
+def _meetings(groups: DataFrame, column: str, judge) -> DataFrame:
+    """(a, b): labels that ``judge`` (of the payload ``column``) joins in a group (key, bi, bj, own, id, label, payload)."""
     cols = ["key", "bi", "bj"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # groups share labels and rows: a task leaves each edge that its edges before do not imply, and each id once
+        # groups share labels: a task leaves an edge only if its edges before do not imply it
         root: dict[int, int] = {}
-        a, b, seen = [], [], np.empty(0, np.int64)
 
         def find(x: int) -> int:
             while (up := root.get(x, x)) != x:
                 root[x] = x = root.get(up, up)
             return x
 
-        def left_over() -> pa.RecordBatch:
-            blank = pa.nulls(len(a), pa.int64()), pa.nulls(len(seen), pa.int64())
-            edges = (pa.concat_arrays([pa.array(x, pa.int64()), blank[1]]) for x in (a, b))
-            return pa.record_batch([*edges, pa.concat_arrays([blank[0], pa.array(seen)])], names=["a", "b", "id"])
-
         for t in _grouped(batches):
-            own, ids, labels = (t.column(c).to_numpy() for c in ("own", "id", "label"))
-            bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-            left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-            if not len(left) or not len(right) or len(np.unique(labels)) < 2:
-                continue
-            linked = run(t.column(column), left, right, bi == bj) & (labels[left][:, None] != labels[right][None, :])
-            for x, y in tree(linked, labels[left], labels[right]):
+            key, bi, bj, own, label = (t.column(c).to_numpy() for c in (*cols, "own", "label"))
+            cuts = np.append(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]), t.num_rows)
+            judged = judge(t.column(column))
+            first = cuts[:-1][np.diff(cuts) == 2]  # most groups: no loop for them
+            first = first[(label[first] != label[first + 1]) & ((own[first] != own[first + 1]) | (bi[first] == bj[first]))]
+            hit = first[judged.pairs(first, first + 1)]
+            edges = list(zip(label[hit].tolist(), label[hit + 1].tolist(), strict=True))
+            for k in np.flatnonzero(np.diff(cuts) > 2):
+                at = np.arange(cuts[k], cuts[k + 1])
+                left, right = at[own[at] == bi[at[0]]], at[own[at] == bj[at[0]]]
+                apart = label[left][:, None] != label[right][None, :]
+                if apart.any():
+                    edges += tree(judged.blocks(left, right, bi[at[0]] == bj[at[0]]) & apart, label[left], label[right])
+            new = []
+            for x, y in edges:
                 rx, ry = find(x), find(y)
                 if rx != ry:
                     root[max(rx, ry)] = min(rx, ry)
-                    a.append(x)
-                    b.append(y)
-            seen = np.union1d(seen, np.concatenate([ids[left[linked.any(axis=1)]], ids[right[linked.any(axis=0)]]]))
-            if len(seen) + len(root) > TASK_ROWS:
-                yield left_over()
-                a, b, seen = [], [], seen[:0]
+                    new.append((x, y))
+            if new:
+                yield pa.record_batch([pa.array([e[k] for e in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if len(root) > TASK_LABELS:
                 root.clear()
-        yield left_over()
 
-    return groups.select(*cols, "own", "id", "label", column).repartition(*cols).sortWithinPartitions(*cols).mapInArrow(each, "a long, b long, id long")
+    return groups.select(*cols, "own", "id", "label", column).repartition(*cols).sortWithinPartitions(*cols).mapInArrow(each, "a long, b long")
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -438,16 +460,14 @@ def components(docs: DataFrame, percent: int) -> DataFrame:
         labels = written(_labels(nodes, links), "labels")
         now = written(buckets.join(labels, "id"), "labelled")
 
-    # what still has several labels in a bucket meets in blocks: first sketches, then sets of those that a sketch lets through
-    rows = now.join(nodes.select("id", F.lit(0).alias("n_shingles")), "id")
-    met = _meetings(_across(rows).join(nodes.select("id", "sketch"), "id"), "sketch", lambda c, i, j, same: _near_sketches(c, i, j, limit))
-    met = written(met, "met")
-    cluster = connected(met.where("id IS NULL").select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("key"))
-    active = met.where("id IS NOT NULL").select("id").distinct().join(labels, "id").join(cluster, "label").join(nodes.select("id", "n_shingles"), "id")
-    active = written(active, "active")
+    # what still has several labels in a bucket meets in blocks: first by sketches, then, where those join labels, by full sets
+    rows = now.withColumn("n_shingles", F.lit(0))
+    met = _meetings(_across(rows).join(nodes.select("id", "sketch"), "id"), "sketch", lambda column: _BySketch(column, limit))
+    cluster = connected(written(met, "met")).select(F.col("node").alias("label"), F.col("label").alias("key"))
+    active = written(labels.join(cluster, "label").join(nodes.select("id", "n_shingles"), "id"), "active")
     sets = _with_sets(docs, nodes, active.select("id"), sets)
-    more = _meetings(_across(active).join(sets, "id"), "shingles", lambda c, i, j, same: _near_sets(c, i, j, same, percent))
-    merged = connected(written(more.where("id IS NULL").select("a", "b"), "links"))
+    more = _meetings(_across(active).join(sets, "id"), "shingles", lambda column: _BySet(column, percent))
+    merged = connected(written(more, "links"))
     final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("merged")), "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
 
     labelled = written(nodes.select("id", "node", "doc_id").join(final, "id"), "final")
@@ -457,19 +477,6 @@ def components(docs: DataFrame, percent: int) -> DataFrame:
     return out.select("doc_id", "tag", "n_shingles", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _near_sketches(column, left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
-    s = _sketches(column)
-    return within(s[left], s[right], limit)
-
-
-def _near_sets(column, left: np.ndarray, right: np.ndarray, same: bool, percent: int) -> np.ndarray:
-    s = _sets(column)
-    a, b = [s[i] for i in left], [s[i] for i in right]
-    both = common(a if same else a + b, len(a))
-    size = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
-    return (both > 0) & (100 * both >= percent * (size - both))
-
-
 def _with_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, have: DataFrame | None) -> DataFrame:
     """``have`` (id, shingles) with the sets of ``ids`` that it lacks."""
     ids = ids.distinct()

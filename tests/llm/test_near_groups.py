@@ -62,4 +62,6 @@ def test_common_counts_intersections():
     sets = [np.unique(rng.integers(0, 300, 100).astype(np.uint64)) for _ in range(9)]
     for rows, others in ((4, sets[4:]), (9, sets)):
         got = near_dup.common(sets, rows, columns=64)
-        assert (got == [[len(np.intersect1d(x, y)) for y in others] for x in sets[:rows]]).all()
+        want = np.array([[len(np.intersect1d(x, y)) for y in others] for x in sets[:rows]])
+        apart = ~np.eye(9, dtype=bool) if rows == 9 else np.ones(want.shape, bool)
+        assert (got == want)[apart].all()
