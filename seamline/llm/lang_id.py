@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline.llm import textkit as tk
-from seamline.llm.shared import fresh_names
+from seamline.llm.shared import numbered
 
 BITS = 12
 DIM = 1 << BITS
@@ -33,6 +33,9 @@ UNDETERMINED = "und"
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))  # for 2 and 3 bytes
 
 
+ROWS = 512  # texts whose vectors are held at once
+
+
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of the hashed n-grams of each text: a (texts, DIM) float32 matrix."""
     n = len(offsets) - 1
@@ -114,7 +117,7 @@ def fit(labelled: DataFrame, sample_per_lang: int = 400, **options) -> Model:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, off in tk.column_chunks(batch, "text"):
+            for lo, hi, raw, off in tk.column_chunks(batch, "text", rows=ROWS):
                 x = features(raw, off).astype(np.uint32)
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "v"])
 
@@ -135,18 +138,16 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
     A model that has learnt nothing calls every text ``und``, and rejects those without a letter.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    free = fresh_names(keep, "_text", "_letter")
-    source = "text" if "text" in keep else free[0]
-    columns = [F.col(f"`{c}`") for c in keep]
-    chosen = docs.select(*columns, *([] if "text" in keep else [F.col("text").alias(free[0])]), has_letter(F.col("text")).alias(free[1]))
-    schema = T.StructType([*[chosen.schema[c] for c in keep], *[T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
+    chosen, fields = numbered(docs, keep, *([] if "text" in keep else [F.col("text")]), has_letter(F.col("text")))
+    source = chosen.columns[keep.index("text") if "text" in keep else len(keep)]
+    schema = T.StructType([*fields, *[T.StructField(f"_{n}", t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in batches:
             at, score, size = np.empty(batch.num_rows, int), np.empty(batch.num_rows), np.empty(batch.num_rows)
-            for lo, hi, raw, off in tk.column_chunks(batch, source):
+            for lo, hi, raw, off in tk.column_chunks(batch, source, rows=ROWS):
                 x = features(raw, off)
                 sim = m.similarities(x)
                 size[lo:hi] = x.sum(axis=1)
@@ -159,4 +160,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
             score = np.clip(score, 0.0, 1.0)
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(names[at], pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    return chosen.mapInArrow(predict, schema)
+    return chosen.mapInArrow(predict, schema).toDF(*keep, *names)

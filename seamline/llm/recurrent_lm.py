@@ -27,17 +27,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import textkit as tk
-from seamline.llm.shared import written
+from seamline.llm.shared import numbered, written
 
 #: Stands for the end of a text; words hash elsewhere but for one chance in 2**64.
 END = np.uint64(0xE4D0F7E87)
 #: Tokens of a scoring window over all its texts, and bounds of its length: few long texts get long windows.
 WINDOW_TOKENS, WINDOW_LEAST, WINDOW_MOST = 1 << 16, 64, 4096
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 16 << 20  # a chunk goes on for as many steps as its longest text has tokens
+#: Rows of logits worked on at once.
+ROW_BLOCK = 2048
 #: Text of a training chunk, its lanes, and tokens of a lane at least; the weights are summed up in so many parts.
 TRAIN_BYTES, TRAIN_LANES, LANE_TOKENS, SUM_PARTS = 4 << 20, 512, 1024, 16
 
@@ -104,92 +106,159 @@ def new_net(counts: np.ndarray, per_class: int, hidden: int, seed: int = 3) -> N
     return Net(size, per_class, f32(rng.normal(0, 0.1, (size, 3 * hidden))), f32(rng.normal(0, 1 / math.sqrt(hidden), (hidden, 3 * hidden))), f32(rng.normal(0, 0.05, (hidden, classes))), f32(np.log(c.sum(axis=1) / c.sum())), f32(rng.normal(0, 0.05, (classes, hidden, per_class))), f32(bt))
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-a))
-
-
 def step(net: Net, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The states after reading a token each, and what the backward pass needs."""
     k = net.hidden
     g, a = net.x[token], h @ net.u
-    zr = _sigmoid(g[:, : 2 * k] + a[:, : 2 * k])
+    zr = g[:, : 2 * k]
+    zr += a[:, : 2 * k]
+    np.negative(zr, out=zr)
+    with np.errstate(over="ignore"):
+        np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r, an = zr[:, :k], zr[:, k:], a[:, 2 * k :]
-    n = np.tanh(g[:, 2 * k :] + r * an)
-    return n + z * (h - n), (h, z, r, an, n)
+    n = r * an
+    n += g[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (h, z, r, an, n)
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    """Row ranges whose logits fit a core's cache."""
+    return (slice(lo, min(lo + ROW_BLOCK, n)) for lo in range(0, n, ROW_BLOCK))
+
+
+def _softmax_parts(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sums, logit of the target) of ``h @ w + b``; shifted by each row's greatest logit only where they would run over or under."""
+    rows, ones = np.arange(len(h)), np.ones(w.shape[1], w.dtype)
+    a = h @ w
+    a += b
+    hit = a[rows, target]
+    if a.max(initial=0) < 60:
+        e = np.exp(a, out=a)
+        total = e @ ones
+        if total.min(initial=1) > 1e-20:
+            return e, total, hit
+        a = h @ w + b
+    a -= a.max(axis=1)[:, None]
+    hit = a[rows, target]
+    e = np.exp(a, out=a)
+    return e, e @ ones, hit
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=-1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=-1, keepdims=True))
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order; small numbers sort fast."""
+    return np.argsort(x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x, kind="stable")
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of rows by class, and (class, from, to) of the runs in it."""
+    order = _order(cls)
+    cuts = np.flatnonzero(np.r_[True, cls[order][1:] != cls[order][:-1], True]) if len(order) else np.array([0])
+    return order, [(int(cls[order[lo]]), int(lo), int(hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _sum_by_token(size: int, tok: np.ndarray, d: np.ndarray, often: int = 24) -> np.ndarray:
+    """(size, columns): the sums of the rows of ``d`` by token; frequent tokens run by run, the others one occurrence after the other."""
+    out = np.zeros((size, d.shape[1]), d.dtype)
+    order = _order(tok)
+    tok, d = tok[order], d[order]
+    cuts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+    count = np.diff(np.append(cuts, len(tok)))
+    for at, n in zip(cuts[count > often].tolist(), count[count > often].tolist(), strict=True):
+        out[tok[at]] = d[at : at + n].sum(axis=0)
+    for k in range(min(often, int(count.max(initial=0)))):
+        at = cuts[(count > k) & (count <= often)] + k
+        out[tok[at]] += d[at]
+    return out
 
 
 def log_prob(net: Net, h: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Natural log probability of each token after the state in the same row."""
     cls, within = token // net.per_class, token % net.per_class
-    out = _log_softmax(h @ net.wc + net.bc)[np.arange(len(h)), cls]
-    order = np.argsort(cls, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, cls[order][1:] != cls[order][:-1], True]) if len(order) else np.array([0])
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        at = order[lo:hi]
-        c = cls[at[0]]
-        out[at] += _log_softmax(h[at] @ net.wt[c] + net.bt[c])[np.arange(len(at)), within[at]]
+    order, runs = _by_class(cls)
+    h, cls, within = h[order], cls[order], within[order]
+    got = np.empty(len(h))
+    for at in _blocks(len(h)):
+        _, total, hit = _softmax_parts(h[at], net.wc, net.bc, cls[at])
+        got[at] = hit - np.log(total)
+    for c, lo, hi in runs:
+        for at in _blocks(hi - lo):
+            at = slice(lo + at.start, lo + at.stop)
+            _, total, hit = _softmax_parts(h[at], net.wt[c], net.bt[c], within[at])
+            got[at] += hit - np.log(total)
+    out = np.empty(len(h))
+    out[order] = got
     return out
 
 
-def _loss(a: np.ndarray, target: np.ndarray, m: int) -> tuple[float, np.ndarray]:
-    """Summed loss of the logits ``a``, which are used up, and its gradient over ``m``."""
-    rows = np.arange(len(a))
-    a -= a.max(axis=1, keepdims=True)
-    hit = a[rows, target]
-    d = np.exp(a, out=a)
-    s = d.sum(axis=1)
-    d /= s[:, None]
-    d[rows, target] -= 1
-    d /= m
-    return float((np.log(s) - hit).sum()), d
+def _loss(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, m: int, dh: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Summed loss of the softmax of ``h @ w + b``, and the gradients of w and b over ``m``; that of h is added to ``dh``."""
+    loss, g_w, g_b = 0.0, np.zeros_like(w), np.zeros_like(b)
+    for at in _blocks(len(h)):
+        d, total, hit = _softmax_parts(h[at], w, b, target[at])
+        loss += float((np.log(total) - hit).sum())
+        d /= total[:, None]
+        d[np.arange(len(d)), target[at]] -= 1
+        d /= m
+        g_w += h[at].T @ d
+        g_b += d.sum(axis=0)
+        dh[at] += d @ w.T
+    return loss, g_w, g_b
 
 
 def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
     """Mean loss, gradients and last states of a window: tokens (steps, lanes); ``fresh`` marks a text's first token."""
     steps, lanes = tokens.shape
-    k, classes = net.hidden, net.wc.shape[1]
-    h, states, saved = h0, np.empty((steps, lanes, k), np.float32), []
+    k = net.hidden
+    kind = net.u.dtype
+    h, states, saved = h0, np.empty((steps, lanes, k), kind), []
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
+        if fresh[t].any():
+            h = np.where(fresh[t][:, None], kind.type(0), h)
         states[t] = h
         h, s = step(net, h, tokens[t])
         saved.append(s)
     flat, tok = states.reshape(-1, k), tokens.ravel()
     cls, within = tok // net.per_class, tok % net.per_class
     m = len(tok)
-    loss, d = _loss(flat @ net.wc + net.bc, cls, m)
-    g_wc, g_bc, dh_out = flat.T @ d, d.sum(axis=0), d @ net.wc.T
+    order, runs = _by_class(cls)
+    rows, within, dh_rows = flat[order], within[order], np.zeros((m, k), kind)
+    loss, g_wc, g_bc = _loss(rows, net.wc, net.bc, cls[order], m, dh_rows)
     g_wt, g_bt = np.zeros_like(net.wt), np.zeros_like(net.bt)
-    for c in range(classes):
-        at = np.flatnonzero(cls == c)
-        if len(at):
-            part = flat[at]
-            more, d = _loss(part @ net.wt[c] + net.bt[c], within[at], m)
-            loss += more
-            g_wt[c], g_bt[c] = part.T @ d, d.sum(axis=0)
-            dh_out[at] += d @ net.wt[c].T
+    for c, lo, hi in runs:
+        more, g_wt[c], g_bt[c] = _loss(rows[lo:hi], net.wt[c], net.bt[c], within[lo:hi], m, dh_rows[lo:hi])
+        loss += more
+    dh_out = np.empty_like(dh_rows)
+    dh_out[order] = dh_rows
     dh_out = dh_out.reshape(steps, lanes, k)
-    g_u, dgate = np.zeros_like(net.u), np.empty((steps, lanes, 3 * k), np.float32)
-    dh = np.zeros((lanes, k), np.float32)
+    dgate, da = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
+    dh, back = np.zeros((lanes, k), kind), np.ascontiguousarray(net.u.T)
     for t in reversed(range(steps)):
         hp, z, r, an, n = saved[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (hp - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dgate[t] = np.concatenate([dz, dr, dn], axis=1)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        g_u += hp.T @ da
-        dh = dh * z + da @ net.u.T + dh_out[t]
-        dh = np.where(fresh[t][:, None], np.float32(0), dh)
-    g_x = np.zeros_like(net.x)
-    order = np.argsort(tok, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, tok[order][1:] != tok[order][:-1]])
-    g_x[tok[order][cuts]] = np.add.reduceat(dgate.reshape(-1, 3 * k)[order], cuts, axis=0)
+        g = dgate[t]
+        keep = 1 - z
+        dn = np.multiply(dh, keep, out=g[:, 2 * k :])
+        dn *= 1 - n * n
+        dz = np.multiply(dh, hp - n, out=g[:, :k])
+        dz *= z
+        dz *= keep
+        dr = np.multiply(dn, an, out=g[:, k : 2 * k])
+        dr *= r
+        dr *= 1 - r
+        da[t, :, : 2 * k] = g[:, : 2 * k]
+        np.multiply(dn, r, out=da[t, :, 2 * k :])
+        dh = dh * z
+        dh += da[t] @ back
+        dh += dh_out[t]
+        if fresh[t].any():
+            dh[fresh[t]] = 0
+    g_u = flat.T @ da.reshape(-1, 3 * k)
+    g_x = _sum_by_token(net.size, tok, dgate.reshape(-1, 3 * k))
     return loss / m, [g_x, g_u, g_wc, g_bc, g_wt, g_bt], h
 
 
@@ -202,12 +271,24 @@ class _Adam:
 
     def step(self, grads: list[np.ndarray], rate: float) -> None:
         self.i += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
-        for p, g, mi, vi in zip(self.net.params(), grads, self.m, self.v, strict=True):
-            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            mi += 0.1 * (g - mi)
-            vi += 0.01 * (g * g - vi)
-            p -= np.float32(rate) * (mi / (1 - 0.9**self.i)) / (np.sqrt(vi / (1 - 0.99**self.i)) + np.float32(1e-7))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads))
+        cut = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        scale = np.float32(rate / (1 - 0.9**self.i))
+        spread = np.float32(1 / math.sqrt(1 - 0.99**self.i))
+        for p, g, m, v in zip(self.net.params(), grads, self.m, self.v, strict=True):
+            g *= cut
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g *= spread
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= scale
+            p -= g
 
 
 def train(net: Net, texts: list[np.ndarray], updates: int = 300, lanes: int = 128, steps: int = 32, rate: float = 0.01) -> Net:
@@ -373,7 +454,7 @@ def hash_order(v: bytes) -> tuple[int, bytes]:
     return int(tk.mix64(np.frombuffer(v, np.uint64).sum(keepdims=True))[0]), v
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column]) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` plus n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Tokens among the frequent ones are settled where the text is read; the
@@ -381,14 +462,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column])
     complete counts.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
-    kept = chosen.columns[:-1]
-    kept_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    chosen, fields = numbered(docs, keep, F.col("text"))
+    source = chosen.columns[-1]
+    kept = [f.name for f in fields]
+    kept_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for lo, hi, raw, off in tk.column_chunks(batch, "_text", SCORE_BYTES):
+            for lo, hi, raw, off in tk.column_chunks(batch, source, SCORE_BYTES):
                 h, first = token_hashes(raw, off)
                 c, tok = m.look_up(h)
                 n, doc = hi - lo, np.repeat(np.arange(hi - lo), np.diff(first))
@@ -414,4 +496,4 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column])
     value = F.coalesce("_value", F.lit(0.0))
     base = F.col("_all") + value - F.col("_n") * math.log10(model.total + model.distinct + 1)
     whole = F.col("_net") + F.col("_out") + value - F.col("_outs") * math.log10(model.other_total + model.other_distinct + 1)
-    return df.select(*kept, F.col("_n").alias("n_tokens"), (F.col("_known").cast("long") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
+    return df.select(*kept, F.col("_n").alias("n_tokens"), (F.col("_known").cast("long") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score")).toDF(*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")

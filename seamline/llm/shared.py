@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.session import ship  # noqa: F401
 
@@ -45,3 +47,9 @@ def fresh_names(taken: list[str], *names: str) -> list[str]:
         used.add(n.lower())
         out.append(n)
     return out
+
+
+def numbered(docs: DataFrame, keep: list[str], *more: Column) -> tuple[DataFrame, list[T.StructField]]:
+    """Columns ``keep`` and ``more`` named c0, c1 and so on, as ``mapInArrow`` takes no name with a dot; and a field c0, c1 ... for each of ``keep``."""
+    got = docs.select(*[c.alias(f"c{i}") for i, c in enumerate([*[F.col(f"`{k}`") for k in keep], *more])])
+    return got, got.schema.fields[: len(keep)]

@@ -70,12 +70,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each, at least one row."""
+def row_chunks(offsets: np.ndarray, limit: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows each, at least one row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi
         lo = hi
 
@@ -149,8 +149,8 @@ def sub_buffers(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple
     return raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def column_chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def column_chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row from, row to, bytes, offsets) of a batch's string column, chunk by chunk."""
     raw, offsets = string_buffers(batch.column(batch.schema.get_field_index(name)))
-    for lo, hi in row_chunks(offsets, limit):
+    for lo, hi in row_chunks(offsets, limit, rows):
         yield (lo, hi, *sub_buffers(raw, offsets, lo, hi))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline.llm import textkit as tk
+from seamline.llm.shared import numbered
 
 BITS = 20
 
@@ -127,14 +128,15 @@ def fit(train: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlab
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` plus ``score`` double and ``predicted`` int."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
-    schema = T.StructType([*[chosen.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    chosen, fields = numbered(docs, keep, F.col("text"))
+    source = chosen.columns[-1]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [m.score(raw, off) for _, _, raw, off in tk.column_chunks(batch, "_text")]
+            got = [m.score(raw, off) for _, _, raw, off in tk.column_chunks(batch, source)]
             s = np.concatenate(got) if got else np.empty(0)
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema).toDF(*keep, "score", "predicted")
