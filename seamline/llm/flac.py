@@ -9,9 +9,11 @@ sample, from the frame headers; a stream with a seek table has its frames laid
 out at once, any other is walked frame by frame. A stream whose checks fail, or
 whose MD5 differs, raises ``ValueError``.
 
-``audio_features`` pads every whole text (null: empty) with zero bytes to a
-positive multiple of 64, encodes it, decodes the encoded bytes alone and
-derives its columns from what came back. Equal texts have equal values.
+``encode_texts`` makes a stream of every whole text (null: empty);
+``stream_features`` decodes the streams of a column and derives its columns
+from what came back; ``decode_blocks`` gives PCM blocks. Equal texts have equal
+values, so repeated rows do; there are no ties; a long text stands alone in a
+chunk; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import textkit as tk
+from seamline.llm.shared import written
 
-BLOCK_SIZE = 4096
+BLOCK_SIZE = 1024  # many short frames are many lanes
 RATE = 8000
 LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 4, 12, 9
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: The format's codes, fixed values.
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
@@ -89,12 +92,23 @@ def _coded_number(n: int) -> bytes:
     return bytes([(0xFF << (7 - len(tail))) & 0xFF | n, *reversed(tail)])
 
 
-def _put(bits: np.ndarray, pos: np.ndarray, value: np.ndarray, width) -> None:
-    """Writes each value's low ``width`` bits (a number or an array) at its bit position."""
-    width = np.broadcast_to(np.asarray(width), np.shape(pos))
-    for b in range(int(width.max(initial=0))):
-        on = (width > b) & ((value >> b) & 1 == 1)
-        bits[(pos + width - 1 - b)[on]] = 1
+class _Writer:
+    """Fields of bits, gathered and then laid down at once: fields don't overlap, so the words are sums."""
+
+    def __init__(self, n_bytes: int):
+        self.words = np.zeros(n_bytes // 4 + 2)
+
+    def put(self, pos: np.ndarray, value: np.ndarray, width) -> None:
+        """Each value's low ``width`` bits (a number or an array, 32 at most) at its bit position."""
+        width = np.asarray(width, np.uint64)
+        v = np.asarray(value).astype(np.int64).view(np.uint64) & ((np.uint64(1) << width) - np.uint64(1))
+        v <<= np.uint64(64) - (pos & 31).astype(np.uint64) - width
+        word = pos >> 5
+        for k, part in enumerate((v >> np.uint64(32), v & np.uint64(0xFFFFFFFF))):
+            self.words += np.bincount(word + k, part, len(self.words))
+
+    def bytes(self, n: int) -> np.ndarray:
+        return self.words.astype(np.uint64).astype(">u4").view(np.uint8)[:n].copy()
 
 
 def _zigzag(e: np.ndarray) -> np.ndarray:
@@ -118,86 +132,106 @@ def _levinson(r: np.ndarray) -> np.ndarray:
 
 
 def encode(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A FLAC stream (8-bit mono, block size 4096, seek table) for each byte string of positive length."""
+    """A FLAC stream (8-bit mono, blocks of ``BLOCK_SIZE`` samples, seek table) for each byte string of positive length."""
     size = np.diff(offsets)
     per = -(-size // BLOCK_SIZE)
     owner = np.repeat(np.arange(len(size)), per)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     start = offsets[:-1][owner] + number * BLOCK_SIZE
     n = np.minimum(BLOCK_SIZE, offsets[1:][owner] - start)
-    frame = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(raw)) - start[frame]  # sample within its frame
     x = (raw ^ np.uint8(0x80)).view(np.int8).astype(np.int32)
 
-    def lag(k: int) -> np.ndarray:
-        return np.concatenate([np.zeros(k, np.int32), x[:-k]])[: len(x)] if k else x
-
-    lags = [lag(k) for k in range(LPC_ORDER + 1)]
-    auto = np.stack([np.add.reduceat(np.where(at >= k, x * lags[k], 0).astype(np.int64), start) for k in range(LPC_ORDER + 1)], axis=1)
-    coef = np.clip(np.rint(_levinson(auto.astype(np.float64)) * (1 << LPC_SHIFT)), -(1 << (LPC_PRECISION - 1)), (1 << (LPC_PRECISION - 1)) - 1).astype(np.int32)
-    best, cost = None, None
+    # 16 bits hold the samples, the predictions and the residuals of 8-bit sound
+    lags = [x.astype(np.int16)]
+    for k in range(1, LPC_ORDER + 1):
+        lags.append(np.concatenate([np.zeros(min(k, len(x)), np.int16), lags[0][:-k]])[: len(x)])
+
+    def first_of(k: int) -> np.ndarray:
+        """The frames' first ``k`` samples, which are not predicted."""
+        return np.concatenate([(start[n > j] + j) for j in range(k)]) if k else start[:0]
+
+    auto = np.empty((len(n), LPC_ORDER + 1))
+    for k in range(LPC_ORDER + 1):
+        product = x * lags[k]
+        product[first_of(k)] = 0
+        auto[:, k] = np.add.reduceat(product, start)
+    coef = np.clip(np.rint(_levinson(auto) * (1 << LPC_SHIFT)), -(1 << (LPC_PRECISION - 1)), (1 << (LPC_PRECISION - 1)) - 1).astype(np.int32)
+    kinds = ks = cost = us = None
     for kind, order in ((0, 0), (1, 1), (2, 2), (9, LPC_ORDER)):
         if kind == 9:
-            pred = sum(coef[:, j][frame] * lags[j + 1] for j in range(order)) >> LPC_SHIFT
+            pred = np.repeat(coef[:, 0], n) * lags[1]
+            for j in range(1, order):
+                pred += np.repeat(coef[:, j], n) * lags[j + 1]
+            pred >>= LPC_SHIFT
+            e = lags[0] - pred.astype(np.int16)
         else:
-            pred = sum((c * lags[j + 1] for j, c in enumerate(FIXED[order])), np.zeros(len(x), np.int32))
-        u = np.where(at >= order, _zigzag(x - pred), 0)
-        total = np.add.reduceat(u.astype(np.int64), start)
+            e = lags[0].copy()
+            for c, earlier in zip(FIXED[order], lags[1:], strict=False):
+                e -= np.int16(c) * earlier
+        e[first_of(order)] = 0
+        u = ((e << 1) ^ (e >> 15)).view(np.uint16)
+        total = np.add.reduceat(u, start, dtype=np.int64)
         k = np.clip(np.floor(np.log2(np.maximum(total / (n - order), 1))), 0, 14).astype(np.int64)
         c = (n - order) * (k + 1) + (total >> k) + 8 * order + (9 + LPC_PRECISION * order if kind == 9 else 0)
-        if best is None:
-            best, cost, kinds, ks, us = order, c, np.full(len(n), kind), k, u
+        if us is None:
+            cost, kinds, ks, us = c, np.full(len(n), kind), k, u
         else:
             win = c < cost
             cost, kinds, ks = np.where(win, c, cost), np.where(win, kind, kinds), np.where(win, k, ks)
-            us = np.where(win[frame], u, us)
+            us = np.where(np.repeat(win, n), u, us)
+    us = us.astype(np.int32)
     low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
     kinds = np.where(cost >= 8 * n, -1, kinds)
     kinds = np.where(low == high, -2, kinds)  # constant
     orders = np.select([kinds == 9, kinds >= 0], [LPC_ORDER, kinds], 0)
     rice = kinds >= 0
-    k = ks[frame]
-    coded = rice[frame] & (at >= orders[frame])
+    k = np.repeat(ks.astype(np.int32), n)
+    coded = np.repeat(rice, n)
+    for j in range(LPC_ORDER):
+        coded[start[rice & (orders > j)] + j] = False
+    plain = np.repeat(kinds == -1, n)
     q = np.where(coded, us >> k, 0)
-    width = np.where(coded, q + 1 + k, np.where(kinds[frame] == -1, 8, 0))
-    body = np.add.reduceat(width.astype(np.int64), start)
+    width = np.where(coded, q + 1 + k, np.where(plain, np.int32(8), np.int32(0)))
+    body = np.add.reduceat(width, start, dtype=np.int64)
 
     heads = []
     for i, m in zip(number.tolist(), n.tolist(), strict=True):
         full = m == BLOCK_SIZE
-        h = bytes([0xFF, 0xF8, (12 if full else 7) << 4 | 4, 0x02]) + _coded_number(i) + (b"" if full else (m - 1).to_bytes(2))
+        h = bytes([0xFF, 0xF8, (10 if full else 7) << 4 | 4, 0x02]) + _coded_number(i) + (b"" if full else (m - 1).to_bytes(2))
         heads.append(h + bytes([crc8(h)]))
     head_bits = np.array([8 * len(h) for h in heads], np.int64)
     warm = 8 * orders + np.where(kinds == 9, 9 + LPC_PRECISION * LPC_ORDER, 0) + np.where(kinds == -2, 8, 0)
     total_bits = head_bits + 8 + warm + np.where(rice, 10, 0) + body
     frame_bytes = (total_bits + 7) // 8 + 2
     first = np.cumsum(frame_bytes) - frame_bytes
-    bits = np.zeros(int(frame_bytes.sum()) * 8, np.uint8)
+    bits = _Writer(int(frame_bytes.sum()))
     base = first * 8
     types = np.select([kinds == -2, kinds == -1, kinds == 9], [0, 1, 32 + LPC_ORDER - 1], 8 + kinds)
     pos = base + head_bits
-    _put(bits, pos, types << 1, 8)
+    fields = [(pos, types << 1, np.full(len(pos), 8))]
     pos = pos + 8
     const = kinds == -2
-    _put(bits, pos[const], low[const] & 0xFF, 8)
+    fields.append((pos[const], low[const] & 0xFF, np.full(int(const.sum()), 8)))
     for j in range(LPC_ORDER):
         has = orders > j
-        _put(bits, pos[has] + 8 * j, x[start[has] + j] & 0xFF, 8)
+        fields.append((pos[has] + 8 * j, x[start[has] + j] & 0xFF, np.full(int(has.sum()), 8)))
     pos = pos + 8 * orders + np.where(const, 8, 0)
     lpc = kinds == 9
-    _put(bits, pos[lpc], np.full(int(lpc.sum()), (LPC_PRECISION - 1) << 5 | LPC_SHIFT), 9)
+    fields.append((pos[lpc], np.full(int(lpc.sum()), (LPC_PRECISION - 1) << 5 | LPC_SHIFT), np.full(int(lpc.sum()), 9)))
     for j in range(LPC_ORDER):
-        _put(bits, pos[lpc] + 9 + LPC_PRECISION * j, coef[lpc, j] & ((1 << LPC_PRECISION) - 1), LPC_PRECISION)
+        fields.append((pos[lpc] + 9 + LPC_PRECISION * j, coef[lpc, j] & ((1 << LPC_PRECISION) - 1), np.full(int(lpc.sum()), LPC_PRECISION)))
     pos = pos + np.where(lpc, 9 + LPC_PRECISION * LPC_ORDER, 0)
-    _put(bits, pos[rice] + 6, ks[rice], 4)  # method 0, one partition
+    fields.append((pos[rice] + 6, ks[rice], np.full(int(rice.sum()), 4)))  # method 0, one partition
+    bits.put(*(np.concatenate([f[k] for f in fields]) for k in range(3)))
     pos = pos + np.where(rice, 10, 0)
-    before = np.cumsum(width) - width
-    sample = pos[frame] + before - before[start][frame]
-    bits[(sample + q)[coded]] = 1
-    _put(bits, (sample + q + 1)[coded], us[coded], k[coded])
-    plain = kinds[frame] == -1
-    _put(bits, sample[plain], x[plain] & 0xFF, 8)
-    out = np.packbits(bits)
+    before = np.cumsum(width, dtype=np.int64)
+    before -= width
+    sample = before + np.repeat(pos - before[start], n)
+    # a Rice code is q zeros, a one and k bits; a verbatim sample its 8 bits
+    some = coded | plain
+    value = np.where(plain, x & 0xFF, (us & ((1 << k) - 1)) | (1 << k))[some]
+    bits.put((sample + q)[some], value, np.where(plain, 8, k + 1)[some])
+    out = bits.bytes(int(frame_bytes.sum()))
     for f, h in zip(first.tolist(), heads, strict=True):
         out[f : f + len(h)] = np.frombuffer(h, np.uint8)
     end = first + frame_bytes
@@ -252,51 +286,74 @@ def read_metadata(data: bytes) -> Stream:
     return Stream(*info, at, seek)
 
 
+_LEADING = np.concatenate([[16], 15 - np.floor(np.log2(np.arange(1, 1 << 16)))]).astype(np.uint8)  # zeros in front, of 16 bits
+
+
 class _Lanes:
     """Bit positions in one buffer, a lane each."""
 
     def __init__(self, raw: np.ndarray):
-        self.raw = raw
-        self.bits = np.append(np.unpackbits(raw), np.zeros(64, np.uint8))
-        n = len(self.bits)
-        here = np.where(self.bits == 1, np.arange(n, dtype=np.int32), np.int32(n - 1))
-        self.next_one = np.minimum.accumulate(here[::-1])[::-1]
+        self.n = len(raw) * 8
+        pad = np.append(raw, np.zeros(16, np.uint8)).astype(np.uint32)
+        self.word = pad[:-3] << np.uint32(24) | pad[1:-2] << np.uint32(16) | pad[2:-1] << np.uint32(8) | pad[3:]  # 32 bits from each byte on
 
     def read(self, pos: np.ndarray, width) -> np.ndarray:
-        """The unsigned values of ``width`` bits (a number or an array) at each position."""
-        width = np.broadcast_to(np.asarray(width), pos.shape)
-        out = np.zeros(len(pos), np.int64)
-        for b in range(int(width.max(initial=0))):
-            on = width > b
-            out = np.where(on, out << 1 | self.bits[np.minimum(pos + b, len(self.bits) - 1)], out)
-        return out
+        """The unsigned values of ``width`` bits (a number or an array, 33 at most) at each position."""
+        width, pos = np.asarray(width, np.uint64), np.minimum(pos, self.n)
+        at = pos >> 3
+        v = (self.word[at].astype(np.uint64) << np.uint64(32) | self.word[at + 4]) << (pos & 7).astype(np.uint64)
+        return np.where(width > 0, v >> np.minimum(np.uint64(64) - width, np.uint64(63)), np.uint64(0)).astype(np.int64)
 
     def signed(self, pos: np.ndarray, width) -> np.ndarray:
         v = self.read(pos, width)
         return np.where(v >> (np.asarray(width) - 1) & 1 == 1, v - (np.int64(1) << np.asarray(width)), v)
 
+    def zeros(self, pos: np.ndarray) -> np.ndarray:
+        """How many zeros stand in front of the next one at each position."""
+        out, todo = np.zeros(len(pos), np.int64), np.arange(len(pos))
+        while len(todo):
+            here = pos[todo] + out[todo]
+            if (here >= self.n).any():
+                raise ValueError("residuals run past the data")
+            z = _LEADING[self.read(here, 16)].astype(np.int64)
+            out[todo] += z
+            todo = todo[z == 16]
+        return out
+
     def rice(self, pos: np.ndarray, count: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, end positions): a (steps, lanes) matrix of zigzag-decoded residuals; lanes in step."""
         order = np.argsort(-count, kind="stable")
-        p, c, kk = pos[order].astype(np.int64), count[order], k[order]
+        p, c, kk = pos[order].astype(np.int64), count[order], k[order].astype(np.uint32)
         steps = int(c[0]) if len(c) else 0
-        live = np.searchsorted(-c, -np.arange(steps), "left")
-        stop = np.zeros((steps, len(c)), np.int64)
-        begin = np.zeros((steps, len(c)), np.int64)
-        jump = kk + 1
+        live = np.searchsorted(-c, -np.arange(steps), "left").tolist()
+        u = np.zeros((steps, len(c)), np.uint32)
+        jump, down = (kk + 1).astype(np.int64), np.uint32(32) - np.maximum(kk, 1)
+        word, last, seven, half = self.word, len(self.word) - 1, 7, np.uint32(16)
+        plain = kk > 0
         for i in range(steps):
             m = live[i]
-            begin[i, :m] = p[:m]
-            s = self.next_one[p[:m]]
-            stop[i, :m] = s
-            p[:m] = s + jump[:m]
-            if i & 255 == 255 and p.max() > len(self.bits):
+            here = p[:m]
+            w = word[np.minimum(here >> 3, last)]
+            w <<= (here & seven).astype(np.uint32)
+            q = _LEADING[w >> half]
+            # the word has 25 sure bits and 16 are looked up: a longer code is read by itself
+            far = np.flatnonzero((q == 16) | (q + jump[:m] > 25))
+            w <<= q
+            w <<= np.uint32(1)
+            w >>= down[:m]
+            got = np.where(plain[:m], w, np.uint32(0))
+            zeros = q.astype(np.int64)
+            if len(far):
+                zeros[far] = self.zeros(here[far])
+                got[far] = self.read(here[far] + zeros[far] + 1, kk[far])
+            u[i, :m] = zeros.astype(np.uint32) << kk[:m] | got
+            here += zeros
+            here += jump[:m]
+            if i & 255 == 255 and p.max() > self.n:
                 raise ValueError("residuals run past the data")
-        u = stop - begin
-        for b in range(int(kk.max(initial=0))):
-            on = kk > b
-            u[:, on] = u[:, on] << 1 | self.bits[np.minimum(stop[:, on] + 1 + b, len(self.bits) - 1)]
-        e = (u >> 1) ^ -(u & 1)
+        e = (u >> np.uint32(1)).view(np.int32)
+        u &= np.uint32(1)
+        e ^= -u.view(np.int32)
         out, ends = np.empty_like(e), np.empty(len(c), np.int64)
         out[:, order], ends[order] = e, p
         return out, ends
@@ -341,11 +398,12 @@ def _subframes(lanes: _Lanes, pos: np.ndarray, n: np.ndarray, depth: np.ndarray)
     wasted = lanes.read(pos + 7, 1)
     pos = pos + 8
     if wasted.any():
-        run = np.where(wasted == 1, lanes.next_one[pos] - pos + 1, 0)
+        run = np.zeros(len(pos), np.int64)
+        run[wasted == 1] = lanes.zeros(pos[wasted == 1]) + 1
         pos, wasted = pos + run, run
     depth = depth - wasted
     steps, count = int(n.max()), len(n)
-    out = np.zeros((steps, count), np.int64)
+    out = np.zeros((steps, count), np.int32 if depth.max(initial=0) <= 24 else np.int64)
     at = np.flatnonzero(kind == 0)
     out[:, at] = lanes.signed(pos[at], depth[at])[None, :]
     pos[at] += depth[at]
@@ -406,22 +464,27 @@ def _subframes(lanes: _Lanes, pos: np.ndarray, n: np.ndarray, depth: np.ndarray)
                         out[done[r] + np.arange(todo[coded[c]]), at[r]] = e[: todo[coded[c]], c]
             done[here] += todo
         pos[at] = p
-        _restore(out, at, order, coef, shift, n[at])
+        _restore(out, at, order, coef, shift, n[at], int(depth.max()) if top <= 12 else 64)
     out <<= wasted
     return out, pos
 
 
-def _restore(out: np.ndarray, at: np.ndarray, order: np.ndarray, coef: np.ndarray, shift: np.ndarray, n: np.ndarray) -> None:
+def _restore(out: np.ndarray, at: np.ndarray, order: np.ndarray, coef: np.ndarray, shift: np.ndarray, n: np.ndarray, depth: int) -> None:
     """Adds the predictions to the residuals in place, all lanes of an order in step."""
     for o in np.unique(order[order > 0]):
         mine = np.flatnonzero(order == o)
         mine = mine[np.argsort(-n[mine], kind="stable")]
-        cols, c, s = at[mine], np.ascontiguousarray(coef[:o, mine][::-1]), shift[mine]
-        x = out[:, cols]
-        live = np.searchsorted(-n[mine], -np.arange(int(n[mine[0]])), "left")
+        kind = np.int32 if depth <= 12 else np.int64  # twelve products of 12 and 15 bits fit 32
+        cols, c, s = at[mine], np.ascontiguousarray(coef[:o, mine][::-1]).astype(kind), shift[mine].astype(kind)
+        x = out[:, cols].astype(kind)
+        work = np.empty_like(c)
+        live = np.searchsorted(-n[mine], -np.arange(int(n[mine[0]])), "left").tolist()
         for i in range(int(o), int(n[mine[0]])):
             m = live[i]
-            x[i, :m] += (x[i - o : i, :m] * c[:, :m]).sum(axis=0) >> s[:m]
+            np.multiply(x[i - o : i, :m], c[:, :m], out=work[:, :m])
+            more = np.add.reduce(work[:, :m], axis=0)
+            more >>= s[:m]
+            x[i, :m] += more
         out[:, cols] = x
 
 
@@ -519,15 +582,14 @@ def decode_blocks(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return chosen.mapInArrow(run, f"{ddl}, block int, sample_offset long, samples int, channels int, bits int, pcm binary")
 
 
-def _feature(s: Stream) -> str:
-    x = s.pcm()[0]
+def _feature(s: Stream, x: np.ndarray) -> str:
     turns = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-    return f"frames={len(s.blocks)};mean={int(x.sum()) // len(x)};energy={int((x * x).sum()) // len(x)};peak={int(np.abs(x).max())};crossings={turns}"
+    wide = x.astype(np.int64)
+    return f"frames={len(s.blocks)};mean={int(wide.sum()) // len(x)};energy={int(np.vdot(wide, wide)) // len(x)};peak={int(np.abs(wide).max())};crossings={turns}"
 
 
-def audio_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every text."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def encode_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, flac) of every text: its UTF-8 bytes, padded with zero bytes to a positive multiple of 64, as 8-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -537,12 +599,31 @@ def audio_features(docs: DataFrame) -> DataFrame:
                 at = np.append(0, np.cumsum(padded))
                 payload = np.zeros(int(at[-1]), np.uint8)
                 payload[np.repeat(at[:-1] - off[:-1], size) + np.arange(len(raw))] = raw
-                stored = encode(payload, at)
-                del payload, raw
-                got = decode(stored)
-                back = [(s.pcm()[0] + 128).astype(np.uint8) for s in got]
-                cols = [size, [len(b) for b in back], [hashlib.sha256(b).hexdigest() for b in back], [zlib.crc32(b[-64:]) for b in back], [len(b) for b in stored], [hashlib.sha256(b).hexdigest() for b in stored], [_feature(s) for s in got]]
-                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(encode(payload, at), pa.binary())], names=["doc_id", "n_bytes", "flac"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, flac binary")
+
+
+def stream_features(encoded: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the streams of column ``flac`` (8-bit mono) alone."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, off = tk.string_buffers(batch.column(2))
+            for lo, hi in tk.row_chunks(off, CHUNK):
+                stored, rows = batch.column(2).slice(lo, hi - lo).to_pylist(), []
+                for data, s in zip(stored, decode(stored), strict=True):
+                    x = s.pcm()[0]
+                    back = (x + 128).astype(np.uint8).tobytes()
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), _feature(s, x)))
+                yield pa.record_batch([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+
+    return encoded.select("doc_id", "n_bytes", "flac").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def audio_features(docs: DataFrame, store: bool = False) -> DataFrame:
+    """The features of every text's stream. ``store`` writes the streams to the shared folder first; else they go on as a column, which the decoder alone sees."""
+    encoded = encode_texts(docs)
+    return stream_features(written(encoded, "flac") if store else encoded)

@@ -120,7 +120,7 @@ def test_flac_round_trip_and_checks(spark):
         flac.decode([bytes(broken)])
     df = spark.createDataFrame([(1, streams[2]), (2, None)], "id int, flac binary")
     rows = flac.decode_blocks(df, "flac", ["id"]).orderBy("block").collect()
-    assert [r.sample_offset for r in rows] == [0, 4096, 8192] and sum(r.samples for r in rows) == 9000
+    assert [r.sample_offset for r in rows] == list(range(0, 9000, flac.BLOCK_SIZE)) and sum(r.samples for r in rows) == 9000
     assert bytes((np.frombuffer(b"".join(r.pcm for r in rows), np.int8).astype(int) + 128).astype(np.uint8)) == cases[2]
 
 
@@ -139,10 +139,16 @@ def test_flac_checksums():
 def test_audio_features(spark):
     texts = [None, "", "x" * 64, "ü" * 5000, "hello", "hello"]
     got = {r.doc_id: r for r in flac.audio_features(docs_of(spark, texts)).collect()}
+    assert got == {r.doc_id: r for r in flac.audio_features(docs_of(spark, texts), store=True).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         pad = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        x = [b - 128 for b in pad]
+        turns = sum((p >= 0) != (q >= 0) for p, q in zip(x, x[1:], strict=False))
+        stream = flac.encode(np.frombuffer(pad, np.uint8), np.array([0, len(pad)]))[0]
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+        assert got[i].feature == f"frames={-(-len(pad) // flac.BLOCK_SIZE)};mean={sum(x) // len(x)};energy={sum(v * v for v in x) // len(x)};peak={max(map(abs, x))};crossings={turns}"
     assert got[4].media_sha256 == got[5].media_sha256 and got[4].feature == got[5].feature
     assert flac.audio_features(docs_of(spark, texts).limit(0)).count() == 0
 
