@@ -16,7 +16,9 @@ are averaged by their tokens before the next round. What a task holds is a
 chunk of texts and the weights, what the driver holds is the weights. Counts
 and scores cover whole texts of all rows. Scoring runs all texts of a chunk in step,
 window by window, and carries each text's state, so a long text needs no more
-memory than its tokens. Null and empty texts are the single end token.
+memory than its tokens. Null and empty texts are the single end token. Repeated
+rows count and score each by itself, and alike; an empty table gives no rows,
+and a model of an empty table scores by its random start.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ WINDOW_TOKENS, WINDOW_LEAST, WINDOW_MOST = 1 << 16, 64, 4096
 SCORE_BYTES = 16 << 20  # a chunk goes on for as many steps as its longest text has tokens
 #: Rows of logits worked on at once.
 ROW_BLOCK = 2048
+NEVER = (1 << 63) - 1
 #: Text of a training chunk, its lanes, and tokens of a lane at least; the weights are summed up in so many parts.
 TRAIN_BYTES, TRAIN_LANES, LANE_TOKENS, SUM_PARTS = 4 << 20, 512, 1024, 16
 
@@ -78,8 +81,8 @@ class Net:
 
     size: int
     per_class: int
-    x: np.ndarray  # (size, 3 * hidden) input of each token to the gates z, r and n
-    u: np.ndarray  # (hidden, 3 * hidden)
+    x: np.ndarray  # (3, size, hidden) input of each token to the gates z, r and n
+    u: np.ndarray  # (3, hidden, hidden)
     wc: np.ndarray  # (hidden, classes)
     bc: np.ndarray
     wt: np.ndarray  # (classes, hidden, per_class)
@@ -87,7 +90,7 @@ class Net:
 
     @property
     def hidden(self) -> int:
-        return len(self.u)
+        return self.u.shape[1]
 
     def params(self) -> list[np.ndarray]:
         return [getattr(self, f) for f in WEIGHTS]
@@ -103,23 +106,22 @@ def new_net(counts: np.ndarray, per_class: int, hidden: int, seed: int = 3) -> N
     c = c.reshape(classes, per_class)
     bt = np.where(c > 0, np.log(np.maximum(c, 1e-9) / c.sum(axis=1, keepdims=True)), -30.0)
     f32 = lambda a: np.asarray(a, np.float32)
-    return Net(size, per_class, f32(rng.normal(0, 0.1, (size, 3 * hidden))), f32(rng.normal(0, 1 / math.sqrt(hidden), (hidden, 3 * hidden))), f32(rng.normal(0, 0.05, (hidden, classes))), f32(np.log(c.sum(axis=1) / c.sum())), f32(rng.normal(0, 0.05, (classes, hidden, per_class))), f32(bt))
+    return Net(size, per_class, f32(rng.normal(0, 0.1, (3, size, hidden))), f32(rng.normal(0, 1 / math.sqrt(hidden), (3, hidden, hidden))), f32(rng.normal(0, 0.05, (hidden, classes))), f32(np.log(c.sum(axis=1) / c.sum())), f32(rng.normal(0, 0.05, (classes, hidden, per_class))), f32(bt))
 
 
 def step(net: Net, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The states after reading a token each, and what the backward pass needs."""
-    k = net.hidden
-    g, a = net.x[token], h @ net.u
-    zr = g[:, : 2 * k]
-    zr += a[:, : 2 * k]
+    g, a = np.take(net.x, token, axis=1), h @ net.u
+    zr, an = g[:2], a[2]
+    zr += a[:2]
     np.negative(zr, out=zr)
     with np.errstate(over="ignore"):
         np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    z, r, an = zr[:, :k], zr[:, k:], a[:, 2 * k :]
+    z, r = zr
     n = r * an
-    n += g[:, 2 * k :]
+    n += g[2]
     np.tanh(n, out=n)
     new = h - n
     new *= z
@@ -236,29 +238,33 @@ def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> t
     dh_out = np.empty_like(dh_rows)
     dh_out[order] = dh_rows
     dh_out = dh_out.reshape(steps, lanes, k)
-    dgate, da = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
-    dh, back = np.zeros((lanes, k), kind), np.ascontiguousarray(net.u.T)
+    dgate, da = np.empty((3, steps, lanes, k), kind), np.empty((3, steps, lanes, k), kind)
+    dh, back = np.zeros((lanes, k), kind), np.ascontiguousarray(net.u.transpose(0, 2, 1))
     for t in reversed(range(steps)):
         hp, z, r, an, n = saved[t]
-        g = dgate[t]
         keep = 1 - z
-        dn = np.multiply(dh, keep, out=g[:, 2 * k :])
-        dn *= 1 - n * n
-        dz = np.multiply(dh, hp - n, out=g[:, :k])
+        dz = np.multiply(dh, hp - n, out=dgate[0, t])
         dz *= z
         dz *= keep
-        dr = np.multiply(dn, an, out=g[:, k : 2 * k])
-        dr *= r
-        dr *= 1 - r
-        da[t, :, : 2 * k] = g[:, : 2 * k]
-        np.multiply(dn, r, out=da[t, :, 2 * k :])
-        dh = dh * z
-        dh += da[t] @ back
+        dn = np.multiply(dh, keep, out=dgate[2, t])
+        n *= n
+        n *= dn
+        dn -= n
+        dr = np.multiply(dn, an, out=dgate[1, t])
+        keep = np.multiply(r, r, out=keep)
+        np.subtract(r, keep, out=keep)
+        dr *= keep
+        da[:2, t] = dgate[:2, t]
+        np.multiply(dn, r, out=da[2, t])
+        dh *= z
         dh += dh_out[t]
+        for gate in np.matmul(da[:, t], back):
+            dh += gate
         if fresh[t].any():
             dh[fresh[t]] = 0
-    g_u = flat.T @ da.reshape(-1, 3 * k)
-    g_x = _sum_by_token(net.size, tok, dgate.reshape(-1, 3 * k))
+    g_u = np.stack([flat.T @ d.reshape(-1, k) for d in da])
+    rows = np.concatenate([d.reshape(-1, k) for d in dgate], axis=1)
+    g_x = np.ascontiguousarray(_sum_by_token(net.size, tok, rows).reshape(net.size, 3, k).transpose(1, 0, 2))
     return loss / m, [g_x, g_u, g_wc, g_bc, g_wt, g_bt], h
 
 
@@ -378,10 +384,17 @@ class Model:
 
 
 def fit(training: DataFrame, counts: DataFrame, vocabulary: int = 4095, frequent: int = 1 << 18, per_class: int = 64, hidden: int = 32, sample_texts: int = 1500, updates: int = 300, rounds: int = 3, rate: float = 0.004) -> Model:
-    """``training`` has the texts to learn from, ``counts`` is ``count_tokens`` of them, written."""
+    """``training`` has the texts to learn from, ``counts`` is ``count_tokens`` of them, written.
+
+    ``frequent`` bounds the tokens whose counts every task holds; tokens that
+    tie at the bound are left to the join with all counts.
+    """
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums.n or 0), int(sums.v)
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
+    # the least count that at most ``frequent`` tokens reach: distinct counts are few, so no task sees more than these
+    reach = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(frequent).toPandas()
+    least = reach["c"][reach["n"].cumsum() <= frequent].min()
+    top = counts.where(F.col("c") >= F.lit(int(least) if least == least else NEVER)).toArrow()
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     rank = np.lexsort((h, -c))
     h, c = h[rank], c[rank]
