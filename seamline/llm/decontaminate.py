@@ -6,12 +6,16 @@ fixed masks keeps two groups and ignores the other six positions, so that of
 any two substituted words at least one mask ignores both. Hashes of training
 windows first meet a bitmap of the benchmark's hashes, whose size is fixed;
 what passes is joined with the benchmark's windows and compared word by word: a
-hit has at least ``SPAN - substitutions`` equal words. Hits on one diagonal
-(document position minus item position) make an overlap. Items of fewer than
-``SPAN`` words are searched whole and without substitutions.
-
-Null and empty texts have no windows. Repeated rows give their pairs once.
-An empty benchmark gives no rows.
+hit has at least ``SPAN - substitutions`` equal words. Every such window is a
+hit, so windows on one diagonal (document position minus item position) that
+overlap or touch make one verified run, and a gap between them ends it. Items of
+fewer than ``SPAN`` words are searched whole and without substitutions.
+
+Null and empty texts have no windows. Repeated rows give their pairs once, and
+of equally long runs one counts. Long texts are read whole, a long one alone. An
+empty table or benchmark gives no rows. Rows without a doc_id are told together
+in ``find_overlaps``; ``clean`` goes by the text and drops them where they are
+contaminated.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import textkit as tk
-from seamline.llm.shared import written
+from seamline.llm.shared import fresh_names, written
 
 SPAN = 12
 GROUPS = 4
@@ -92,11 +96,22 @@ def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(run, "h long, words binary, item_id long, item_pos long, item_words long")
 
 
+def longest_run(starts: Column, span: Column) -> Column:
+    """Words of the longest stretch that windows of ``span`` words at the sorted ``starts`` cover without a gap."""
+    zero = F.lit(0).cast("long")
+
+    def grow(acc: Column, p: Column) -> Column:
+        begin = F.when(p <= acc["end"], acc["begin"]).otherwise(p)
+        return F.struct(begin.alias("begin"), (p + span).alias("end"), F.greatest(acc["best"], p + span - begin).alias("best"))
+
+    return F.aggregate(starts, F.struct(zero.alias("begin"), zero.alias("end"), zero.alias("best")), grow, lambda acc: acc["best"])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """(doc_id, item_id, overlap_words, item_words, coverage) for each document that holds a passage of an item.
 
-    ``overlap_words`` is the longest diagonal's extent in words, ``coverage``
-    its share of the item.
+    ``overlap_words`` is the longest run of words along a diagonal that verified
+    windows cover without a gap, ``coverage`` its share of the item.
     """
     spark = docs.sparkSession
     tests = written(_benchmark_windows(benchmark), "benchmark")
@@ -154,13 +169,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, substitutions: int = SU
     joined = hits.join(F.broadcast(tests) if tests.count() <= BROADCAST_WINDOWS else tests, "h")
     size = F.least(F.col("item_words"), F.lit(SPAN))
     need = F.when(F.col("item_words") < SPAN, F.col("item_words")).otherwise(F.lit(SPAN - substitutions))
-    # windows that overlap along one diagonal fold into one row in each task before the shuffle
-    found = joined.where(equal("doc_words", "words") >= need).groupBy("doc_id", "item_id", "item_words", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")).agg((F.max("item_pos") - F.min("item_pos") + F.first(size)).alias("extent"))
-    out = found.groupBy("doc_id", "item_id", "item_words").agg(F.max("extent").alias("overlap_words"))
+    # of a diagonal the positions that hit, an item's words at most, folded in each task before the shuffle
+    hit = joined.where(equal("doc_words", "words") >= need).groupBy("doc_id", "item_id", "item_words", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"))
+    longest = hit.select("doc_id", "item_id", "item_words", longest_run(F.array_sort("at"), size).alias("run"))
+    out = longest.groupBy("doc_id", "item_id", "item_words").agg(F.max("run").alias("overlap_words"))
     return out.select("doc_id", "item_id", "overlap_words", "item_words", (F.col("overlap_words") / F.col("item_words")).alias("coverage"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no passage of the benchmark was found, all columns."""
-    dirty = find_overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` in which no passage of the benchmark was found, all columns; rows are told by a 64-bit hash of their text."""
+    tag = fresh_names(docs.columns, "_tag")[0]
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+    dirty = find_overlaps(tagged.select(F.col(tag).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(tag)).distinct()
+    return tagged.join(dirty, tag, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
