@@ -39,7 +39,8 @@ from seamline.llm.shared import numbered, written
 END = np.uint64(0xE4D0F7E87)
 #: Tokens of a scoring window over all its texts, and bounds of its length: few long texts get long windows.
 WINDOW_TOKENS, WINDOW_LEAST, WINDOW_MOST = 1 << 16, 64, 4096
-SCORE_BYTES = 16 << 20  # a chunk goes on for as many steps as its longest text has tokens
+SCORE_BYTES = 8 << 20  # a chunk goes on for as many steps as its longest text has tokens
+HASH_BYTES = 1 << 20
 #: Rows of logits worked on at once.
 ROW_BLOCK = 2048
 NEVER = (1 << 63) - 1
@@ -60,6 +61,15 @@ def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, first
 
 
+def long_token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``token_hashes`` of a larger chunk, part by part: hashing takes many times a part's bytes."""
+    parts = [token_hashes(*tk.sub_buffers(raw, offsets, lo, hi)) for lo, hi in tk.row_chunks(offsets, HASH_BYTES)]
+    if len(parts) < 2:
+        return parts[0] if parts else token_hashes(raw, offsets)
+    shift = np.cumsum([0, *(len(h) for h, _ in parts)])
+    return np.concatenate([h for h, _ in parts]), np.concatenate([f[:-1] + s for (_, f), s in zip(parts, shift, strict=False)] + [shift[-1:]])
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(h, c) over all rows; each Arrow batch counts its tokens before the shuffle."""
 
@@ -377,10 +387,10 @@ class Model:
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or -1 if not among the frequent tokens, network token)."""
         if not len(self.known):
-            return np.full(len(h), -1), np.full(len(h), self.unknown)
+            return np.full(len(h), -1), np.full(len(h), self.unknown, np.int32)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         hit = self.known[at] == h
-        return np.where(hit, self.count[at], -1), np.where(hit, self.token[at], self.unknown)
+        return np.where(hit, self.count[at], -1), np.where(hit, self.token[at], self.unknown).astype(np.int32)
 
 
 def fit(training: DataFrame, counts: DataFrame, vocabulary: int = 4095, frequent: int = 1 << 18, per_class: int = 64, hidden: int = 32, sample_texts: int = 1500, updates: int = 300, rounds: int = 3, rate: float = 0.004) -> Model:
@@ -433,7 +443,7 @@ def learn_round(rows: DataFrame, model: Model, rate: float) -> int:
         adam, n = _Adam(net), 0
         for batch in batches:
             for _, _, raw, off in tk.column_chunks(batch, "text", TRAIN_BYTES):
-                h, first = token_hashes(raw, off)
+                h, first = long_token_hashes(raw, off)
                 if len(h):
                     pass_over(adam, m.look_up(h)[1], first, rate)
                     n += len(h)
@@ -484,15 +494,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) ->
         m = held.value
         for batch in batches:
             for lo, hi, raw, off in tk.column_chunks(batch, source, SCORE_BYTES):
-                h, first = token_hashes(raw, off)
+                h, first = long_token_hashes(raw, off)
                 c, tok = m.look_up(h)
-                n, doc = hi - lo, np.repeat(np.arange(hi - lo), np.diff(first))
+                n, doc = hi - lo, np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
                 value = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
                 outside = tok == m.unknown
-                sums = [np.bincount(doc, w, n) for w in (value, value * outside, outside.astype(float), (c >= 0).astype(float))]
-                net = score_texts(m.net, tok, first) / math.log(10)
+                sums = [np.bincount(doc, value, n), np.bincount(doc[outside], value[outside], n), np.bincount(doc[outside], minlength=n).astype(float), np.bincount(doc[c >= 0], minlength=n).astype(float)]
                 rare = np.flatnonzero(c < 0)
                 d, x = doc[rare], h[rare]
+                del h, c, value, outside, doc, rare
+                net = score_texts(m.net, tok, first) / math.log(10)
                 order = np.lexsort((x, d))
                 d, x = d[order], x[order]
                 new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])]) if len(d) else np.empty(0, np.int64)
