@@ -31,28 +31,26 @@ def hand(raw: Column) -> Column:
     return F.when(left & ~right, "LHB").when(right & ~left, "RHB")
 
 
-#: Words that name a bowling family, and phrases that decline an answer.
-DECLINES = ["does not bowl", "did not bowl", "none", "unknown", "occasional wicket keeper"]
-OFF = ["off break", "offbreak", "off spin", "offspin"]
-LEG = ["leg break", "legbreak", "leg spin", "legspin", "googly", "wrist spin"]
-ORTHODOX = ["orthodox", "slow left arm orthodox"]
-UNORTHODOX = ["unorthodox", "chinaman", "slow left arm wrist"]
-FAST = ["fast", "medium", "pace", "seam", "swing"]
+#: Word beginnings that name a bowling family, an arm or pace, and phrases that say a player does not bowl.
+DECLINES = ["does not bowl", "doesnt bowl", "none", "non bowler", "no bowling"]
+UNORTHODOX = ["unorthodox", "chinaman", "wrist"]
+ORTHODOX = ["orthodox"]
+OFF = ["off break", "offbreak", "off spin", "offspin", "offbreaks", "off cutter"]
+LEG = ["leg break", "legbreak", "leg spin", "legspin", "legbreaks", "googly"]
+FAST = ["fast", "medium", "pace", "seam", "swing", "quick"]
 
 
 def bowl_class(raw: Column) -> Column:
-    """One of RAP, LAP, OB, LB, SLA, SLW, or null: a stated arm overrides the family's, and mixed families give none."""
+    """One of RAP, LAP, OB, LB, SLA, SLW, or null: a stated arm overrides the family's own, pace needs one, mixed families give none."""
     t = tokens(raw)
     left, right = has(t, "left"), has(t, "right")
-    unorthodox = has(t, *UNORTHODOX)
-    orthodox = has(t, *ORTHODOX)
-    off, leg = has(t, *OFF), has(t, *LEG) & ~unorthodox
-    pace = has(t, *FAST)
-    n = sum((c.cast("int") for c in (off, leg, orthodox, unorthodox)), F.lit(0))
-    spin = (
-        F.when(off, F.when(left & ~right, "SLA").otherwise("OB")).when(leg, F.when(left & ~right, "SLW").otherwise("LB")).when(orthodox, F.when(right & ~left, "OB").otherwise("SLA")).when(unorthodox, F.when(right & ~left, "LB").otherwise("SLW"))
-    )
-    return F.when(has(t, *DECLINES) | (left & right) | (n > 1) | ((n == 1) & pace), None).when(n == 1, spin).when(pace & left, "LAP").when(pace & right, "RAP")
+    only_left, only_right = left & ~right, right & ~left
+    family = [has(t, *words) for words in (UNORTHODOX, LEG, OFF, ORTHODOX)]
+    unorthodox, leg, off, orthodox = family
+    pace, n = has(t, *FAST), sum((c.cast("int") for c in family), F.lit(0))
+    wrist, finger = F.when(only_right, "LB").otherwise("SLW"), F.when(only_right, "OB").otherwise("SLA")
+    spin = F.when(unorthodox, wrist).when(leg, F.when(only_left, "SLW").otherwise("LB")).when(off, F.when(only_left, "SLA").otherwise("OB")).when(orthodox, finger)
+    return F.when(has(t, *DECLINES) | (n > 1) | ((n == 1) & pace), None).when(pace, F.when(only_left, "LAP").when(only_right, "RAP")).otherwise(spin)
 
 
 def edition_year(first_date: Column) -> Column:
@@ -182,10 +180,24 @@ def check_token(secret: bytes, run_id: str, date: str, token: str) -> bool:
     return hmac.compare_digest(run_token(secret, run_id, date), token)
 
 
-def stable_attributes(name: Column) -> tuple[Column, Column, Column]:
-    """Three small numbers that a name alone decides, for venues without data."""
-    h = F.crc32(F.encode(F.lower(F.trim(name)), "utf-8"))
-    return F.pmod(h, F.lit(5)), F.pmod(F.shiftright(h, 8), F.lit(7)), F.pmod(F.shiftright(h, 16), F.lit(3))
+def fnv1a(text: Column) -> Column:
+    """The public 32-bit FNV-1a hash of the UTF-8 bytes, as a long."""
+    digits = F.hex(F.encode(text, "utf-8"))
+    byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(2166136261).cast("bigint"), lambda h, i: F.pmod(h.bitwiseXOR(byte(i)) * F.lit(16777619), F.lit(1 << 32)))
+
+
+#: The least and the spread of each measure of a ground that has no data, and which bits of the hash give it.
+GROUND = {"straight": (66, 11, 0), "square": (60, 9, 8), "capacity": (15000, 30000, 16), "tiers": (1, 3, 4)}
+
+
+def stable_attributes(venue: Column) -> dict[str, Column]:
+    """Measures that a venue's name alone decides, for those without data; and its name and city, apart at the last comma."""
+    h = fnv1a(venue)
+    out = {k: (F.lit(least) + F.pmod(F.shiftright(h, bits), F.lit(spread))).cast("int") for k, (least, spread, bits) in GROUND.items()}
+    parts = F.regexp_extract(venue, "^(.+), (.*)$", 1), F.regexp_extract(venue, "^(.+), (.*)$", 2)
+    return {"name": F.when(parts[0] != "", parts[0]).otherwise(venue), "city": parts[1], **out, "roof": F.when(F.pmod(F.shiftright(h, 12), F.lit(3)) == 1, "partial").otherwise("none")}
 
 
 def local_date(ts: Column) -> Column:

@@ -59,9 +59,11 @@ class Filter:
 
 
 def parse_range(text: str, lowest: int = 1, highest: int = 20) -> tuple[int, int]:
-    """"15-19" as two numbers, counted from 0; a single number is a range of one."""
-    a, _, b = text.partition("-")
-    lo, hi = int(a), int(b or a)
+    """"15-19" as two numbers, counted from 0; a single number is no range."""
+    a, dash, b = text.partition("-")
+    if not dash or not a.strip().isdigit() or not b.strip().isdigit():
+        raise ValueError(f"{text!r} is not a range like 15-19")
+    lo, hi = int(a), int(b)
     if not lowest <= lo <= hi <= highest:
         raise ValueError(f"range {text!r} is outside {lowest}-{highest}")
     return lo - 1, hi - 1

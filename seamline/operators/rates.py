@@ -53,15 +53,26 @@ def shrinkage_weight(total: Column, kappa: Column) -> Column:
     return F.coalesce(F.try_divide(total.cast("double"), total + kappa), F.lit(0.0))
 
 
+def by_player(counts: DataFrame) -> DataFrame:
+    """(cell, player, total, n): a row for each player and cell with data, its outcomes as an array; one shuffle, shared by all that follow."""
+    n = [F.coalesce(F.sum(F.when(F.col("outcome") == k, F.col("n"))), F.lit(0)) for k in OUT]
+    return counts.groupBy("cell", "player").agg(F.sum("n").alias("total"), F.array(*n).alias("n"))
+
+
+def _by_cell(stats: DataFrame, kappas: DataFrame) -> DataFrame:
+    """(cell, prior, mean_runs, kappa): twelve rows with arrays by outcome, sent to all tasks."""
+    pick = lambda c: F.array(*[F.max(F.when(F.col("outcome") == k, F.col(c))) for k in OUT])
+    return F.broadcast(stats.groupBy("cell").agg(pick("prior").alias("prior"), pick("mean_runs").alias("mean_runs")).join(F.broadcast(kappas), "cell"))
+
+
 def posteriors(counts: DataFrame, stats: DataFrame, players: DataFrame, kappas: DataFrame) -> DataFrame:
     """(cell, player, outcome, n, total, posterior, weight, mean_runs) for every player, cell and outcome; without data the prior with weight 0."""
-    own = counts.groupBy("cell", "player", "outcome").agg(F.sum("n").alias("n"))
-    totals = own.groupBy("cell", "player").agg(F.sum("n").alias("total"))
-    # players by the 108 rows of stats, which is of fixed size
-    full = players.select("player").crossJoin(F.broadcast(stats.select("cell", "outcome", "prior", "mean_runs"))).join(F.broadcast(kappas), "cell")
-    df = full.join(own, ["cell", "player", "outcome"], "left").join(totals, ["cell", "player"], "left")
-    n, total = F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0))
-    return df.select("cell", "player", "outcome", n.alias("n"), total.alias("total"), shrink(n, total, F.col("prior"), F.col("kappa")).alias("posterior"), shrinkage_weight(total, F.col("kappa")).alias("weight"), "mean_runs", "prior")
+    # players by the twelve rows of cells, which are of fixed size
+    full = players.select("player").crossJoin(_by_cell(stats, kappas)).join(by_player(counts), ["cell", "player"], "left")
+    at = lambda c: F.element_at(c, F.col("outcome") + 1)
+    df = full.withColumn("outcome", F.explode(F.array(*map(F.lit, OUT))))
+    n, total = F.coalesce(at("n"), F.lit(0)), F.coalesce("total", F.lit(0))
+    return df.select("cell", "player", "outcome", n.alias("n"), total.alias("total"), shrink(n, total, at("prior"), F.col("kappa")).alias("posterior"), shrinkage_weight(total, F.col("kappa")).alias("weight"), at("mean_runs").alias("mean_runs"), at("prior").alias("prior"))
 
 
 def cell_rates(post: DataFrame) -> DataFrame:
@@ -72,13 +83,17 @@ def cell_rates(post: DataFrame) -> DataFrame:
     return g.select("cell", "player", "total", F.round("weight", 6).alias("weight"), F.round("xr", 6).alias("expected_runs"), F.round(legal, 6).alias("legal_share"), F.round(F.coalesce(F.try_divide(F.col("xr") * 6, legal), F.lit(0.0)), 6).alias("economy"), F.round(F.coalesce(F.try_divide(F.col("xr") * 100, legal), F.lit(0.0)), 6).alias("strike_rate"), F.round(F.coalesce(F.try_divide(legal, F.col("w")), F.lit(0.0)), 6).alias("balls_per_wicket"))
 
 
-def phase_rates(post: DataFrame) -> DataFrame:
+def phase_rates(counts: DataFrame, stats: DataFrame, kappas: DataFrame) -> DataFrame:
     """Rates of (player, role, phase): its two opposition cells weighted by deliveries, empty ones left out; raw and shrunk."""
     role, phase, _ = ball.uncell(F.col("cell"))
-    at = lambda c, k: F.sum(F.when(F.col("outcome").isin(k), F.col(c)).otherwise(0.0))
-    raw = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double"))
-    p = post.where("total > 0").withColumn("raw", raw)
-    c = p.groupBy("player", role.alias("role"), phase.alias("phase"), "cell").agg(F.max("total").alias("total"), F.max("weight").alias("weight"), F.sum(F.col("posterior") * F.col("mean_runs")).alias("xr"), F.sum(F.col("raw") * F.col("mean_runs")).alias("rr"), at("posterior", [7, 8]).alias("xi"), at("raw", [7, 8]).alias("ri"))
+    n, prior, mean = (lambda k, c=c: F.element_at(c, k + 1) for c in ("n", "prior", "mean_runs"))
+    raw = lambda k: F.try_divide(n(k).cast("double"), F.col("total").cast("double"))
+    post = lambda k: shrink(n(k), F.col("total"), prior(k), F.col("kappa"))
+    total = lambda f, outcomes: sum((f(k) for k in outcomes), F.lit(0.0))
+    c = by_player(counts).where("total > 0").join(_by_cell(stats, kappas), "cell").select(
+        "player", role.alias("role"), phase.alias("phase"), "total", shrinkage_weight(F.col("total"), F.col("kappa")).alias("weight"),
+        total(lambda k: post(k) * mean(k), OUT).alias("xr"), total(lambda k: raw(k) * mean(k), OUT).alias("rr"), total(post, [7, 8]).alias("xi"), total(raw, [7, 8]).alias("ri"),
+    )
     w = lambda c: (F.sum(F.col(c) * F.col("total")) / F.sum("total"))
     g = c.groupBy("player", "role", "phase").agg(F.sum("total").alias("deliveries"), w("weight").alias("weight"), w("xr").alias("xr"), w("rr").alias("rr"), w("xi").alias("xi"), w("ri").alias("ri"))
     eco = lambda r, i: F.coalesce(F.try_divide(F.col(r) * 6, 1 - F.col(i)), F.lit(0.0))

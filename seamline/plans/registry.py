@@ -106,12 +106,12 @@ def cells(s: SparkSession, d: str) -> DataFrame:
 
 @query("P17_J8_edge_lookup", L("""
 , e AS (SELECT batter, bowler, count(*) FILTER (legal) AS balls, sum(runs_bat)::BIGINT AS runs, count(*) FILTER (costs AND credited AND player_out = batter) AS outs FROM x WHERE NOT super_over GROUP BY ALL)
- SELECT p.player, q.player AS bowler, coalesce(balls, 0) AS balls, coalesce(round(coalesce(100.0 * runs / nullif(balls, 0), 0), 6), 0) AS strike_rate, round(runs::DOUBLE / nullif(outs, 0), 6) AS average
- FROM bat p CROSS JOIN (SELECT player FROM bowl WHERE player <= 5) q LEFT JOIN e ON e.batter = p.player AND e.bowler = q.player"""))
+ SELECT p.player, p.bowler, coalesce(balls, 0) AS balls, coalesce(round(coalesce(100.0 * runs / nullif(balls, 0), 0), 6), 0) AS strike_rate, round(runs::DOUBLE / nullif(outs, 0), 6) AS average
+ FROM (SELECT batter AS player, bowler FROM e UNION SELECT player, -1 FROM bat) p LEFT JOIN e ON e.batter = p.player AND e.bowler = p.bowler"""))
 def edge_lookup(s: SparkSession, d: str) -> DataFrame:
     e = ag.edge_rates(ag.edges(lx(s, d)))
-    five = v.bowling_attributes(s, d).where("player <= 5").select(F.col("player").alias("bowler"))  # five ids
-    grid = v.batting_attributes(s, d).select(F.col("player").alias("batter")).crossJoin(F.broadcast(five))
+    # all pairs that met, and one that never did for each batter
+    grid = e.select("batter", "bowler").union(v.batting_attributes(s, d).select("player", F.lit(-1).cast("bigint")))
     return grid.join(e, ["batter", "bowler"], "left").select(F.col("batter").alias("player"), "bowler", F.coalesce("balls", F.lit(0)).alias("balls"), F.coalesce("strike_rate", F.lit(0.0)).alias("strike_rate"), "average")
 
 
@@ -247,6 +247,11 @@ def _kappa(s: SparkSession, k: float = 150.0) -> DataFrame:
     return s.range(12).select(F.col("id").cast("int").alias("cell"), F.lit(k).alias("kappa"))
 
 
+def _phase_rates(s: SparkSession, d: str) -> DataFrame:
+    c = _counts(s, d)
+    return ra.phase_rates(c, ra.cell_stats(c), _kappa(s))
+
+
 def _post(s: SparkSession, d: str) -> DataFrame:
     c = _counts(s, d)
     players = v.bowling_attributes(s, d).select("player").union(v.batting_attributes(s, d).select("player")).distinct()
@@ -283,17 +288,17 @@ _PHASE = """
 
 @query("A21_phase_rates", L(_COUNTS + _STATS + _POST + _PHASE + " SELECT * FROM pr"))
 def phase_rates(s: SparkSession, d: str) -> DataFrame:
-    return ra.phase_rates(_post(s, d))
+    return _phase_rates(s, d)
 
 
 @query("K3_leaderboard", L(_COUNTS + _STATS + _POST + _PHASE + " SELECT *, row_number() OVER (PARTITION BY role, phase ORDER BY CASE role WHEN 0 THEN shrunk_rate ELSE -shrunk_rate END, player) AS place FROM pr WHERE deliveries >= 20 QUALIFY place <= 15"))
 def leaderboard(s: SparkSession, d: str) -> DataFrame:
-    return ra.leaderboard(ra.phase_rates(_post(s, d)), 20)
+    return ra.leaderboard(_phase_rates(s, d), 20)
 
 
 @query("K4_movers", L(_COUNTS + _STATS + _POST + _PHASE + " SELECT *, round(shrunk_rate - raw_rate, 6) AS moved FROM pr WHERE role = 0 AND deliveries >= 30 AND raw_rate <> 0 ORDER BY moved DESC, player, phase LIMIT 20"))
 def movers(s: SparkSession, d: str) -> DataFrame:
-    return ra.movers(ra.phase_rates(_post(s, d)))
+    return ra.movers(_phase_rates(s, d))
 
 
 @query("B4_log_marginal", L(_COUNTS + _STATS + """
@@ -318,7 +323,7 @@ _QUALITY = """
 
 @query("B8_bowler_quality", L(_COUNTS + _STATS + _POST + _PHASE + _QUALITY + " SELECT player, round(q, 6) AS quality, greatest(3, least(20, floor(3 + 17 * q + 0.5)::INT)) AS cost FROM bq"))
 def quality(s: SparkSession, d: str) -> DataFrame:
-    return ra.bowler_quality(ra.phase_rates(_post(s, d)))
+    return ra.bowler_quality(_phase_rates(s, d))
 
 
 @query("B8_batter_quality", L(_VOLUMES + _COUNTS + _STATS + _POST + _PHASE + """
@@ -326,12 +331,12 @@ def quality(s: SparkSession, d: str) -> DataFrame:
  bb AS (SELECT sr.player, 0.7::DOUBLE * greatest(0.0, least(1.0, (sr - 110) / 55)) + 0.3::DOUBLE * CASE WHEN dismissals = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, (faced::DOUBLE / dismissals - 12) / 18)) END AS q FROM sr JOIN vol ON vol.player = sr.player)
  SELECT player, round(q, 6) AS quality, greatest(3, least(20, floor(3 + 17 * q + 0.5)::INT)) AS cost FROM bb"""))
 def batter_quality(s: SparkSession, d: str) -> DataFrame:
-    return ra.batter_quality(ra.phase_rates(_post(s, d)), _volumes(s, d))
+    return ra.batter_quality(_phase_rates(s, d), _volumes(s, d))
 
 
 @query("B9_K8_draft_pool", L(_VOLUMES + _COUNTS + _STATS + _POST + _PHASE + _QUALITY + " SELECT 'bowler' AS role, bq.player, round(q, 6) AS quality, greatest(3, least(20, floor(3 + 17 * q + 0.5)::INT)) AS cost FROM bq JOIN vol ON vol.player = bq.player WHERE bowled >= 400 AND round(q, 6) > 0 ORDER BY cost DESC, bq.player"))
 def draft(s: SparkSession, d: str) -> DataFrame:
-    r, vol = ra.phase_rates(_post(s, d)), _volumes(s, d)
+    r, vol = _phase_rates(s, d), _volumes(s, d)
     return ra.draft_pool(ra.bowler_quality(r), ra.batter_quality(r, vol), vol).where("role = 'bowler'").orderBy(F.desc("cost"), "player")
 
 

@@ -16,7 +16,7 @@ from seamline.operators import results as re_
 from seamline.operators import simulate as si
 from seamline.operators import windows as wi
 from seamline.plans import views as v
-from seamline.plans.registry import E, L, _pool, _POOL, ex, lx, query
+from seamline.plans.registry import _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
 from seamline.session import ship
 from seamline.sources import ingest
 
@@ -127,13 +127,11 @@ def nested(s: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.role")
 
 
-@query("S10_rates_round_trip", None)
+@query("S10_rates_round_trip", L(_COUNTS + _STATS + " SELECT cell, outcome, n, players, deliveries, round(prior, 9) AS prior, round(mean_runs, 6) AS mean_runs FROM st"))
 def rates_round_trip(s: SparkSession, d: str) -> DataFrame:
-    from seamline.plans.registry import _counts
-
     path = scratch(s)
     ra.cell_stats(_counts(s, d)).write.parquet(path)
-    return s.read.parquet(path)
+    return s.read.parquet(path).withColumn("prior", F.round("prior", 9)).withColumn("mean_runs", F.round("mean_runs", 6))
 
 
 # -- text
@@ -145,21 +143,50 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "documents").select("doc_id", t.alias("tokens"), tx.has(t, "ther").alias("has_ther"))
 
 
-HANDS = [("Right-hand bat", "RHB"), ("Left handed", "LHB"), ("", None), ("Unknown", None), ("left or right", None), ("RIGHT hand", "RHB")]
-BOWLS = [
-    ("Right arm fast-medium", "RAP"), ("Left-arm swing", "LAP"), ("Right-arm offbreak", "OB"), ("Right-arm leg spin", "LB"), ("Slow left arm orthodox", "SLA"), ("Left-arm chinaman", "SLW"), ("Off-break", "OB"), ("Legbreak googly", "LB"), ("Orthodox", "SLA"), ("Unorthodox spin", "SLW"), ("Left-arm leg break", "SLW"), ("Left-arm off break", "SLA"), ("Right-arm wrist spin", "LB"),
-    ("", None), ("Does not bowl", None), ("Slow", None), ("Fast bowler", None), ("Right-arm bowler", None), ("Right-arm medium, off break", None), ("Leg break, Off-break", None),
+ARMS = ["Right-arm", "left arm", "", "RIGHT", "Leftarm", "right or left"]
+HANDS = ["hand bat", "handed", "Unknown", "", "-hand, opener", "LEFT"]
+STYLES = [
+    "fast-medium", "swing", "offbreak", "leg spin", "slow orthodox", "chinaman", "Off-break", "Legbreak googly", "Orthodox", "Unorthodox spin", "wrist spin", "quick", "off cutter", "Slow", "bowler",
+    "medium, off break", "Leg break, Off-break", "does not bowl", "no bowling: fast", "none", "", "occasional wicket keeper, medium", "seamer", "pace",
 ]
+_TOKENS = "concat(' ', trim(regexp_replace(regexp_replace(lower(raw), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g')), ' ')"
+
+
+def _phrases(*parts: list[str]) -> str:
+    """SQL of ``doc_id`` and ``raw``: every combination of the parts comes up in the course of the table."""
+    words, step = [], 1
+    for p in parts:
+        words.append(f"[{', '.join(map(_q, p))}][1 + (doc_id // {step} % {len(p)})::INT]")
+        step *= len(p)
+    return f"SELECT doc_id, trim(concat_ws(' ', {', '.join(words)})) AS raw FROM documents"
+
+
+def _phrase(s: SparkSession, d: str, *parts: list[str]) -> DataFrame:
+    words, step = [], 1
+    for p in parts:
+        words.append(F.element_at(F.array(*map(F.lit, p)), (F.floor(F.col("doc_id") / step) % len(p) + 1).cast("int")))
+        step *= len(p)
+    return v.table(s, d, "documents").select("doc_id", F.trim(F.concat_ws(" ", *words)).alias("raw"))
+
 
+def _starts(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(t, ' {w}')" for w in words) + ")"
 
-@query("F3_hands", _values(HANDS, "raw, hand"))
+
+@query("F3_hands", f"SELECT doc_id, raw, CASE WHEN contains(t, ' left') = contains(t, ' right') THEN NULL WHEN contains(t, ' left') THEN 'LHB' ELSE 'RHB' END AS hand FROM (SELECT *, {_TOKENS} AS t FROM ({_phrases(ARMS, HANDS)}))")
 def hands(s: SparkSession, d: str) -> DataFrame:
-    return _rows(s, [(a,) for a, _ in HANDS], "raw string").select("raw", tx.hand(F.col("raw")).alias("hand"))
+    return _phrase(s, d, ARMS, HANDS).select("doc_id", "raw", tx.hand(F.col("raw")).alias("hand"))
+
+
+_FAMILIES = {"u": ("unorthodox", "chinaman", "wrist"), "g": ("leg break", "legbreak", "leg spin", "legspin", "googly"), "f": ("off break", "offbreak", "off spin", "offspin", "off cutter"), "o": ("orthodox",)}
 
 
-@query("F4_bowling_classes", _values(BOWLS, "raw, bowl_class"))
+@query("F4_bowling_classes", f"""WITH p AS (SELECT *, {_TOKENS} AS t FROM ({_phrases(ARMS, STYLES)})),
+ w AS (SELECT *, contains(t, ' left') AND NOT contains(t, ' right') AS l, contains(t, ' right') AND NOT contains(t, ' left') AS r, {_starts("fast", "medium", "pace", "seam", "swing", "quick")} AS p, {", ".join(f"{_starts(*words)} AS {k}" for k, words in _FAMILIES.items())} FROM p)
+ SELECT doc_id, raw, CASE WHEN {_starts("does not bowl", "doesnt bowl", "none", "non bowler", "no bowling")} OR u::INT + g::INT + f::INT + o::INT + p::INT <> 1 THEN NULL WHEN p THEN CASE WHEN l THEN 'LAP' WHEN r THEN 'RAP' END
+  WHEN u THEN CASE WHEN r THEN 'LB' ELSE 'SLW' END WHEN g THEN CASE WHEN l THEN 'SLW' ELSE 'LB' END WHEN f THEN CASE WHEN l THEN 'SLA' ELSE 'OB' END ELSE CASE WHEN r THEN 'OB' ELSE 'SLA' END END AS bowl_class FROM w""")
 def bowls(s: SparkSession, d: str) -> DataFrame:
-    return _rows(s, [(a,) for a, _ in BOWLS], "raw string").select("raw", tx.bowl_class(F.col("raw")).alias("bowl_class"))
+    return _phrase(s, d, ARMS, STYLES).select("doc_id", "raw", tx.bowl_class(F.col("raw")).alias("bowl_class"))
 
 
 @query("F5_F6_dates", "SELECT o_orderkey::BIGINT AS key, year(o_orderdate)::INT AS edition, strftime(o_orderdate, '%Y%m%d')::INT AS date_int FROM orders")
@@ -168,13 +195,14 @@ def dates(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), tx.edition_year(t).alias("edition"), tx.date_int(t).alias("date_int"))
 
 
-LABELS = [("0.1", 0, 0), ("19.4", 19, 3), ("17.4", 17, 3), ("104", None, None), ("a.1", None, None), ("1.x", None, None), ("", None, None)]
+_LABELS = "CASE l_linenumber % 7 WHEN 0 THEN (l_orderkey % 200)::VARCHAR WHEN 1 THEN concat('a.', l_linenumber) WHEN 2 THEN concat(l_linenumber, '.x') ELSE concat(l_orderkey % 20, '.', l_linenumber) END"
 
 
-@query("F8_ball_labels", _values(LABELS, "label, over, ball"))
+@query("F8_ball_labels", f"SELECT label, CASE WHEN regexp_full_match(label, '[0-9]+[.][0-9]+') THEN split_part(label, '.', 1)::INT END AS over, CASE WHEN regexp_full_match(label, '[0-9]+[.][0-9]+') THEN split_part(label, '.', 2)::INT - 1 END AS ball, count(*) AS n FROM (SELECT {_LABELS} AS label FROM lineitem) GROUP BY ALL")
 def labels(s: SparkSession, d: str) -> DataFrame:
+    x = v.table(s, d, "lineitem").selectExpr("CASE l_linenumber % 7 WHEN 0 THEN cast(l_orderkey % 200 AS string) WHEN 1 THEN concat('a.', l_linenumber) WHEN 2 THEN concat(l_linenumber, '.x') ELSE concat(l_orderkey % 20, '.', l_linenumber) END AS label")
     o, b = tx.ball_label(F.col("label"))
-    return _rows(s, [(x[0],) for x in LABELS], "label string").select("label", o.alias("over"), b.alias("ball"))
+    return x.groupBy("label").agg(F.count("*").alias("n")).select("label", o.alias("over"), b.alias("ball"), "n")
 
 
 @query("F7_F18_json_fields", "SELECT event_id, (props ->> '$.k')::INT AS k, coalesce(props ->> '$.stage', '') AS stage FROM events")
@@ -193,9 +221,9 @@ def one_decimal(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "part").select(F.col("p_partkey").cast("bigint").alias("key"), tx.one_decimal(F.col("p_retailprice")).alias("shown"))
 
 
-@query("F12_clean_player", r"SELECT doc_id, trim(regexp_replace(substr(trim(substr(text, 1, 60), ' '), 1, 24), '[^A-Za-z0-9_\- ]', '', 'g'), ' ') AS player FROM documents")
+@query("F12_clean_player", r"SELECT doc_id, trim(regexp_replace(substr(trim(text, ' '), 1, 24), '[^A-Za-z0-9_\- ]', '', 'g'), ' ') AS player FROM documents")
 def clean_player(s: SparkSession, d: str) -> DataFrame:
-    return v.table(s, d, "documents").select("doc_id", tx.clean_player(F.substring("text", 1, 60)).alias("player"))
+    return v.table(s, d, "documents").select("doc_id", tx.clean_player(F.col("text")).alias("player"))
 
 
 INTENTS = [("b", "block"), (" ATTACK ", "attack"), ("", "rotate"), ("r", "rotate"), ("sweep", None), ("a", "attack")]
@@ -237,10 +265,16 @@ def page_fields(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), "<[^>]*>", ""), r"\s+", " ")).alias("heading"))
 
 
-@query("F23_stable_attributes")
+_VENUES = "SELECT concat(n_name, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat(', ', n_name) ELSE ', the, far' END) AS venue FROM nation"
+
+
+@query("F23_stable_attributes", f"""WITH v AS ({_VENUES}), h AS (SELECT venue, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(venue, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM v)
+ SELECT venue, CASE WHEN contains(venue, ', ') THEN regexp_extract(venue, '^(.+), (.*)$', 1) ELSE venue END AS name, regexp_extract(venue, '^(.+), (.*)$', 2) AS city, (66 + h % 11)::INT AS straight, (60 + (h >> 8) % 9)::INT AS square, (15000 + (h >> 16) % 30000)::INT AS capacity, (1 + (h >> 4) % 3)::INT AS tiers, CASE (h >> 12) % 3 WHEN 1 THEN 'partial' ELSE 'none' END AS roof FROM h""")
 def stable(s: SparkSession, d: str) -> DataFrame:
-    a, b, c = tx.stable_attributes(F.col("n_name"))
-    return v.table(s, d, "nation").select("n_name", a.alias("pace"), b.alias("spin"), c.alias("size"))
+    n = F.col("n_nationkey") % 3
+    venue = F.concat("n_name", F.when(n == 0, "").when(n == 1, F.concat(F.lit(", "), "n_name")).otherwise(", the, far"))
+    df = v.table(s, d, "nation").select(venue.alias("venue"))
+    return df.select("venue", *[c.alias(k) for k, c in tx.stable_attributes(F.col("venue")).items()])
 
 
 @query("F20_F21_keys")

@@ -113,8 +113,8 @@ def coverage(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def write_facts(d: DataFrame, path: str) -> None:
-    """Facts by season, rows of an innings together, so that filters on season and innings skip files and row groups."""
-    d.repartition("season").sortWithinPartitions("season", "innings_id", "delivery_id").write.mode("overwrite").partitionBy("season").parquet(path)
+    """Facts by season, rows of an innings together, so that filters on season and innings skip files and row groups; a large season is cut into ranges of innings."""
+    d.repartitionByRange("season", "innings_id").sortWithinPartitions("season", "innings_id", "delivery_id").write.mode("overwrite").partitionBy("season").parquet(path)
 
 
 def verify_round_trip(d: DataFrame, path: str) -> None:
@@ -153,9 +153,17 @@ def write_matrix(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
 
 
-def write_document(rows: DataFrame, path: str, **more) -> None:
-    """A small report as indented JSON: collected rows (at most 10,000) under ``rows``."""
-    got = [r.asDict(recursive=True) for r in rows.limit(10_000).collect()]
+def _few(rows: DataFrame, most: int) -> list:
+    """The rows of a report; more than ``most`` are refused, never cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of more than {most} rows: write a table, or raise the bound")
+    return got
+
+
+def write_document(rows: DataFrame, path: str, most: int = 10_000, **more) -> None:
+    """A small report as indented JSON: its rows, at most ``most``, under ``rows``."""
+    got = [r.asDict(recursive=True) for r in _few(rows, most)]
     with open(path, "w") as f:
         json.dump(more | {"rows": got}, f, indent=2, default=str)
         f.write("\n")
@@ -166,8 +174,8 @@ def read_document(path: str) -> dict:
         return json.load(f)
 
 
-def markdown_table(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small result as a Markdown section."""
+def markdown_table(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A small result, of at most ``most`` rows, as a Markdown section."""
     lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " - |" * len(rows.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect()]
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in _few(rows, most)]
     return "\n".join(lines) + "\n"

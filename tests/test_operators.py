@@ -49,7 +49,7 @@ def test_distribution(spark):
     nobody = spark.createDataFrame([], "player long, hand string")
     r = ag.with_rates(ag.distribution(ag.Filter(hand="LHB").apply(x, nobody))).first()
     assert r.deliveries == 0 and r.economy == 0.0
-    assert ag.parse_range("15-19") == (14, 18) and ag.parse_range("3") == (2, 2)
+    assert ag.parse_range("15-19") == (14, 18) and ag.parse_range("3-3") == (2, 2)
     with pytest.raises(ValueError):
         ag.parse_range("0-5")
 
