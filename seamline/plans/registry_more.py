@@ -127,6 +127,52 @@ def nested(s: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.role")
 
 
+def _documents(x: DataFrame) -> DataFrame:
+    """(day, doc): a match document for each match of ``x``, as the readers of sources expect it."""
+    name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("P"), F.col(c).cast("string")))
+    ball = F.struct(
+        name("batter").alias("batter"), name("bowler").alias("bowler"), name("non_striker").alias("non_striker"), F.struct(F.col("runs_bat").alias("batter")).alias("runs"),
+        F.struct("wides", "noballs", "byes", "legbyes", "penalty").alias("extras"), F.when(F.col("wicket").isNotNull(), F.array(F.struct(F.col("wicket").alias("kind"), name("player_out").alias("player_out")))).alias("wickets"),
+    )
+    nested = lambda df, keys, order, value, alias: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda e: e["v"]).alias(alias))
+    overs = nested(x, ["match_id", "innings_id", "super_over", "over"], "delivery_id", ball, "deliveries")
+    inns = nested(overs, ["match_id", "innings_id", "super_over"], "over", F.struct("over", "deliveries"), "overs")
+    matches = nested(inns, ["match_id"], "innings_id", F.struct(F.lit("A").alias("team"), "super_over", "overs"), "innings")
+    seen = x.select("match_id", F.explode(F.array("batter", "bowler", "non_striker")).alias("p")).distinct()
+    people = seen.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("P"), F.col("p").cast("string")), F.concat(F.lit("id"), F.col("p").cast("string"))))).alias("people"))
+    day = F.date_format(F.date_add(F.lit("2008-01-01").cast("date"), F.col("match_id").cast("int")), "yyyy-MM-dd")
+    info = F.struct(F.array(day).alias("dates"), F.array(F.lit("A"), F.lit("B")).alias("teams"), F.lit("Ground").alias("venue"), F.struct("people").alias("registry"))
+    return matches.join(people, "match_id").select(day.alias("day"), F.to_json(F.struct(info.alias("info"), "innings")).alias("doc"))
+
+
+@query("S1_S3_S4_J4_P7_ingest", E("""
+, p AS (SELECT DISTINCT unnest([batter, bowler, non_striker]) AS p FROM d), r AS (SELECT p, (dense_rank() OVER (ORDER BY concat('id', p)) - 1)::INT AS player_id FROM p),
+ m AS (SELECT match_id, (row_number() OVER (ORDER BY match_id) - 1)::INT AS no FROM (SELECT DISTINCT match_id FROM d)), i AS (SELECT match_id, innings_id, (row_number() OVER (PARTITION BY match_id ORDER BY innings_id) - 1)::INT AS inn FROM (SELECT DISTINCT match_id, innings_id FROM d))
+ SELECT m.no AS match_id, (m.no * 8 + i.inn)::BIGINT AS innings_id, over, (row_number() OVER (PARTITION BY d.innings_id, super_over, over ORDER BY delivery_id) - 1)::INT AS ball_in_over, b.player_id AS batter, w.player_id AS bowler, n.player_id AS non_striker, o.player_id AS player_out, runs_bat, wides, noballs, byes, legbyes, wicket
+ FROM d JOIN m ON m.match_id = d.match_id JOIN i ON i.innings_id = d.innings_id LEFT JOIN r b ON b.p = batter LEFT JOIN r w ON w.p = bowler LEFT JOIN r n ON n.p = non_striker LEFT JOIN r o ON o.p = player_out"""))
+def ingest_documents(s: SparkSession, d: str) -> DataFrame:
+    root = scratch(s)
+    x = v.ordered(s, d)
+    # a document a file, all in one folder of the readers' pattern
+    _documents(x).write.partitionBy("day").text(f"{root}/matches.json")
+    everyone = x.select(F.explode(F.array("batter", "bowler", "non_striker")).alias("p")).distinct()
+    everyone.selectExpr("concat('id', p) AS identifier", "concat('P', p) AS name", "concat('Player ', p) AS unique_name", "p AS key_cricinfo").write.option("header", True).csv(f"{root}/register.csv")
+    m = ingest.read_matches(s, root)
+    seen = ingest.people(m)
+    players = ingest.resolve_players(seen, ingest.read_register(s, f"{root}/register.csv"))
+    got = ingest.with_player_ids(ingest.deliveries(m), seen, players)
+    return got.select("match_id", "innings_id", "over", "ball_in_over", "batter", "bowler", "non_striker", "player_out", "runs_bat", "wides", "noballs", "byes", "legbyes", "wicket")
+
+
+@query("S8_S9_attributes", "SELECT concat('id', s_suppkey) AS person_id, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'RHB' WHEN 1 THEN 'LHB' END AS batting_hand, 'sourced' AS provenance FROM supplier")
+def attributes(s: SparkSession, d: str) -> DataFrame:
+    path, blank = scratch(s), F.lit(None).cast("string")
+    df = v.table(s, d, "supplier").selectExpr("concat('id', s_suppkey) AS person_id", "concat(' ', s_name, ' ') AS name", "CASE s_suppkey % 3 WHEN 0 THEN 'RHB' WHEN 1 THEN 'LHB' END AS batting_hand", "'sourced' AS provenance")
+    df = df.select(*[F.col(c) if c in df.columns else blank.alias(c) for c in ingest.ATTRIBUTES])
+    ingest.save_attributes(df, path)
+    return ingest.load_attributes(s, path).select("person_id", "name", "batting_hand", "provenance")
+
+
 @query("S10_rates_round_trip", L(_COUNTS + _STATS + " SELECT cell, outcome, n, players, deliveries, round(prior, 9) AS prior, round(mean_runs, 6) AS mean_runs FROM st"))
 def rates_round_trip(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s)
@@ -226,22 +272,27 @@ def clean_player(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "documents").select("doc_id", tx.clean_player(F.col("text")).alias("player"))
 
 
-INTENTS = [("b", "block"), (" ATTACK ", "attack"), ("", "rotate"), ("r", "rotate"), ("sweep", None), ("a", "attack")]
-SITUATIONS = [("free:180:12", 180, 12), ("free:171:12", None, None), ("free:200:255", None, None), ("x", None, None), ("free:214:0", 214, 0)]
 WIKI = [("[[Right-arm fast|fast bowler]] <ref>x</ref>", "fast bowler"), ("a '''b''' <!-- c --> d", "a b d"), ("{{flag|X}} [[Y]]<br/>z", "Yz"), ("<ref name=a/>t  u", "t u")]
 TEMPLATES = [("{{ubl|class=nowrap|X}}", "X"), ("{{plainlist|{{ubl|A|B}}}}", "A, B"), ("a{{unknown|z}}b", "ab")]
 BOXES = [("{{Infobox\n| bowling = Right-arm fast \n| x = 1", "Right-arm fast"), ("|BOWLING=leg", "leg"), ("| bowling =\n| x = 1", ""), ("none", "")]
 
 
-@query("F13_intents", _values(INTENTS, "raw, intent"))
+_INTENTS = ["b", " ATTACK ", "", "r", "sweep", "a", "Block", "rotate", "attacking", "R "]
+
+
+@query("F13_intents", f"SELECT doc_id, raw, CASE WHEN lower(trim(raw)) IN ('b', 'block') THEN 'block' WHEN lower(trim(raw)) IN ('', 'r', 'rotate') THEN 'rotate' WHEN lower(trim(raw)) IN ('a', 'attack') THEN 'attack' END AS intent FROM ({_phrases(_INTENTS)})")
 def intents(s: SparkSession, d: str) -> DataFrame:
-    return _rows(s, [(a,) for a, _ in INTENTS], "raw string").select("raw", tx.intent(F.col("raw")).alias("intent"))
+    return _phrase(s, d, _INTENTS).select("doc_id", "raw", tx.intent(F.col("raw")).alias("intent"))
+
+
+_SITUATION = "concat('free:', 165 + doc_id % 60, ':', CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE ((doc_id * 37) % 300)::VARCHAR END)"
 
 
-@query("F14_situations", _values(SITUATIONS, "id, target, venue"))
+@query("F14_situations", f"SELECT doc_id, id, CASE WHEN ok THEN t END AS target, CASE WHEN ok THEN w END AS venue FROM (SELECT *, t BETWEEN 172 AND 214 AND w BETWEEN 0 AND 254 AS ok FROM (SELECT doc_id, {_SITUATION} AS id, (165 + doc_id % 60)::INT AS t, CASE WHEN doc_id % 11 <> 0 THEN ((doc_id * 37) % 300)::INT END AS w FROM documents))")
 def situations(s: SparkSession, d: str) -> DataFrame:
+    df = v.table(s, d, "documents").selectExpr("doc_id", _SITUATION.replace("((doc_id * 37) % 300)::VARCHAR", "cast((doc_id * 37) % 300 as string)") + " AS id")
     t, w = tx.parse_situation(F.col("id"))
-    return _rows(s, [(x[0],) for x in SITUATIONS], "id string").select("id", t.alias("target"), w.alias("venue"))
+    return df.select("doc_id", "id", t.alias("target"), w.alias("venue"))
 
 
 @query("F15_wikitext", _values(WIKI, "raw, clean"))
