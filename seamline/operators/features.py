@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions import ball
-from seamline.operators.rates import shrink, shrinkage_weight
+from seamline.operators.rates import OUT, shrink, shrinkage_weight
 from seamline.operators.windows import running_state
 
 BEFORE = (W.unboundedPreceding, -1)
@@ -39,21 +39,34 @@ def season_rates_before(counts: DataFrame, kappa: float) -> DataFrame:
     return full.select(F.col("s").alias("season"), "cell", "player", "outcome", shrink(F.coalesce("n", F.lit(0)), F.col("total"), F.col("prior"), k).alias("posterior"), shrinkage_weight(F.col("total"), k).alias("weight"))
 
 
-def player_summaries(post: DataFrame) -> DataFrame:
-    """(season, cell, player) with expected runs, dot, boundary, wicket share and weight."""
-    runs = F.create_map(*[F.lit(v) for kv in enumerate(map(float, ball.NOMINAL_RUNS)) for v in kv])
-    at = lambda *k: F.sum(F.when(F.col("outcome").isin(*k), F.col("posterior")).otherwise(0.0))
-    return post.groupBy("season", "cell", "player").agg(F.sum(F.col("posterior") * runs[F.col("outcome")]).alias("exp_runs"), at(0).alias("dot"), at(4, 5).alias("boundary"), at(6).alias("wicket"), F.max("weight").alias("weight"))
+def summaries_before(counts: DataFrame, kappa: float) -> DataFrame:
+    """(season, cell, player) with expected runs, dot, boundary, wicket share and weight from the seasons before, for the seasons in which a player has data.
+
+    Sums over earlier seasons are windows over a row a season, cell and player,
+    so nothing is joined with later seasons; priors are a row a season and cell.
+    """
+    names, before = [f"n{k}" for k in OUT], lambda *keys: W.partitionBy(*keys).orderBy("season").rowsBetween(*BEFORE)
+    own = counts.groupBy("season", "cell", "player").agg(*[F.coalesce(F.sum(F.when(F.col("outcome") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in OUT])
+    cell = own.groupBy("season", "cell").agg(*[F.sum(n).alias(n) for n in names])
+    cell = cell.select("season", "cell", *[F.coalesce(F.sum(n).over(before("cell")), F.lit(0)).alias(f"c{n}") for n in names])
+    sums = own.select("season", "cell", "player", *[F.coalesce(F.sum(n).over(before("cell", "player")), F.lit(0)).alias(n) for n in names])
+    total, of_cell, k = sum((F.col(n) for n in names), F.lit(0)), sum((F.col(f"c{n}") for n in names), F.lit(0)), F.lit(kappa)
+    df = sums.withColumn("total", total).where("total > 0").join(F.broadcast(cell), ["season", "cell"])
+    post = [shrink(F.col(n), F.col("total"), F.col(f"c{n}") / of_cell.cast("double"), k) for n in names]
+    return df.select(
+        "season", "cell", "player", sum((p * F.lit(float(r)) for p, r in zip(post, ball.NOMINAL_RUNS, strict=True)), F.lit(0.0)).alias("exp_runs"),
+        post[0].alias("dot"), (post[4] + post[5]).alias("boundary"), post[6].alias("wicket"), shrinkage_weight(F.col("total"), k).alias("weight"),
+    )
 
 
 def venue_rate_before(x: DataFrame, least: int = 600) -> DataFrame:
-    """(season, venue, venue_rate) from earlier seasons; the overall rate for venues with few balls, 0 in the first season."""
+    """(season, venue, venue_rate) from earlier seasons, for the seasons that a venue has; the overall rate for venues with few balls, 0 in the first season."""
     v = x.groupBy("season", "venue").agg(F.sum(F.col("total").cast("bigint")).alias("t"), F.count_if("legal").alias("l"))
-    grid = v.select("season").distinct().crossJoin(F.broadcast(v.select("venue").distinct()))
-    a, b = grid.alias("a"), v.alias("b")
-    own = a.join(b, (F.col("a.venue") == F.col("b.venue")) & (F.col("b.season") < F.col("a.season")), "left").groupBy("a.season", "a.venue").agg(F.coalesce(F.sum("b.t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b.l"), F.lit(0)).alias("l"))
-    every = W.partitionBy("season")
-    rate = F.when(F.col("l") >= least, ball.ratio(F.col("t"), F.col("l"))).otherwise(ball.ratio(F.sum("t").over(every), F.sum("l").over(every)))
+    sums = lambda w, *names: [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for c, n in zip(("t", "l"), names, strict=True)]
+    # a row a season meets in one task, never more
+    every = v.groupBy("season").agg(F.sum("t").alias("t"), F.sum("l").alias("l")).select("season", *sums(W.orderBy("season").rowsBetween(*BEFORE), "all_t", "all_l"))
+    own = v.select("season", "venue", *sums(W.partitionBy("venue").orderBy("season").rowsBetween(*BEFORE), "t", "l")).join(F.broadcast(every), "season")
+    rate = F.when(F.col("l") >= least, ball.ratio(F.col("t"), F.col("l"))).otherwise(ball.ratio(F.col("all_t"), F.col("all_l")))
     return own.select("season", "venue", rate.alias("venue_rate"))
 
 
@@ -75,7 +88,7 @@ def extract(x: DataFrame, bat_attr: DataFrame, bowl_attr: DataFrame, kappa: floa
     s = s.join(head_to_head_before(x), ["batter", "bowler", "match_id"], "left").join(venue_rate_before(x), ["season", "venue"], "left")
     from seamline.operators.rates import cell_counts
 
-    sums = player_summaries(season_rates_before(cell_counts(x, bat_attr, bowl_attr), kappa))
+    sums = summaries_before(cell_counts(x, bat_attr, bowl_attr), kappa)
     p = ball.phase_no()
     s = s.withColumn("bat_cell", ball.cell(F.lit(1), p, ball.is_spin(F.col("bowl_class")).cast("int"))).withColumn("bowl_cell", ball.cell(F.lit(0), p, (F.col("hand") == "LHB").cast("int")))
     for side, who in (("bat", "batter"), ("bowl", "bowler")):
