@@ -10,7 +10,10 @@ the limit falls in proportion for texts of under ``reject_full`` n-grams.
 The model is fitted on a bounded sample of labelled rows: up to
 ``sample_per_lang`` distinct texts a language, chosen by a hash of the text,
 which is documented in ``fit``; predictions read every whole text. Null or empty texts
-and texts without a letter are ``und`` with score 0.
+and texts without a letter are ``und`` with score 0. Of equally near centroids
+the first by language name decides; repeated rows are judged alike; an empty
+table gives no rows; of a long text all n-grams count, and 512 texts' vectors
+are held at once, however short they are.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ A pair at the threshold shares no band with probability (1 - t**rows)**bands:
 standard deviations. Texts without words have an empty set and are linked with
 nothing; fewer than five words make one shingle; nulls count as empty texts; a
 row without doc_id takes part but gives no id to others. Repeated rows are
-rows of the same node. An empty table gives no rows.
+rows of the same node. An empty table gives no rows. A long text is read whole,
+and its set stands in blocks of their own size. Equal estimates need no order:
+every pair that a sketch allows is settled by its sets.
 """
 
 from __future__ import annotations

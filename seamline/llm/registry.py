@@ -26,6 +26,7 @@ LISTED_LABELS = ["spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets
 
 
 def _remainder(df: DataFrame, n: int):
+    """Null for a row without doc_id, which is never held out."""
     return F.pmod(F.crc32(df.doc_id.cast("string")), F.lit(n))
 
 
@@ -39,7 +40,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import lang_id
 
     docs = table(spark, sf_dir, "documents")
-    docs = docs.withColumn("held_out", _remainder(docs, 3) == 1)
+    docs = docs.withColumn("held_out", F.coalesce(_remainder(docs, 3) == 1, F.lit(False)))
     model = lang_id.fit(docs.where("NOT held_out"))
     return lang_id.identify(docs, model, ["doc_id", "held_out"])
 
@@ -60,7 +61,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import toxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    docs = docs.withColumn("held_out", _remainder(docs, 5) == 0)
+    docs = docs.withColumn("held_out", F.coalesce(_remainder(docs, 5) == 0, F.lit(False)))
     model = toxicity.fit(docs.where("NOT held_out"), labels.where(_remainder(labels, 5) != 0))
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
@@ -82,7 +83,7 @@ def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.shared import written
 
     docs = table(spark, sf_dir, "documents")
-    docs = docs.withColumn("held_out", _remainder(docs, 7) == 2)
+    docs = docs.withColumn("held_out", F.coalesce(_remainder(docs, 7) == 2, F.lit(False)))
     training = docs.where("NOT held_out").select("text")
     counts = written(lm.count_tokens(training), "counts")
     return lm.score(docs, lm.fit(training, counts), counts, ["doc_id", "held_out"])

@@ -13,9 +13,11 @@ from seamline.session import ship  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI in ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The URI in ``spark.checkpoint.dir``; where that is unset, a temporary folder for a local master (tests), and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

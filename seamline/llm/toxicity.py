@@ -10,7 +10,8 @@ The fit uses a bounded sample (``max_positive``, ``max_unlabelled`` distinct tex
 at most, by a hash of the text; copies count once); scoring reads every whole text. Words are runs of letters,
 ASCII lower-cased. Null and empty texts have no words: their score is that of
 the bias alone. Without a positive example every score is 0. Repeated rows are
-scored alike.
+scored alike, and of equally telling words the one with the lower hash bucket is
+kept; an empty table gives no rows. Long texts are read whole, a chunk at least.
 """
 
 from __future__ import annotations

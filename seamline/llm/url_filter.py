@@ -28,6 +28,7 @@ from seamline.llm.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_LEVELS = 40
+BITS_LEAST = 1.4427  # of a Bloom filter for a key and a halving of its false positives
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,7 @@ def _u64(column: pa.Array) -> np.ndarray:
 
 
 def _build(keys: DataFrame, level: int, n: int, rate: float, max_bytes: int) -> Level:
-    bits = max(64, math.ceil(n * 1.4427 * math.log2(1 / rate) / 64) * 64)
+    bits = max(64, math.ceil(n * BITS_LEAST * math.log2(1 / rate) / 64) * 64)
     probes = max(1, round(math.log2(1 / rate)))
     if bits // 8 > max_bytes:
         raise ValueError(f"a level of {bits // 8} bytes exceeds max_bytes={max_bytes}: use more shards")
@@ -166,18 +167,21 @@ def with_membership(df: DataFrame, key: str, levels: list[Level], name: str = "l
     return df.withColumn(name, member(*seeds))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], listed_labels: list[str], rate: float = 0.25, max_bytes: int = 64 << 20, shards: int = 1) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], listed_labels: list[str], rate: float = 0.25, max_bytes: int = 64 << 20, shards: int | None = None) -> DataFrame:
     """Judges every row's ``url``: the longest fitting rule's verdict, else block where the host is listed.
 
     A host is listed if one of its dot-separated labels is in ``listed_labels``.
     The key universe is every distinct host of ``pages``. ``shards`` splits the
-    keys by hash when one cascade would pass ``max_bytes``.
+    keys by hash; by default into as many parts as keep each cascade's levels
+    under ``max_bytes``. Long urls are like any other.
     """
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    universe = base.groupBy(F.col("host").alias("key")).agg(F.lit(1).alias("one")).select("key")
+    universe = written(base.groupBy(F.col("host").alias("key")).agg(F.lit(1).alias("one")).select("key"), "hosts")
+    if shards is None:
+        shards = max(1, math.ceil(universe.count() * BITS_LEAST * math.log2(4 / rate) / 8 / max_bytes))
     is_listed = F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in listed_labels])) if listed_labels else F.lit(False)
     if shards > 1:
-        universe = written(universe.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards))), "hosts")
+        universe = universe.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards)))
         df = base.withColumn("listed", F.lit(False)).withColumn("shard", F.pmod(F.xxhash64("host", F.lit(-1)), F.lit(shards)))
         for s in range(shards):
             levels = build_cascade(universe.where(F.col("shard") == s), is_listed, rate, max_bytes)

@@ -13,7 +13,9 @@ Files are written under attempt-unique names, and only those that a finished
 task reported are read: a lost or repeated task leaves an unread file at most.
 Nulls: a null payload is empty, a null url is an empty target, a row without
 an id is a response that nothing refers to. Repeated rows make a record each;
-an empty table makes no archive and no rows.
+an empty table makes no archive and no rows. A payload of any length is one
+record, and is held whole by the task that writes or reads it. Equal payloads
+under one page_id are told apart by nothing: neither refers to the other.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from seamline.llm.shared import fresh_path, written
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 1 << 20
+HOT_SHARE = 1000
 
 
 def _id(page_id: int | None) -> str:
@@ -155,8 +158,13 @@ def with_refers_to(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.sha1(F.encode("html", "utf-8")))
     keys = base.where(F.octet_length("html") >= min_bytes).select("page_id", "_sha")
     # partial aggregation first: a payload that a third of the rows share is one row per task
-    best = keys.groupBy("_sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = keys.join(best, "_sha").where("page_id < refers_to").distinct()
+    best = written(keys.groupBy("_sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    # payloads with more than a thousandth of all rows are a thousand at most, and go to all tasks
+    many = max(HOT_SHARE, pages.count() // HOT_SHARE)
+    hot, cold = best.where(F.col("n") > many).drop("n"), best.where(F.col("n") <= many).drop("n")
+    near = keys.join(F.broadcast(hot), "_sha")
+    far = keys.join(F.broadcast(hot.select("_sha")), "_sha", "left_anti").join(cold, "_sha")
+    later = near.unionByName(far).where("page_id < refers_to").distinct()
     return base.join(later, ["page_id", "_sha"], "left").drop("_sha")
 
 
