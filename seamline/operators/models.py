@@ -148,11 +148,26 @@ def chase_rules(p: Column, need: Column, balls: Column, wickets: Column) -> Colu
     return F.when(need <= 0, 1.0).when((balls <= 0) | (wickets <= 0), 0.0).when(need > 6 * balls, 0.0).otherwise(p)
 
 
-def monotone_violations(grid: DataFrame, p: str, along: str, rising: bool, *fixed: str) -> DataFrame:
-    """How often a probability moves the wrong way along one feature of a grid."""
-    step = F.col(p) - F.lag(p).over(W.partitionBy(*fixed).orderBy(along))
-    wrong = step < -1e-12 if rising else step > 1e-12
-    return grid.select(wrong.alias("wrong")).agg(F.count_if("wrong").alias("violations"))
+#: The point that a sweep starts from, each feature's first and last value and step, and the direction that the probability must take.
+SWEEP_BASE = {"need": 60, "balls": 60, "wickets": 6}
+SWEEPS = {"need": (1, 159, 2, False), "balls": (1, 119, 2, True), "wickets": (1, 10, 1, True)}
+
+
+def monotone_sweeps(spark) -> DataFrame:
+    """(feature, value, rising, need, balls, wickets): each feature swept with the others at the base point."""
+    out = None
+    for name, (lo, hi, by, rising) in SWEEPS.items():
+        v = spark.range(lo, hi + 1, by).select(F.lit(name).alias("feature"), F.col("id").alias("value"), F.lit(rising).alias("rising"))
+        v = v.select("*", *[(F.col("value") if c == name else F.lit(x).cast("bigint")).alias(c) for c, x in SWEEP_BASE.items()])
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+def sweep_violations(sweeps: DataFrame, p: str) -> DataFrame:
+    """(feature, rising, violations) of a probability over ``monotone_sweeps``."""
+    step = F.col(p) - F.lag(p).over(W.partitionBy("feature", "rising").orderBy("value"))
+    wrong = F.when(F.col("rising"), step < -1e-12).otherwise(step > 1e-12)
+    return sweeps.select("feature", "rising", wrong.alias("wrong")).groupBy("feature", "rising").agg(F.count_if("wrong").alias("violations"))
 
 
 # -- distributions in array columns

@@ -34,8 +34,12 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 def scratch(s: SparkSession) -> str:
-    """A fresh path in the folder that executors share; a temporary one only where none is set."""
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+    """A fresh path in the folder that executors share; a temporary one only for a local master without one."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
@@ -392,11 +396,15 @@ def chase(s: SparkSession, d: str) -> DataFrame:
     return lx(s, d).groupBy("innings_id", "over", p.alias("p")).agg(F.count("*").alias("n"))
 
 
-@query("B16_monotone_grid", "SELECT 0::BIGINT AS violations")
+_BUMPY = "1 / (1 + exp(need * 6.0 / balls - 6.5 - 0.3 * wickets)) + CASE WHEN need % 10 = 7 OR balls % 30 = 29 OR wickets = 4 THEN 0.05 ELSE 0.0 END"
+
+
+@query("B16_monotone_grid", f"""WITH g AS (SELECT 'need' AS feature, v AS value, false AS rising, v AS need, 60 AS balls, 6 AS wickets FROM range(1, 160, 2) t(v) UNION ALL SELECT 'balls', v, true, 60, v, 6 FROM range(1, 120, 2) t(v) UNION ALL SELECT 'wickets', v, true, 60, 60, v FROM range(1, 11) t(v)),
+ s AS (SELECT *, p - lag(p) OVER (PARTITION BY feature ORDER BY value) AS step FROM (SELECT *, CASE WHEN need > 6 * balls THEN 0.0 ELSE {_BUMPY} END AS p FROM g))
+ SELECT feature, rising, count(*) FILTER (CASE WHEN rising THEN step < -1e-12 ELSE step > 1e-12 END) AS violations FROM s GROUP BY ALL""")
 def monotone(s: SparkSession, d: str) -> DataFrame:
-    grid = s.range(1, 200).withColumnRenamed("id", "need").crossJoin(F.broadcast(s.range(0, 121, 6).withColumnRenamed("id", "balls")))  # 21 rows
-    p = mo.chase_rules(1 / (1 + F.exp(F.col("need") * 6.0 / F.greatest("balls", F.lit(1)) - 8.5)), F.col("need"), F.col("balls"), F.lit(5))
-    return mo.monotone_violations(grid.withColumn("p", p), "p", "need", False, "balls")
+    p = mo.chase_rules(F.expr(_BUMPY), F.col("need"), F.col("balls"), F.col("wickets"))  # with bumps, which must be found
+    return mo.sweep_violations(mo.monotone_sweeps(s).withColumn("p", p), "p")
 
 
 @query("B10_affordable", "SELECT * FROM (VALUES (0, 6), (1, 6), (2, 5), (3, 3), (4, 3), (5, 12)) t(i, cost)")
