@@ -22,8 +22,27 @@ def _kind_expr(index: str) -> str:
     return "CASE " + " ".join(f"WHEN {index} = {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
 
 
+def materialise(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes both fact views once, rows of an innings together and in season order; queries over ``sf_dir`` in this application then read them.
+
+    Without it every query joins the tables anew. ``path`` is a folder that all executors share.
+    """
+    for view in (relational, ordered):
+        facts = view(spark, sf_dir).repartitionByRange("season", "innings_id").sortWithinPartitions("season", "innings_id", "delivery_id")
+        facts.write.mode("overwrite").parquet(f"{path}/{view.__name__}")
+    made = getattr(spark.sparkContext, "_seamline_facts", {})
+    spark.sparkContext._seamline_facts = made | {sf_dir: path}
+
+
+def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    path = getattr(spark.sparkContext, "_seamline_facts", {}).get(sf_dir)
+    return spark.read.parquet(f"{path}/{name}") if path else None
+
+
 def relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line item; the two nation columns stand for venue and teams."""
+    if (made := _made(spark, sf_dir, "relational")) is not None:
+        return made
     line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "cast(l_quantity as int) AS q", "l_returnflag AS flag", "l_linestatus AS status")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     d = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -65,6 +84,8 @@ def _over(name: str = "over") -> str:
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event, in event order within innings."""
+    if (made := _made(spark, sf_dir, "ordered")) is not None:
+        return made
     e = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", "cast(get_json_object(props, '$.k') as int) AS k", "(unix_seconds(cast(ts as timestamp)) - 1704067200) div 28800 AS inn")
     d = e.selectExpr(*[x.replace("//", "div") for x in _ORDERED])
     return d.selectExpr("*", _over().format(div="div")).select(*COLUMNS)
