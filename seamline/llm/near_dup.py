@@ -43,6 +43,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
+ROWS_AT_ONCE = 1024  # texts or pairs that a task works on
 BLOCK = 512  # rows of a block, and shingles of its sets
 BLOCK_SHINGLES = 1 << 20
 PIVOT_ROUNDS = 2
@@ -248,7 +249,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, off in tk.column_chunks(batch, "text"):
+            for lo, hi, raw, off in tk.column_chunks(batch, "text", rows=ROWS_AT_ONCE):
                 x, cuts = shingle_sets(raw, off)
                 size = np.diff(cuts)
                 mh = minhashes(x, cuts)
@@ -297,7 +298,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, off in tk.column_chunks(batch, "text"):
+            for lo, hi, raw, off in tk.column_chunks(batch, "text", rows=ROWS_AT_ONCE):
                 x, cuts = shingle_sets(raw, off)
                 size = np.diff(cuts)
                 mh = minhashes(x, cuts)
@@ -352,9 +353,11 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            both = _BySet(pa.chunked_array([batch.column(2), batch.column(3)]), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(both.pairs(np.arange(n), np.arange(n, 2 * n))))
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                n = part.num_rows
+                both = _BySet(pa.chunked_array([part.column(2), part.column(3)]), percent)
+                yield part.select(["a", "b"]).filter(pa.array(both.pairs(np.arange(n), np.arange(n, 2 * n))))
 
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
