@@ -39,7 +39,7 @@ def _cased(titles: str) -> str:
     return f"{titles}|{titles.upper()}"
 
 
-MALE = _cased("Mr|Sr|Herr|Señor|Monsieur|Signor|г-н|Господин|Κύριος") + "|ΚΥΡΙΟΣ"
+MALE = _cased("Mr|Herr|Señor|Monsieur|Signor|г-н|Господин|Κύριος") + "|ΚΥΡΙΟΣ"
 FEMALE = _cased("Mrs|Ms|Miss|Sra|Srta|Frau|Señora|Madame|Signora|г-жа|Госпожа|Κυρία") + "|ΚΥΡΙΑ"
 ANY = _cased("Dr|Prof|Mx|Доктор")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -49,7 +49,7 @@ EMAIL = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-
 SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,63}[0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![0-9A-Za-z])"
 #: Access keys by their fixed beginnings.
 TOKEN = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2} ?[0-9A-Z]{4}(?: ?\d{4}){2,6}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
 #: National numbers without brackets: one separator throughout; between spaces only where area and exchange could be dialled.

@@ -39,14 +39,14 @@ def test_many_phones_stay_apart_as_written(spark):
 
 
 def test_persons_keep_one_name(spark):
-    texts = ["Ms Ann Lee met Dr Ann Lee. Ann Lee left, Ann Leeds and Joann Lee stayed; ANN LEE", "Mr Jean-Luc Picard", "Mr Kim Ode and Ms Kim Ode", "Sra. Ana Ruiz y Sr. Pablo Ruiz"]
+    texts = ["Ms Ann Lee met Dr Ann Lee. Ann Lee left, Ann Leeds and Joann Lee stayed; ANN LEE", "Mr Jean-Luc Picard", "Mr Kim Ode and Ms Kim Ode", "Sra. Ana Ruiz y Señor Pablo Ruiz; Sr. Developer, CODE AB12 THIS WORD MORE"]
     out = {r.doc_id: r.text for r in pii.surrogate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     m = re.fullmatch(r"Ms (\w+na) (\w+) met Dr (\w+) (\w+)\. (\w+) (\w+) left, Ann Leeds and Joann Lee stayed; ANN LEE", out[0])
     assert m and m[1] == m[3] == m[5] != "Ann" and m[2] == m[4] == m[6] != "Lee"
     assert re.fullmatch(r"Mr [A-Z]\w+-[A-Z]\w+n [A-Z]\w+", out[1]) and "Jean" not in out[1]
     both = re.fullmatch(r"Mr (\w+l) (\w+) and Ms (\w+) (\w+)", out[2])
     assert both and both[1] == both[3] and both[2] == both[4]
-    names = re.fullmatch(r"Sra\. (\w+na) (\w+) y Sr\. (\w+n) (\w+)", out[3])
+    names = re.fullmatch(r"Sra\. (\w+na) (\w+) y Señor (\w+n) (\w+); Sr\. Developer, CODE AB12 THIS WORD MORE", out[3])
     assert names and names[2] == names[4] != "Ruiz"
 
 
