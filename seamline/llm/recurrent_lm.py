@@ -18,7 +18,12 @@ and scores cover whole texts of all rows. Scoring runs all texts of a chunk in s
 window by window, and carries each text's state, so a long text needs no more
 memory than its tokens. Null and empty texts are the single end token. Repeated
 rows count and score each by itself, and alike; an empty table gives no rows,
-and a model of an empty table scores by its random start.
+and a model of an empty table scores by its random start. A row without doc_id
+learns and is scored like any other.
+
+Base scores are the same however the rows lie; the network's are not: which rows
+a task learns from, and where a chunk of texts ends, follow the partitions, so
+another partitioning gives other weights and another ``score``.
 """
 
 from __future__ import annotations
@@ -499,7 +504,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) ->
                 n, doc = hi - lo, np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
                 value = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
                 outside = tok == m.unknown
-                sums = [np.bincount(doc, value, n), np.bincount(doc[outside], value[outside], n), np.bincount(doc[outside], minlength=n).astype(float), np.bincount(doc[c >= 0], minlength=n).astype(float)]
+                # bincount of nothing is of integers, whatever its weights
+                sums = [s.astype(float) for s in (np.bincount(doc, value, n), np.bincount(doc[outside], value[outside], n), np.bincount(doc[outside], minlength=n), np.bincount(doc[c >= 0], minlength=n))]
                 rare = np.flatnonzero(c < 0)
                 d, x = doc[rare], h[rare]
                 del h, c, value, outside, doc, rare
