@@ -54,3 +54,27 @@ WITH RECURSIVE w AS (
 ), m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN w d ON d.r = c.label GROUP BY c.r)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM w JOIN m ON m.r = w.r LEFT JOIN n ON n.r = w.r"""
+
+
+def centroids(k: int, rounds: int) -> str:
+    away = "list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = ""
+    for i in range(rounds + 1):
+        steps += f""", a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v.p) AS p, min({{'d': {away}, 'c': c.c}}) AS m FROM v, c{i} AS c GROUP BY r)"""
+        if i < rounds:
+            steps += f""", c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(s.p, c.p) AS p FROM c{i} AS c LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS p
+    FROM (SELECT m.c AS c, j, sum(p[j])::BIGINT AS s, count(*) AS n FROM a{i}, unnest(range(1, 65)) AS u(j) GROUP BY 1, 2) GROUP BY c
+  ) s ON s.c = c.c)"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, p) - 1 AS c, p FROM (SELECT sha256('1:' || vec_id) AS h, p FROM v WHERE vec_id IS NOT NULL) ORDER BY h, p LIMIT {k}
+){steps}
+SELECT vec_id, m.c::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON c.c = m.c"""

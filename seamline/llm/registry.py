@@ -102,6 +102,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", dims=64, scale=64)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +128,6 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op8_recurrent_lm": (op8_recurrent_lm, None),
     "op9_near_dup": (op9_near_dup, oracles.NEAR_DUP),
     "op10_warc": (op10_warc, oracles.WARC),
+    "op12_centroids": (op12_centroids, oracles.centroids(16, 3)),
 }
 QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _ALL.items()}
