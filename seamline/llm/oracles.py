@@ -78,3 +78,31 @@ WITH v AS MATERIALIZED (
 SELECT vec_id, m.c::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
        (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256
 FROM a{rounds} JOIN c{rounds} AS c ON c.c = m.c"""
+
+
+PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM w, unnest([1, 2, 3]) AS s(m), unnest(range(1, len(w) - m + 2)) AS u(i) GROUP BY 1, 2, 3
+), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+  FROM c, unnest(range(1, c.m)) AS u(k)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), best AS (
+  SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), long AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS over FROM c, unnest([1, 2]) AS u(i) WHERE m = 3 GROUP BY 1, 2
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN long g ON g.lang = b.lang AND g.phrase = b.phrase AND len(string_split(b.phrase, ' ')) = 2
+  WHERE g.over IS NULL OR 100 * g.over < 50 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""

@@ -108,6 +108,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", dims=64, scale=64)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import phrases
+
+    return phrases.mine(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, inside_percent=50)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +135,6 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op9_near_dup": (op9_near_dup, oracles.NEAR_DUP),
     "op10_warc": (op10_warc, oracles.WARC),
     "op12_centroids": (op12_centroids, oracles.centroids(16, 3)),
+    "op13_phrases": (op13_phrases, oracles.PHRASES),
 }
 QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _ALL.items()}

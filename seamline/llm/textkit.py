@@ -84,10 +84,11 @@ class Words:
     """The words of a chunk of texts: byte ranges, 64-bit hashes, and each text's range of words.
 
     ``keep`` marks the bytes that belong to words; a word never crosses texts.
-    A-Z are lower-cased first when ``fold`` is set.
+    A-Z are lower-cased first when ``fold`` is set. ``table`` holds a random value
+    for each byte; another table gives hashes that collide elsewhere.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None, fold: bool = True, salt: int = 0):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None, fold: bool = True, salt: int = 0, table: np.ndarray = _BYTE):
         self.low = low = FOLD[raw] if fold else raw
         inside = ~SPACE[low] if keep is None else keep[low]
         n = len(low)
@@ -106,7 +107,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # of each text, and the end
         if len(self.start):
             with np.errstate(over="ignore"):
-                x = _BYTE[low]
+                x = table[low]
                 x *= _grown("p", _P, n)
                 x[~inside] = 0
                 h = np.add.reduceat(x, self.start)
