@@ -102,6 +102,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm import quality
+    from seamline.llm.shared import written
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs.withColumn("held_out", F.coalesce(_remainder(docs, 5) == 0, F.lit(False)))
+    stats = written(quality.statistics(docs, ["doc_id", "held_out"]), "stats")
+    return quality.score(stats, quality.fit(stats, labels.where(_remainder(labels, 5) != 0)), ["doc_id", "held_out"], least=0.3)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm import centroids
 
@@ -134,6 +144,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op8_recurrent_lm": (op8_recurrent_lm, None),
     "op9_near_dup": (op9_near_dup, oracles.NEAR_DUP),
     "op10_warc": (op10_warc, oracles.WARC),
+    "op11_quality": (op11_quality, None),
     "op12_centroids": (op12_centroids, oracles.centroids(16, 3)),
     "op13_phrases": (op13_phrases, oracles.PHRASES),
 }
