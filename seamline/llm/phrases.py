@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from seamline.llm import textkit as tk
 from seamline.llm.shared import written
 
-CHUNK_BYTES = 4 << 20
+#: Text whose words are hashed at once, and keys that a task sorts before it counts their runs.
+CHUNK_BYTES, SORTED_KEYS = 1 << 20, 1 << 19
 BITS = 21  # of an id, where three make a key
 UND = "und"
 #: Bits of a filter: 8 MB.
@@ -63,7 +64,7 @@ def _chunks(batch: pa.RecordBatch, salt: int) -> Iterator[tuple[tk.Words, np.nda
         own = code[lo:hi][doc]
         with np.errstate(over="ignore"):
             h = tk.mix64(w.hash + spice[own])
-        ends = np.cumsum(PIECE_END[w.low])[w.start]
+        ends = np.cumsum(PIECE_END[w.low], dtype=np.int32)[w.start]
         follows = np.zeros(len(w), bool)
         if len(w):
             follows[:-1] = (ends[1:] == ends[:-1]) & (doc[1:] == doc[:-1])
@@ -192,27 +193,39 @@ def count_phrases(docs: DataFrame, words: Dictionary, salt: int, length: int, le
     narrow = words.tail is None and length * BITS < 64 and len(words.h) < (1 << BITS) - 1
     keys = ["k0"] if narrow else [f"k{i}" for i in range(length)]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         d, inner = held.value
-        for batch in batches:
-            for _, h, _, follows, _ in _chunks(batch, salt):
-                ids, known = d.encoded(h, narrow)
-                starts = np.ones(max(0, len(h) - length + 1), bool)
-                for i in range(length):
-                    part = slice(i, i + len(starts))
-                    starts &= known[part] & follows[part] if i < length - 1 else known[part]
-                at = np.flatnonzero(starts)
-                if inner is not None and len(at):
-                    for i in range(2):
-                        at = at[in_filter(inner, phrase_hash([h[at + i + j] for j in range(length - 1)]))]
-                got = _packed([ids[at + i] for i in range(length)], narrow)
-                if narrow:
-                    got[0].sort()
-                else:
-                    rank = np.lexsort(got[::-1])
-                    got = [k[rank] for k in got]
-                new = _runs(got)
-                yield pa.record_batch([*(pa.array(k[new].view(np.int64)) for k in got), pa.array(np.diff(np.append(new, len(at))).astype(np.int64))], names=[*keys, "a"])
+        for _, h, _, follows, _ in _chunks(batch, salt):
+            ids, known = d.encoded(h, narrow)
+            starts = np.ones(max(0, len(h) - length + 1), bool)
+            for i in range(length):
+                part = slice(i, i + len(starts))
+                starts &= known[part] & follows[part] if i < length - 1 else known[part]
+            at = np.flatnonzero(starts)
+            if inner is not None and len(at):
+                for i in range(2):
+                    at = at[in_filter(inner, phrase_hash([h[at + i + j] for j in range(length - 1)]))]
+            yield _packed([ids[at + i] for i in range(length)], narrow)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back: list[list[np.ndarray]] = []
+        for got in (k for batch in batches for k in keys_of(batch)):
+            held_back.append(got)
+            if sum(len(k[0]) for k in held_back) >= SORTED_KEYS:
+                yield runs(held_back)
+                held_back = []
+        if held_back:
+            yield runs(held_back)
+
+    def runs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        got = [np.concatenate(k) for k in zip(*parts, strict=True)]
+        if narrow:
+            got[0].sort()
+        else:
+            rank = np.lexsort(got[::-1])
+            got = [k[rank] for k in got]
+        new = _runs(got)
+        return pa.record_batch([*(pa.array(k[new].view(np.int64)) for k in got), pa.array(np.diff(np.append(new, len(got[0]))).astype(np.int64))], names=[*keys, "a"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = held.value[0]

@@ -80,6 +80,7 @@ def test_a_dictionary_that_no_task_may_hold_and_other_lengths(docs, rows, head,
 
 def test_chunks_and_batches_do_not_matter(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(ph, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(ph, "SORTED_KEYS", 50)
     had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
