@@ -61,6 +61,16 @@ def parse_ensemble(text: str, expected: list[str] | None = None) -> Ensemble:
     return model
 
 
+def format_ensemble(model: Ensemble) -> str:
+    """The text that ``parse_ensemble`` reads."""
+    line = lambda k, v: f"{k}={' '.join(map(repr, v.tolist()))}"
+    out = [f"tree\nversion=v3\nnum_class={model.classes}\nfeature_names={' '.join(model.features)}\n"]
+    for i, t in enumerate(model.trees):
+        rows = [f"Tree={i}", f"num_leaves={len(t['leaf'])}", "num_cat=0", line("split_feature", t["feature"]), line("threshold", t["threshold"]), line("decision_type", t["default_left"] * 2), line("left_child", t["left"]), line("right_child", t["right"]), line("leaf_value", t["leaf"]), "is_linear=0"]
+        out.append("\n".join(rows) + "\n")
+    return "\n".join(out)
+
+
 def softmax(margin: np.ndarray, temperature: float = 1.0) -> np.ndarray:
     z = margin / temperature
     z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -91,18 +101,6 @@ def fit_temperature(margins: np.ndarray, y: np.ndarray) -> float:
     return math.exp(golden_section(lambda t: float(np.log(np.maximum(softmax(margins, math.exp(t))[np.arange(len(y)), y], 1e-15)).mean()), -2.0, 2.0))
 
 
-def train_classifier(df: DataFrame, features: list[str], label: str = "label", weight: str | None = None, rounds: int = 20, depth: int = 4):
-    """A boosted binary classifier, or a forest for more classes, of Spark ML; returns the fitted pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    n = df.agg(F.max(label)).first()[0]
-    options = {"labelCol": label, "featuresCol": "_x", "maxDepth": depth, "seed": 1} | ({"weightCol": weight} if weight else {})
-    learner = GBTClassifier(maxIter=rounds, **options) if n <= 1 else RandomForestClassifier(numTrees=rounds, **options)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), learner]).fit(df)
-
-
 def recency_weight(season: Column, last: int = 2022, decay: float = 0.95) -> Column:
     return F.pow(F.lit(decay), F.greatest(F.lit(0), F.lit(last) - season))
 

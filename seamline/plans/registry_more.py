@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.functions import ball
 from seamline.functions import text as tx
+from seamline.operators import boosting as bo
 from seamline.operators import models as mo
 from seamline.operators import rates as ra
 from seamline.operators import results as re_
 from seamline.operators import simulate as si
 from seamline.operators import windows as wi
 from seamline.plans import views as v
-from seamline.plans.registry import _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
-from seamline.session import ship
+from seamline.plans.registry import QUERIES, _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
+from seamline.session import scratch, ship
 from seamline.sources import ingest
 
 
@@ -33,16 +31,6 @@ def _values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_q, r)) + ')' for r in rows)}) t({columns})"
 
 
-def scratch(s: SparkSession) -> str:
-    """A fresh path in the folder that executors share; a temporary one only for a local master without one."""
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not s.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="scratch-")
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 # -- results
 
 
@@ -561,14 +549,61 @@ def ensemble(s: SparkSession, d: str) -> DataFrame:
     return df.select("delivery_id", *[F.round(F.get("p", F.lit(i)), 9).alias(f"p{i}") for i in range(3)])
 
 
-@query("M4_train_win_model")
-def train(s: SparkSession, d: str) -> DataFrame:
+# -- boosting
+
+_WIN = ["need", "balls_left", "wickets_left", "required_rate", "current_rate", "venue_rate"]
+#: The direction that each feature must take.
+_WIN_SIGNS = {"need": -1, "balls_left": 1, "wickets_left": 1, "required_rate": -1}
+
+
+def _fitted(s: SparkSession, d: str) -> tuple[DataFrame, bo.Fitted]:
     from seamline.operators.features import season_split
     from seamline.plans.registry import win_matrix
 
-    m = season_split(win_matrix(s, d), 1).withColumn("w", mo.recency_weight(F.col("season")))
-    fitted = mo.train_classifier(m.where("split = 'train'"), ["need", "balls_left", "wickets_left", "required_rate", "current_rate", "venue_rate"], weight="w", rounds=3, depth=3)
-    from pyspark.ml.functions import vector_to_array
+    ship(s)
+    m = season_split(win_matrix(s, d), 1).withColumn("w", mo.recency_weight(F.col("season"))).withColumn("held", F.col("split") == "test")
+    return m, bo.train(m, _WIN, weight="w", held_out="held", options=bo.Options(rounds=12, depth=3, rate=0.3, least=20, monotone=_WIN_SIGNS, patience=4))
+
 
-    p = fitted.transform(m.where("split = 'test'")).withColumn("p", vector_to_array("probability")[1])
+@query("M4_train_win_model")
+def train(s: SparkSession, d: str) -> DataFrame:
+    m, fitted = _fitted(s, d)
+    p = mo.score(m.where("held"), fitted.model).withColumn("p", mo.chase_rules(F.get("p", F.lit(0)), F.col("need"), F.col("balls_left"), F.col("wickets_left")))
     return mo.binary_scores(p, "p", "label")
+
+
+@query("M4_B16_fitted_sweep", "SELECT feature, rising, 0::BIGINT AS violations FROM (VALUES ('need', false), ('balls', true), ('wickets', true)) t(feature, rising) WHERE EXISTS (SELECT 1 FROM events)")
+def fitted_sweep(s: SparkSession, d: str) -> DataFrame:
+    _, fitted = _fitted(s, d)
+    g = mo.monotone_sweeps(s).withColumn("balls_left", F.col("balls")).withColumn("wickets_left", F.col("wickets")).withColumn("required_rate", 6 * F.col("need") / F.col("balls")).withColumn("current_rate", F.lit(7.5)).withColumn("venue_rate", F.lit(1.25))
+    return mo.sweep_violations(mo.score(g, fitted.model).withColumn("p", F.get("p", F.lit(0))), "p")
+
+
+_GAIN = "(({0}) * ({0}) / ({1} + 1.0))"
+
+
+@query("M4_root_splits", f"""WITH m AS ({QUERIES["E3_S12_win_matrix"][1]}), t AS (SELECT avg(label::DOUBLE) AS p FROM m),
+ v AS (SELECT 0 AS f, balls_left AS v, label FROM m UNION ALL SELECT 1, wickets_left, label FROM m), c AS (SELECT f, v, count(*) AS n, sum(label) AS y FROM v GROUP BY ALL),
+ r AS (SELECT f, v, sum(n) OVER w AS n, sum(y) OVER w AS y, sum(n) OVER (PARTITION BY f) AS tn, sum(y) OVER (PARTITION BY f) AS ty FROM c WINDOW w AS (PARTITION BY f ORDER BY v)),
+ g AS (SELECT f, v, 0.5 * ({_GAIN.format("n * p - y", "n * p * (1 - p)")} + {_GAIN.format("(tn - n) * p - (ty - y)", "(tn - n) * p * (1 - p)")} - {_GAIN.format("tn * p - ty", "tn * p * (1 - p)")}) AS gain FROM r, t WHERE n >= 20 AND tn - n >= 20)
+ SELECT CASE f WHEN 0 THEN 'balls_left' ELSE 'wickets_left' END AS feature, round(max(gain), 3) AS gain FROM g GROUP BY f""")
+def root_splits(s: SparkSession, d: str) -> DataFrame:
+    from seamline.plans.registry import win_matrix
+
+    ship(s)
+    m = win_matrix(s, d)
+    # every value of these is a cut, so the best gain is that over all of them
+    gains = [(f, round(bo.train(m, [f], options=bo.Options(rounds=1, depth=1, bins=200, least=20)).trees[0][0].gain[0], 3)) for f in ("balls_left", "wickets_left")]
+    return _rows(s, gains, "feature string, gain double")
+
+
+@query("M4_outcome_model")
+def outcome_model(s: SparkSession, d: str) -> DataFrame:
+    """Nine classes by thirty features: log loss of the last season by the prior and by the trees, a row a round."""
+    from seamline.operators.features import FEATURES, season_split
+    from seamline.plans.registry import features
+
+    ship(s)
+    m = season_split(features(s, d), 1).withColumn("held", F.col("split") == "test")
+    fitted = bo.train(m, FEATURES, held_out="held", options=bo.Options(classes=9, rounds=5, depth=3, rate=0.3, least=50, bins=32))
+    return _rows(s, [(i, round(x, 6), i == fitted.best) for i, x in enumerate(fitted.losses)], "round int, log_loss double, best boolean")

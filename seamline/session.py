@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every session should have.
 SETTINGS = {
@@ -40,3 +41,20 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("seamline", os.path.relpath(full, root)))
     sc.addPyFile(path)
     sc._seamline_shipped = True
+
+
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A fresh path in the folder that executors share; a temporary one only for a local master without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
