@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.operators.rates import golden_section
+from seamline.operators.scan import in_order
 
 
 @dataclass
@@ -126,15 +127,14 @@ def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10, least: int
 def binary_scores(df: DataFrame, p: str, y: str) -> DataFrame:
     """Brier score, log loss, base-rate log loss and ROC AUC by average ranks. One row.
 
-    Ranks come from counts of each distinct score, summed in order, so equal
-    scores share their rank and only distinct scores meet in the ordered sum.
+    Ranks come from counts of each distinct score, summed in order over ranges of
+    scores, so equal scores share their rank and no task sees all of them.
     """
     q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     yy = F.col(y).cast("double")
     base = df.agg(F.count("*").alias("n"), F.sum(yy).alias("pos"), F.avg((F.col(p) - yy) * (F.col(p) - yy)).alias("brier"), F.avg(-(yy * F.log(q) + (1 - yy) * F.log(1 - q))).alias("ll"))
     g = df.groupBy(F.col(p).alias("s")).agg(F.count("*").alias("c"), F.sum(yy).alias("pc"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = g.select(F.col("pc"), (before + (F.col("c") + 1) / 2).alias("rank")).agg(F.sum(F.col("pc") * F.col("rank")).alias("r"))
+    ranks = in_order(g, "s", sums=("c",)).select(F.col("pc"), (F.col("before_c") + (F.col("c") + 1) / 2).alias("rank")).agg(F.sum(F.col("pc") * F.col("rank")).alias("r"))
     neg = F.col("n") - F.col("pos")
     auc = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)
     rate = F.col("pos") / F.col("n")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seamline.operators.scan import in_order, numbered
+
 BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -43,7 +45,7 @@ def batting_positions(x: DataFrame) -> DataFrame:
 
 def batting_order(positions: DataFrame, least: int = 8, default: float = 6.0) -> DataFrame:
     key = F.when(F.col("innings") >= least, F.col("mean_position")).otherwise(F.lit(default))
-    return positions.select("player", key.alias("key"), F.row_number().over(W.orderBy(key, "player")).cast("bigint").alias("place"))
+    return numbered(positions.select("player", key.alias("key")), "key", "player").select("player", "key", (F.col("row") + 1).alias("place"))
 
 
 def streak(results: DataFrame, player: str, upto: str) -> DataFrame:
@@ -64,9 +66,9 @@ def streaks(results: DataFrame, upto: str) -> DataFrame:
 
 def contiguity(x: DataFrame) -> DataFrame:
     """Innings whose deliveries do not lie together in delivery order: none in a sound table."""
-    w = W.orderBy("delivery_id")
     runs = x.groupBy("innings_id").agg(F.min("delivery_id").alias("lo"), F.max("delivery_id").alias("hi"), F.count("*").alias("n"))
-    return runs.withColumn("gap", F.col("lo") - F.lag("hi").over(w.orderBy("lo")) - 1).where("gap != 0 OR hi - lo + 1 != n")
+    placed = in_order(runs, "lo", "innings_id", lags=("hi",))
+    return placed.select("innings_id", "lo", "hi", "n", (F.col("lo") - F.col("last_hi") - 1).alias("gap")).where("gap != 0 OR hi - lo + 1 != n")
 
 
 def over_deltas(x: DataFrame, value: Column) -> DataFrame:
@@ -77,13 +79,14 @@ def over_deltas(x: DataFrame, value: Column) -> DataFrame:
 
 def terciles(pool: DataFrame, key: str) -> DataFrame:
     """Tiers 0, 1, 2 of a ranked pool: the first two have a third of it, rounded down, each."""
-    r = pool.withColumn("r", F.row_number().over(W.partitionBy().orderBy(key, "player")) - 1).withColumn("third", F.floor(F.count("*").over(W.partitionBy()) / 3))
+    size = pool.agg(F.floor(F.count("*") / 3).alias("third"))
+    r = numbered(pool, key, "player", name="r").crossJoin(F.broadcast(size))  # one row
     return r.withColumn("tier", F.when(F.col("r") < F.col("third"), 0).when(F.col("r") < 2 * F.col("third"), 1).otherwise(2)).drop("r", "third")
 
 
 def even_sample(pool: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows spread over the sorted pool: those at i * (size - 1) div (n - 1)."""
-    r = pool.withColumn("r", F.row_number().over(W.partitionBy().orderBy(key, "player")) - 1)
+    r = numbered(pool, key, "player", name="r")
     size = pool.agg(F.count("*").alias("size"))
     at = pool.sparkSession.range(n).crossJoin(size).selectExpr("cast(id * (size - 1) div {} as bigint) AS at".format(max(1, n - 1))).distinct()
     return r.join(F.broadcast(at), F.col("r") == F.col("at"), "left_semi").drop("r")  # n rows

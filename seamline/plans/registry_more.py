@@ -13,6 +13,7 @@ from seamline.operators import rates as ra
 from seamline.operators import results as re_
 from seamline.operators import simulate as si
 from seamline.operators import windows as wi
+from seamline.operators.scan import in_order, numbered
 from seamline.plans import views as v
 from seamline.plans.registry import QUERIES, _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
 from seamline.session import scratch, ship
@@ -107,10 +108,7 @@ def round_trip(s: SparkSession, d: str) -> DataFrame:
 
 @query("S2_source_order", "SELECT o_orderkey::BIGINT AS key, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS match_id FROM orders")
 def source_order(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    # as in the reference a dense number over all sources; the sources, not the facts, meet in one sort
-    return v.table(s, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), (F.row_number().over(W.orderBy("o_orderdate", "o_orderkey")) - 1).cast("bigint").alias("match_id"))
+    return numbered(v.table(s, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), "o_orderdate"), "o_orderdate", "key", name="match_id").select("key", "match_id")
 
 
 @query("S4_nested_explode", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS pos, role FROM conversations")

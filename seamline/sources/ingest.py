@@ -6,11 +6,11 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline.functions import ball
+from seamline.operators.scan import numbered
 
 #: The documents' fields, fixed by their format.
 MATCH = (
@@ -39,11 +39,14 @@ def assert_schema(df: DataFrame, expected: T.StructType | list[str]) -> DataFram
 
 
 def read_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents of a folder with match_id from 0 by first date, then file name; one bad document fails the read."""
+    """All documents of a folder with match_id from 0 by first date, then file name; one bad document fails the read.
+
+    Only dates and file names are put in order; the documents stay where they are read.
+    """
     df = spark.read.schema(MATCH).option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(f"{folder}/*.json")
-    df = df.select("*", F.col("_metadata.file_name").alias("file"))
-    order = W.orderBy(F.get("info.dates", F.lit(0)), "file")
-    return df.withColumn("match_id", (F.row_number().over(order) - 1).cast("int"))
+    df = df.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"))
+    keys = numbered(df.select(F.get("info.dates", F.lit(0)).alias("day"), "file", "_path"), "day", "file", "_path", name="match_id")
+    return df.join(keys.select("_path", F.col("match_id").cast("int").alias("match_id")), "_path").drop("_path")
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +68,8 @@ def resolve_players(sightings: DataFrame, register: DataFrame) -> DataFrame:
     reg = register.select(F.col("identifier").alias("id"), "unique_name", *[F.col(c).alias("external_id") for c in register.columns if c == "key_cricinfo"])
     df = alias.join(names, "id").join(reg, "id", "left")
     external = F.col("external_id") if "external_id" in reg.columns else F.lit(None).cast("string")
-    return df.select((F.row_number().over(W.orderBy("id")) - 1).cast("int").alias("player_id"), F.col("id").alias("person_id"), F.coalesce("unique_name", "seen").alias("name"), "aliases", external.alias("external_id"))
+    named = df.select(F.col("id").alias("person_id"), F.coalesce("unique_name", "seen").alias("name"), "aliases", external.alias("external_id"))
+    return numbered(named, "person_id").select(F.col("row").cast("int").alias("player_id"), *named.columns)
 
 
 def deliveries(matches: DataFrame) -> DataFrame:
