@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seamline.functions import ball
 from seamline.operators import aggregate as ag
 from seamline.operators import features as ft
+from seamline.operators import names as na
 from seamline.operators import rates as ra
 from seamline.operators import results as re_
 from seamline.operators import windows as wi
@@ -129,17 +130,19 @@ def split(s: SparkSession, d: str) -> DataFrame:
     return ft.season_split(lx(s, d).select("season")).groupBy("season", "split").agg(F.count("*").alias("n"))
 
 
-@query("P12_name_resolution", """
-WITH q AS (SELECT unnest(['Customer#000000007', 'customer#00000001', 'nobody', '12']) AS term), c AS (SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer),
- t AS (SELECT term, id, CASE WHEN id = term THEN 1 WHEN name = term THEN 2 WHEN contains(lower(name), lower(term)) THEN 3 END AS tier FROM q, c), m AS (SELECT * FROM t WHERE tier IS NOT NULL), b AS (SELECT term, min(tier) AS best FROM m GROUP BY term)
-SELECT q.term, coalesce(b.best, 0)::INT AS tier, count(m.id) AS hits, min(m.id) AS first_id FROM q LEFT JOIN b ON b.term = q.term LEFT JOIN m ON m.term = q.term AND m.tier = b.best GROUP BY ALL""")
+_TERMS = ["nobody", "12", "4", "customer#00000001", "Customer#000000007", "CUSTOMER", "", "g 79"]
+
+
+@query("P12_name_resolution", f"""
+WITH c AS (SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment || ' ' || (c_custkey * 7919 % 100003) AS alias FROM customer), q AS (SELECT DISTINCT term FROM (SELECT unnest({_TERMS}) AS term UNION ALL SELECT name FROM c UNION ALL SELECT 'k' || id FROM c UNION ALL SELECT lower(substr(alias, 3, 16)) FROM c UNION ALL SELECT right(alias, 7) FROM c)),
+ t AS (SELECT term, id, CASE WHEN id = term THEN 1 WHEN name = term THEN 2 WHEN contains(lower(name), lower(term)) OR contains(lower(alias), lower(term)) THEN 3 END AS tier FROM q, c WHERE term <> ''), m AS (SELECT * FROM t WHERE tier IS NOT NULL), b AS (SELECT term, min(tier) AS best FROM m GROUP BY term),
+ h AS (SELECT q.term, coalesce(b.best, 0)::INT AS tier, count(m.id) AS hits, min(m.id) AS first_id FROM q LEFT JOIN b ON b.term = q.term LEFT JOIN m ON m.term = q.term AND m.tier = b.best GROUP BY ALL)
+SELECT *, CASE hits WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS status FROM h""")
 def resolve(s: SparkSession, d: str) -> DataFrame:
-    q = F.broadcast(s.createDataFrame([("Customer#000000007",), ("customer#00000001",), ("nobody",), ("12",)], "term string"))
-    c = v.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
-    tier = F.when(F.col("id") == F.col("term"), 1).when(F.col("name") == F.col("term"), 2).when(F.contains(F.lower("name"), F.lower("term")), 3)
-    hits = c.crossJoin(q).withColumn("tier", tier).where("tier IS NOT NULL").groupBy("term", "tier").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"))
-    best = hits.groupBy("term").agg(F.min(F.struct("tier", "hits", "first_id")).alias("b"))
-    return q.join(best, "term", "left").select("term", F.coalesce("b.tier", F.lit(0)).alias("tier"), F.coalesce("b.hits", F.lit(0)).alias("hits"), F.col("b.first_id").alias("first_id"))
+    c = v.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.array(F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") * 7919 % 100003).cast("string"))).alias("aliases"))
+    a = F.get("aliases", F.lit(0))
+    asked = c.select(F.explode(F.array("name", F.concat(F.lit("k"), "id"), F.lower(F.substring(a, 3, 16)), F.right(a, F.lit(7)))).alias("term"))
+    return na.resolve(asked.unionByName(s.createDataFrame([(t,) for t in _TERMS], "term string")), c)
 
 
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(ball.OUTCOMES))
