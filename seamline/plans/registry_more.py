@@ -17,7 +17,7 @@ from seamline.operators.scan import in_order, numbered
 from seamline.plans import views as v
 from seamline.plans.registry import QUERIES, _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
 from seamline.session import scratch, ship
-from seamline.sources import ingest
+from seamline.sources import ingest, remote
 
 
 def _rows(s: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -547,6 +547,18 @@ def ensemble(s: SparkSession, d: str) -> DataFrame:
     return df.select("delivery_id", *[F.round(F.get("p", F.lit(i)), 9).alias(f"p{i}") for i in range(3)])
 
 
+@query("S15_cached_pages", r"SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1), '') AS title, length(html)::INT AS n FROM pages WHERE html IS NOT NULL")
+def cached_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages put into a cache by the batch, then all read from it by key, without a request."""
+    pages = v.table(s, d, "pages").select(F.col("page_id").cast("string").alias("key"), "html").where("html IS NOT NULL")
+    cache = scratch(s, "cache")
+    batches = remote.requests(pages, "key", 25)
+    bodies = batches.select("no", "request", F.explode("request").alias("key")).join(pages, "key").groupBy("no", "request").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "html")))).alias("body"))
+    remote.stored(bodies, cache)
+    got = remote.answers_by_key(remote.fetched(pages, "key", cache, size=25, readers=4, offline="true"))
+    return got.select(F.col("key").cast("bigint").alias("page_id"), F.nullif(F.regexp_extract("value", r"(?is)<title[^>]*>([^<]*)", 1), F.lit("")).alias("title"), F.length("value").alias("n"))
+
+
 # -- boosting
 
 _WIN = ["need", "balls_left", "wickets_left", "required_rate", "current_rate", "venue_rate"]
