@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions import ball
+from seamline.session import written
 
 OUT = list(range(9))
 KAPPA_RANGE = (1.0, 1e6)
@@ -113,71 +114,77 @@ def movers(rates: DataFrame, least: int = 30, top: int = 20) -> DataFrame:
     return df.orderBy(F.desc("moved"), "player", "phase").limit(top)
 
 
-def tail_counts(counts: DataFrame) -> DataFrame:
-    """(cell, outcome, j, above): how many players have more than j of an outcome; outcome -1 stands for all deliveries.
+def count_sizes(counts: DataFrame) -> DataFrame:
+    """(cell, outcome, n, players): how many players have n of an outcome; outcome -1 stands for all deliveries.
 
-    These turn the log-gamma sums of the marginal likelihood into sums of logs:
-    lgamma(x + a) - lgamma(a) is the sum of log(a + j) for j < x.
+    Players with equal counts add equal terms to a likelihood, so it needs a row
+    for each count that occurs, however large the counts are.
     """
     own = counts.groupBy("cell", "player", "outcome").agg(F.sum("n").alias("n"))
     every = own.unionByName(own.groupBy("cell", "player").agg(F.sum("n").alias("n")).withColumn("outcome", F.lit(-1)).select("cell", "player", "outcome", "n"))
-    sizes = every.groupBy("cell", "outcome", "n").agg(F.count("*").alias("c"))
-    return sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).groupBy("cell", "outcome", "j").agg(F.sum("c").alias("above"))
+    return every.where("n > 0").groupBy("cell", "outcome", "n").agg(F.count("*").alias("players"))
 
 
-def log_marginal(tails: DataFrame, stats: DataFrame, kappas: DataFrame) -> DataFrame:
+_SHIFT = 10
+
+
+def log_gamma(x: Column) -> Column:
+    """Log-gamma of a positive double, to about 1e-13: Stirling's series ten above."""
+    y = x + _SHIFT
+    product = x
+    for i in range(1, _SHIFT):
+        product = product * (x + i)
+    r = 1 / (y * y)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 + r * (-1 / 360 + r * (1 / 1260 + r * (-1 / 1680 + r / 1188)))) / y - F.log(product)
+
+
+def digamma(x: Column) -> Column:
+    """The derivative of log-gamma, likewise."""
+    y = x + _SHIFT
+    less = sum((1 / (x + i) for i in range(1, _SHIFT)), 1 / x)
+    r = 1 / (y * y)
+    return F.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))) - less
+
+
+def log_marginal(sizes: DataFrame, stats: DataFrame, kappas: DataFrame) -> DataFrame:
     """(cell, log_marginal) at the given concentration of each cell (columns cell, kappa)."""
-    t = tails.join(F.broadcast(stats.select("cell", "outcome", "prior")), ["cell", "outcome"], "left").join(F.broadcast(kappas), "cell")
-    term = F.when(F.col("outcome") == -1, -F.log(F.col("kappa") + F.col("j"))).when(F.col("prior") > 0, F.log(F.col("kappa") * F.col("prior") + F.col("j"))).otherwise(0.0)
-    return t.groupBy("cell").agg(F.sum(F.col("above") * term).alias("log_marginal"))
-
-
-def golden_section(f, lo: float, hi: float, tolerance: float = 1e-6, rounds: int = 60) -> float:
-    """The argument of a unimodal function's maximum."""
-    g = (math.sqrt(5) - 1) / 2
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = f(a), f(b)
-    for _ in range(rounds):
-        if hi - lo < tolerance:
-            break
-        if fa >= fb:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = f(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = f(b)
-    return (lo + hi) / 2
-
-
-def fit_concentration(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    t = sizes.join(F.broadcast(stats.select("cell", "outcome", "prior")), ["cell", "outcome"], "left").join(F.broadcast(kappas), "cell")
+    a = F.when(F.col("outcome") == -1, F.col("kappa")).otherwise(F.col("kappa") * F.col("prior"))
+    term = F.when(a > 0, log_gamma(F.col("n") + a) - log_gamma(a)).otherwise(0.0)
+    return t.groupBy("cell").agg(F.sum(F.when(F.col("outcome") == -1, -term).otherwise(term) * F.col("players")).alias("log_marginal"))
+
+
+def marginal_slope(sizes: DataFrame, kappas: DataFrame) -> DataFrame:
+    """(cell, i, slope): the derivative of the log marginal likelihood by kappa at (cell, i, kappa); ``sizes`` with their prior."""
+    t = sizes.join(F.broadcast(kappas), "cell")
+    share = F.when(F.col("outcome") == -1, F.lit(1.0)).otherwise(F.col("prior"))
+    a = F.col("kappa") * share
+    term = F.when(a > 0, share * (digamma(F.col("n") + a) - digamma(a))).otherwise(0.0)
+    return t.groupBy("cell", "i").agg(F.sum(F.when(F.col("outcome") == -1, -term).otherwise(term) * F.col("players")).alias("slope"))
+
+
+def fit_concentration(counts: DataFrame, stats: DataFrame, points: int = 32, rounds: int = 5) -> DataFrame:
     """(cell, kappa) that maximises each cell's marginal likelihood; 1e6 with data of fewer than two players.
 
-    The search of a cell sees its tail counts only, whose number is bounded by
-    the largest count of one player, not by the rows.
+    The likelihood has one maximum, where its slope turns from above 0. A round sums
+    the slope of all cells at ``points`` places of the log of kappa between each
+    cell's bounds, and keeps the interval in which it turns; so a fit is ``rounds``
+    jobs, each a partial sum of a row a count, and the driver sees cells x points.
     """
-    rows = tail_counts(counts).join(F.broadcast(stats.select("cell", "outcome", "prior", "players")), ["cell", "outcome"], "left")
-    known = rows.groupBy("cell").agg(F.max("players").alias("known"))
-    rows = rows.join(F.broadcast(known), "cell")
-
-    def fit(pdf):
-        import numpy as np
-        import pandas as pd
-
-        kappa = KAPPA_RANGE[1]
-        if pdf["known"].fillna(0).max() >= 2:
-            pdf = pdf.sort_values(["outcome", "j"])
-            every = (pdf["outcome"] == -1).to_numpy()
-            above, j, prior = pdf["above"].to_numpy(float), pdf["j"].to_numpy(float), pdf["prior"].fillna(0).to_numpy(float)
-            use = every | (prior > 0)
-            above, j, prior, every = above[use], j[use], np.where(every, 1.0, prior)[use], every[use]
-            sign = np.where(every, -1.0, 1.0) * above
-            kappa = math.exp(golden_section(lambda t: float((sign * np.log(math.exp(t) * prior + j)).sum()), math.log(KAPPA_RANGE[0]), math.log(KAPPA_RANGE[1])))
-        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "kappa": [kappa]})
-
-    return rows.groupBy("cell").applyInPandas(fit, "cell int, kappa double")
-
+    lo, hi = (math.log(k) for k in KAPPA_RANGE)
+    known = {r.cell: r.players for r in counts.groupBy("cell").agg(F.count_distinct("player").alias("players")).collect()}
+    bounds = {c: (lo, hi) for c, n in known.items() if n >= 2}
+    spark = counts.sparkSession
+    sizes = written(count_sizes(counts).join(F.broadcast(stats.select("cell", "outcome", "prior")), ["cell", "outcome"], "left"), "sizes")
+    for _ in range(rounds if bounds else 0):
+        at = {(c, i): a + (b - a) * i / points for c, (a, b) in bounds.items() for i in range(points + 1)}
+        grid = spark.createDataFrame([(c, i, math.exp(t)) for (c, i), t in at.items()], "cell int, i int, kappa double")
+        falls = {}
+        for r in marginal_slope(sizes, grid).collect():
+            if r.slope <= 0:
+                falls[r.cell] = min(r.i, falls.get(r.cell, points + 1))
+        bounds = {c: (at[c, max(0, falls.get(c, points + 1) - 1)], at[c, min(points, falls.get(c, points))]) for c in bounds}
+    return spark.createDataFrame([(c, math.exp(sum(bounds[c]) / 2) if c in bounds else KAPPA_RANGE[1]) for c in known], "cell int, kappa double")
 
 def bowler_quality(rates: DataFrame) -> DataFrame:
     """Quality 0 to 1 and price of bowlers from their phases' shrunk economy (weights .5 death, .3 middle, .2 powerplay)."""

@@ -310,14 +310,27 @@ def movers(s: SparkSession, d: str) -> DataFrame:
  SELECT a.cell, round(a.v + b.v, 3) AS log_marginal FROM a JOIN b ON a.cell = b.cell"""))
 def log_marginal(s: SparkSession, d: str) -> DataFrame:
     c = _counts(s, d)
-    return ra.log_marginal(ra.tail_counts(c), ra.cell_stats(c), _kappa(s)).select("cell", F.round("log_marginal", 3).alias("log_marginal"))
+    return ra.log_marginal(ra.count_sizes(c), ra.cell_stats(c), _kappa(s)).select("cell", F.round("log_marginal", 3).alias("log_marginal"))
 
 
-@query("B5_F19_concentration")
+def _concentration_sql() -> str:
+    """The slope as sums of 1 / (a + j), on the same grids."""
+    lo, hi = 0.0, 6 * 2.302585092994046
+    sql = _COUNTS + _STATS + f"""
+, own AS (SELECT cell, player, outcome, sum(n)::BIGINT AS n FROM cnt GROUP BY ALL), tot AS (SELECT cell, player, -1 AS outcome, sum(n)::BIGINT AS n FROM own GROUP BY ALL), kn AS (SELECT cell, count(DISTINCT player) AS players FROM own GROUP BY cell),
+ tail AS MATERIALIZED (SELECT o.cell, o.outcome, u.j, count(*) AS above, any_value(CASE WHEN o.outcome = -1 THEN 1.0::DOUBLE ELSE prior END) AS share FROM (SELECT * FROM own UNION ALL SELECT * FROM tot) o LEFT JOIN st ON st.cell = o.cell AND st.outcome = o.outcome, unnest(range(0, o.n)) AS u(j) GROUP BY ALL),
+ b0 AS (SELECT cell, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi FROM kn WHERE players >= 2)"""
+    for k in range(5):
+        sql += f""",
+ g{k} AS (SELECT cell, i, lo + (hi - lo) * i / 32 AS t FROM b{k}, range(33) r(i)), s{k} AS (SELECT g.cell, g.i, sum(CASE WHEN outcome = -1 THEN -above ELSE above END * share / (exp(t) * share + j)) AS slope FROM g{k} g JOIN tail ON tail.cell = g.cell WHERE share > 0 GROUP BY ALL),
+ f{k} AS (SELECT b.cell, coalesce(min(i) FILTER (slope <= 0), 33) AS f FROM b{k} b JOIN s{k} s ON s.cell = b.cell GROUP BY b.cell), b{k + 1} AS MATERIALIZED (SELECT f.cell, (SELECT t FROM g{k} g WHERE g.cell = f.cell AND g.i = greatest(0, f - 1)) AS lo, (SELECT t FROM g{k} g WHERE g.cell = f.cell AND g.i = least(32, f)) AS hi FROM f{k} f)"""
+    return sql + " SELECT kn.cell, round(coalesce(exp((lo + hi) / 2), 1e6), 3) AS kappa FROM kn LEFT JOIN b5 ON b5.cell = kn.cell"
+
+
+@query("B5_F19_concentration", L(_concentration_sql()))
 def concentration(s: SparkSession, d: str) -> DataFrame:
-    ship(s)
     c = _counts(s, d)
-    return ra.fit_concentration(c, ra.cell_stats(c))
+    return ra.fit_concentration(c, ra.cell_stats(c)).withColumn("kappa", F.round("kappa", 3))
 
 
 _QUALITY = """

@@ -16,7 +16,7 @@ from seamline.operators import windows as wi
 from seamline.operators.scan import in_order, numbered
 from seamline.plans import views as v
 from seamline.plans.registry import QUERIES, _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
-from seamline.session import scratch, ship
+from seamline.session import scratch, ship, written
 from seamline.sources import ingest, remote
 
 
@@ -398,14 +398,25 @@ def affordable(s: SparkSession, d: str) -> DataFrame:
     return _rows(s, list(enumerate(ra.affordable([9, 9, 8, 6, 5, 15], 4, 17))), "i int, cost int")
 
 
-@query("B11_temperature")
+_MARGINS = ("0.0", "(balls_left - need) / 10.0", "wickets_left / 4.0 - 2")
+
+
+def _temperature_sql() -> str:
+    """The slope at the same bounds, on ever finer grids of the inverse temperature's log."""
+    sql = f"WITH m AS MATERIALIZED (SELECT {', '.join(f'({x})::DOUBLE AS m{i}' for i, x in enumerate(_MARGINS))}, label FROM ({QUERIES['E3_S12_win_matrix'][1]}) w), b0 AS (SELECT -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi)"
+    for k in range(5):
+        sql += f""", g{k} AS (SELECT i, lo + (hi - lo) * i / 32 AS t, exp(lo + (hi - lo) * i / 32) AS b FROM b{k}, range(33) r(i)),
+ s{k} AS (SELECT i, sum((e0 * m0 + e1 * m1 + e2 * m2) / (e0 + e1 + e2) - CASE label WHEN 1 THEN m1 ELSE m0 END) AS slope FROM (SELECT *, exp(b * (m0 - z)) AS e0, exp(b * (m1 - z)) AS e1, exp(b * (m2 - z)) AS e2 FROM (SELECT *, greatest(m0, m1, m2) AS z FROM m, g{k}) q) q GROUP BY i),
+ b{k + 1} AS MATERIALIZED (SELECT (SELECT t FROM g{k} WHERE i = greatest(0, f - 1)) AS lo, (SELECT t FROM g{k} WHERE i = least(32, f)) AS hi FROM (SELECT coalesce(min(i) FILTER (slope >= 0), 33) AS f FROM s{k}) q)"""
+    return sql + " SELECT (SELECT count(*) FROM m) AS n, round(exp(-(lo + hi) / 2), 3) AS temperature FROM b5"
+
+
+@query("B11_temperature", _temperature_sql())
 def temperature(s: SparkSession, d: str) -> DataFrame:
-    import numpy as np
+    from seamline.plans.registry import win_matrix
 
-    rng = np.random.default_rng(5)
-    m = rng.normal(size=(4000, 9)) * 2
-    y = np.array([rng.choice(9, p=q) for q in mo.softmax(m, 1.7)])
-    return _rows(s, [(round(mo.fit_temperature(m, y), 3),)], "temperature double")
+    m = written(win_matrix(s, d).selectExpr(f"array({', '.join(f'cast({x} as double)' for x in _MARGINS)}) AS m", "label"), "margins")
+    return m.agg(F.count("*").alias("n")).withColumn("temperature", F.lit(round(mo.fit_temperature(m, "m", "label"), 3)))
 
 
 # -- arrays and draws

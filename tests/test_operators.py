@@ -128,8 +128,26 @@ def test_concentration_recovery(spark, kappa):
     total = sum(n for *_, n, _ in rows)
     pi = [sum(o.get(k, 0) for o in own.values()) / total for k in range(4)]
     want = sum(math.lgamma(100) - math.lgamma(sum(o.values()) + 100) + sum(math.lgamma(o.get(k, 0) + 100 * pi[k]) - math.lgamma(100 * pi[k]) for k in range(4)) for o in own.values())
-    lm = ra.log_marginal(ra.tail_counts(c), stats, spark.createDataFrame([(0, 100.0)], "cell int, kappa double")).first().log_marginal
+    lm = ra.log_marginal(ra.count_sizes(c), stats, spark.createDataFrame([(0, 100.0)], "cell int, kappa double")).first().log_marginal
     assert lm == pytest.approx(want, rel=1e-9)
+    slope = lambda k: sum(sum(pi[j] * sum(1 / (k * pi[j] + m) for m in range(o.get(j, 0))) for j in range(4)) - sum(1 / (k + m) for m in range(sum(o.values()))) for o in own.values())
+    assert slope(got[0] * (1 - 1e-5)) > 0 > slope(got[0] * (1 + 1e-5))
+
+
+def test_gamma_columns(spark):
+    x = [10.0**k * m for k in range(-6, 8) for m in (1.0, 2.5, 7.0)]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select("x", ra.log_gamma(F.col("x")).alias("g"), ra.digamma(F.col("x")).alias("d"))
+    for r in df.collect():
+        assert r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12)
+        step = max(1e-4 * r.x, 1e-9)
+        assert r.d == pytest.approx((math.lgamma(r.x + step) - math.lgamma(r.x - step)) / (2 * step), rel=1e-5, abs=1e-5)
+
+
+def test_concentration_does_not_grow_with_the_counts(spark):
+    few = spark.createDataFrame([(0, p, 2020, k, 3 + p % 2 + k, 0) for p in range(6) for k in range(3)], "cell int, player long, season int, outcome int, n long, runs long")
+    many = few.withColumn("n", F.col("n") * 10**9)
+    assert ra.count_sizes(many).count() == ra.count_sizes(few).count()
+    assert ra.fit_concentration(many, ra.cell_stats(many)).first().kappa > 10
 
 
 def test_concentration_of_one_player(spark):
@@ -224,11 +242,16 @@ def test_ensemble_matches_a_plain_walk(spark):
         mo.parse_ensemble(text, ["other"])
 
 
-def test_temperature_and_keys():
+def test_temperature_and_keys(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(4000, 9)) * 2
     y = np.array([rng.choice(9, p=q) for q in mo.softmax(m, 1.7)])
-    assert 1.5 < mo.fit_temperature(m, y) < 1.9
+    df = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(m, y, strict=True)] + [(None, 1), ([1.0] * 9, None)], "m array<double>, y int")
+    got = mo.fit_temperature(df, "m", "y")
+    loss = lambda t: -np.log(mo.softmax(m, t)[np.arange(4000), y]).mean()
+    assert 1.5 < got < 1.9 and loss(got) <= min(loss(t) for t in np.linspace(1.4, 2, 601)) + 1e-12
+    sure = df.withColumn("y", F.expr("cast(array_position(m, array_max(m)) - 1 as int)"))
+    assert mo.fit_temperature(sure, "m", "y") == pytest.approx(math.exp(-2)) and mo.fit_temperature(df.where("y > 99"), "m", "y") == 1
     assert tx.derive_key(b"s", "2024-01-01") != tx.derive_key(b"s", "2024-01-02") and len(tx.derive_key(b"s", "d")) == 32
     token = tx.run_token(b"s", "r", "d")
     assert tx.check_token(b"s", "r", "d", token) and not tx.check_token(b"s", "r2", "d", token)
