@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import hmac
 import re
@@ -100,8 +99,10 @@ def one_decimal(x: Column) -> Column:
 
 
 def clean_player(name: Column) -> Column:
-    """Trimmed, cut at 24 characters, only letters, digits, space, _ and -, trimmed again."""
-    return F.trim(F.regexp_replace(F.substring(F.trim(name), 1, 24), r"[^A-Za-z0-9_\- ]", ""))
+    """White space trimmed, cut at 24 bytes of UTF-8, only letters, digits, space, _ and - of ASCII, trimmed again."""
+    # a byte a character, so that a character cut in two goes with the others that are not of ASCII
+    cut = F.decode(F.substring(F.encode(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), "UTF-8"), 1, 24), "ISO-8859-1")
+    return F.trim(F.regexp_replace(cut, r"[^A-Za-z0-9_\- ]", ""))
 
 
 def intent(s: Column) -> Column:
@@ -137,47 +138,67 @@ def infobox_field(text: Column, name: str) -> Column:
 LIST_TEMPLATES = ["ubl", "unbulleted list", "plainlist", "hlist", "flatlist"]
 
 
-def expand_templates(s: str, rounds: int = 8) -> str:
-    """Innermost templates first: list templates keep their positional arguments joined by ", ", others go."""
+def expand_templates(s: Column, rounds: int = 8) -> Column:
+    """Innermost templates first: list templates keep their positional arguments joined by ", ", others go.
 
-    def one(m: re.Match) -> str:
-        name, *args = m[1].split("|")
-        return ", ".join(a.strip() for a in args if "=" not in a and a.strip()) if name.strip().lower() in LIST_TEMPLATES else ""
+    Each of at most ``rounds`` rounds settles the templates that hold no other.
+    """
+    inner = r"\{\{([^{}]*)\}\}"
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
 
-    for _ in range(rounds):
-        new = re.sub(r"\{\{([^{}]*)\}\}", one, s)
-        if new == s:
-            break
-        s = new
-    return s
+    def shown(template: Column) -> Column:
+        parts = F.split(template, r"\|")
+        kept = F.filter(F.slice(parts, 2, F.size(parts)), lambda a: ~F.contains(a, F.lit("=")) & (bare(a) != ""))
+        return F.when(F.lower(bare(parts[0])).isin(LIST_TEMPLATES), F.array_join(F.transform(kept, bare), ", ")).otherwise("")
 
+    def settled(text: Column) -> Column:
+        between, found = F.split(text, inner, -1), F.regexp_extract_all(text, F.lit(inner), F.lit(1))
+        return F.array_join(F.zip_with(between, found, lambda t, m: F.concat(t, F.coalesce(shown(m), F.lit("")))), "")
 
-def expand_templates_column(column: Column) -> Column:
-    @F.pandas_udf("string")
-    def expand(s):
-        return s.map(lambda x: None if x is None else expand_templates(x))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), s, lambda text, _: F.when(text.rlike(inner), settled(text)).otherwise(text))
 
-    return expand(column)
 
+_BLOCK = 64
 
-def derive_key(secret: bytes, date: str, size: int = 32) -> bytes:
-    """HKDF-SHA256 of a master secret with the date as context."""
-    if not secret or not date:
-        raise ValueError("secret and date are needed")
+
+def _padded(key: bytes | Column, pad: int) -> Column:
+    """The key, hashed where it is longer than a block, filled up with zeros, each byte combined with ``pad``."""
+    if isinstance(key, bytes):
+        key = hashlib.sha256(key).digest() if len(key) > _BLOCK else key
+        return F.lit(bytes(b ^ pad for b in key.ljust(_BLOCK, b"\0")))
+    digits = F.rpad(F.when(F.octet_length(key) > _BLOCK, F.sha2(key, 256)).otherwise(F.hex(key)), 2 * _BLOCK, "0")
+    words = [F.conv(F.substring(digits, i * 8 + 1, 8), 16, 10).cast("bigint").bitwiseXOR(F.lit(pad * 0x01010101)) for i in range(_BLOCK // 4)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(w), 8, "0") for w in words]))
+
+
+def hmac_sha256(key: bytes | Column, message: Column) -> Column:
+    """HMAC-SHA256 as binary; the key is the same for all rows, or a binary column. Null for a null key or message."""
+    inner = F.unhex(F.sha2(F.concat(_padded(key, 0x36), message), 256))
+    return F.unhex(F.sha2(F.concat(_padded(key, 0x5C), inner), 256))
+
+
+def derive_key(secret: bytes, date: Column, size: int = 32) -> Column:
+    """HKDF-SHA256 of a master secret with the date as context, as binary."""
+    if not secret:
+        raise ValueError("a secret is needed")
     prk = hmac.digest(b"\0" * 32, secret, "sha256")
-    out, block = b"", b""
-    while len(out) < size:
-        block = hmac.digest(prk, block + f"seamline/{date}".encode() + bytes([len(out) // 32 + 1]), "sha256")
-        out += block
-    return out[:size]
+    info = F.encode(F.concat(F.lit("seamline/"), date), "UTF-8")
+    block, parts = None, []
+    for i in range(-(-size // 32)):
+        block = hmac_sha256(prk, F.concat(*([block] if parts else []), info, F.lit(bytes([i + 1]))))
+        parts.append(block)
+    return F.substring(F.concat(*parts), 1, size)
 
 
-def run_token(secret: bytes, run_id: str, date: str) -> str:
-    return base64.urlsafe_b64encode(hmac.digest(secret, f"{run_id}|{date}".encode(), hashlib.sha256)).rstrip(b"=").decode()
+def run_token(secret: bytes | Column, run_id: Column, date: Column) -> Column:
+    """URL-safe, without padding."""
+    mac = hmac_sha256(secret, F.encode(F.concat_ws("|", run_id, date), "UTF-8"))
+    return F.translate(F.rtrim(F.base64(mac), F.lit("=")), "+/", "-_")
 
 
-def check_token(secret: bytes, run_id: str, date: str, token: str) -> bool:
-    return hmac.compare_digest(run_token(secret, run_id, date), token)
+def check_token(secret: bytes | Column, run_id: Column, date: Column, token: Column) -> Column:
+    """Whether the token is that of the run. Both are hashed before they meet, so what a comparison's time tells is of no use."""
+    return F.sha2(F.encode(run_token(secret, run_id, date), "UTF-8"), 256) == F.sha2(F.encode(F.coalesce(token, F.lit("")), "UTF-8"), 256)
 
 
 def fnv1a(text: Column) -> Column:
@@ -197,7 +218,7 @@ def stable_attributes(venue: Column) -> dict[str, Column]:
     h = fnv1a(venue)
     out = {k: (F.lit(least) + F.pmod(F.shiftright(h, bits), F.lit(spread))).cast("int") for k, (least, spread, bits) in GROUND.items()}
     parts = F.regexp_extract(venue, "^(.+), (.*)$", 1), F.regexp_extract(venue, "^(.+), (.*)$", 2)
-    return {"name": F.when(parts[0] != "", parts[0]).otherwise(venue), "city": parts[1], **out, "roof": F.when(F.pmod(F.shiftright(h, 12), F.lit(3)) == 1, "partial").otherwise("none")}
+    return {"name": F.when(parts[0] != "", parts[0]).otherwise(venue), "city": parts[1], **out, "roof": F.when(F.pmod(F.shiftright(h, 12), F.lit(3)) == 1, "partial").otherwise("none"), "lights": F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, "pylons").otherwise("roof")}
 
 
 def local_date(ts: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,16 +259,12 @@ def one_decimal(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "part").select(F.col("p_partkey").cast("bigint").alias("key"), tx.one_decimal(F.col("p_retailprice")).alias("shown"))
 
 
-@query("F12_clean_player", r"SELECT doc_id, trim(regexp_replace(substr(trim(text, ' '), 1, 24), '[^A-Za-z0-9_\- ]', '', 'g'), ' ') AS player FROM documents")
+# what is not of ASCII shows as an escape of its byte, and so does a backslash
+@query("F12_clean_player", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(unhex(substr(hex(encode(regexp_replace(text, '^[\s\x85\xA0]+|[\s\x85\xA0]+$', '', 'g'))), 1, 48))::VARCHAR, '\\x[0-9A-F]{2}', '', 'g'), '[^A-Za-z0-9_\- ]', '', 'g'), ' ') AS player FROM documents""")
 def clean_player(s: SparkSession, d: str) -> DataFrame:
     return v.table(s, d, "documents").select("doc_id", tx.clean_player(F.col("text")).alias("player"))
 
 
-WIKI = [("[[Right-arm fast|fast bowler]] <ref>x</ref>", "fast bowler"), ("a '''b''' <!-- c --> d", "a b d"), ("{{flag|X}} [[Y]]<br/>z", "Yz"), ("<ref name=a/>t  u", "t u")]
-TEMPLATES = [("{{ubl|class=nowrap|X}}", "X"), ("{{plainlist|{{ubl|A|B}}}}", "A, B"), ("a{{unknown|z}}b", "ab")]
-BOXES = [("{{Infobox\n| bowling = Right-arm fast \n| x = 1", "Right-arm fast"), ("|BOWLING=leg", "leg"), ("| bowling =\n| x = 1", ""), ("none", "")]
-
-
 _INTENTS = ["b", " ATTACK ", "", "r", "sweep", "a", "Block", "rotate", "attacking", "R "]
 
 
@@ -285,20 +283,35 @@ def situations(s: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", "id", t.alias("target"), w.alias("venue"))
 
 
-@query("F15_wikitext", _values(WIKI, "raw, clean"))
+def _wiki_sql(x: str) -> str:
+    for pattern, to in ((r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>]*/>", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", r"\1"), (r"\{\{[^{}]*\}\}", ""), (r"<[^>]*>", ""), (r"'{2,}", ""), (r"\s+", " ")):
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return f"trim({x}, ' ')"
+
+
+_WIKI_HEAD = "[[Right-arm fast|fast bowler]] <ref>x</ref> QQQbQQQ <!-- c\n--> {{flag|X}} [[Y]]<br/>z <ref name=a/> ".replace("Q", "'")
+_WIKI = "concat('" + _WIKI_HEAD.replace("'", "''") + "', html)"
+
+
+@query("F15_wikitext", f"SELECT page_id, {_wiki_sql(_WIKI)} AS clean FROM pages")
 def wikitext(s: SparkSession, d: str) -> DataFrame:
-    return _rows(s, [(a,) for a, _ in WIKI], "raw string").select("raw", tx.clean_wikitext(F.col("raw")).alias("clean"))
+    return v.table(s, d, "pages").select("page_id", tx.clean_wikitext(F.concat(F.lit(_WIKI_HEAD), F.col("html"))).alias("clean"))
 
 
-@query("F16_templates", _values(TEMPLATES, "raw, expanded"))
+@query("F16_templates", r"""WITH p AS (SELECT page_id, regexp_replace(html, '[{}]', '', 'g') AS html, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-z0-9 ]', '', 'g') AS t FROM pages)
+ SELECT page_id, concat(html, ' ', concat_ws(', ', nullif(trim(t), ''), concat(page_id, ', ', page_id % 7)), ' / ', page_id, '{{', html) AS expanded FROM p""")
 def templates(s: SparkSession, d: str) -> DataFrame:
-    ship(s)
-    return _rows(s, [(a,) for a, _ in TEMPLATES], "raw string").select("raw", tx.expand_templates_column(F.col("raw")).alias("expanded"))
+    t = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^A-Za-z0-9 ]", "")
+    html = F.regexp_replace("html", "[{}]", "")
+    raw = F.concat(html, F.lit(" {{Plainlist|class=x|"), t, F.lit("|{{ubl| "), F.col("page_id").cast("string"), F.lit(" ||{{gone|{{flag|a}}|b}}{{hlist|"), (F.col("page_id") % 7).cast("string"), F.lit("}}}}}}{{note\n|x}} / {{ flatlist |"), F.col("page_id").cast("string"), F.lit("|k=v}}{{"), html)
+    return v.table(s, d, "pages").select("page_id", tx.expand_templates(raw).alias("expanded"))
 
 
-@query("F17_S15_infobox", _values(BOXES, "raw, value"))
+@query("F17_S15_infobox", r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS bowling, '' AS batting, '' AS absent FROM pages")
 def infobox(s: SparkSession, d: str) -> DataFrame:
-    return _rows(s, [(a,) for a, _ in BOXES], "raw string").select("raw", tx.infobox_field(F.col("raw"), "bowling").alias("value"))
+    html = F.coalesce("html", F.lit(""))
+    raw = F.concat(html, F.lit("\n{{Infobox\n |BOWLING =  "), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("  \n| bowling = second\n| batting =\n| x = 1\n}}\n"), html)
+    return v.table(s, d, "pages").select("page_id", *[tx.infobox_field(raw, n).alias(n) for n in ("bowling", "batting", "absent")])
 
 
 @query("F15_F17_pages", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), ' ') AS heading FROM pages")
@@ -310,7 +323,7 @@ _VENUES = "SELECT concat(n_name, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN
 
 
 @query("F23_stable_attributes", f"""WITH v AS ({_VENUES}), h AS (SELECT venue, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(venue, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM v)
- SELECT venue, CASE WHEN contains(venue, ', ') THEN regexp_extract(venue, '^(.+), (.*)$', 1) ELSE venue END AS name, regexp_extract(venue, '^(.+), (.*)$', 2) AS city, (66 + h % 11)::INT AS straight, (60 + (h >> 8) % 9)::INT AS square, (15000 + (h >> 16) % 30000)::INT AS capacity, (1 + (h >> 4) % 3)::INT AS tiers, CASE (h >> 12) % 3 WHEN 1 THEN 'partial' ELSE 'none' END AS roof FROM h""")
+ SELECT venue, CASE WHEN contains(venue, ', ') THEN regexp_extract(venue, '^(.+), (.*)$', 1) ELSE venue END AS name, regexp_extract(venue, '^(.+), (.*)$', 2) AS city, (66 + h % 11)::INT AS straight, (60 + (h >> 8) % 9)::INT AS square, (15000 + (h >> 16) % 30000)::INT AS capacity, (1 + (h >> 4) % 3)::INT AS tiers, CASE (h >> 12) % 3 WHEN 1 THEN 'partial' ELSE 'none' END AS roof, CASE (h >> 20) % 2 WHEN 0 THEN 'pylons' ELSE 'roof' END AS lights FROM h""")
 def stable(s: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey") % 3
     venue = F.concat("n_name", F.when(n == 0, "").when(n == 1, F.concat(F.lit(", "), "n_name")).otherwise(", the, far"))
@@ -318,10 +331,30 @@ def stable(s: SparkSession, d: str) -> DataFrame:
     return df.select("venue", *[c.alias(k) for k, c in tx.stable_attributes(F.col("venue")).items()])
 
 
-@query("F20_F21_keys")
+_SECRET = b"master"
+
+
+def _mac_sql(key: bytes | str, message: str) -> str:
+    """HMAC-SHA256 in SQL, as a blob; the key is fixed or an expression of 32 bytes."""
+    if isinstance(key, bytes):
+        pad = lambda p: "unhex('" + bytes(x ^ p for x in key.ljust(64, bytes(1))).hex() + "')"
+    else:
+        pad = lambda p: f"xor(({key} || unhex('{'00' * 32}'))::BIT, unhex('{f'{p:02x}' * 64}')::BIT)::BLOB"
+    return f"unhex(sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || {message}))))"
+
+
+_PRK = hmac.digest(bytes(32), _SECRET, "sha256")
+
+
+@query("F20_F21_keys", f"""WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events), k AS (SELECT *, {_mac_sql(_PRK, "encode('seamline/' || day) || unhex('01')")} AS key FROM e)
+ SELECT event_id, lower(hex(key)) AS key, translate(rtrim(to_base64({_mac_sql(_SECRET, "encode('run-' || event_id || '|' || day)")}), '='), '+/', '-_') AS token, lower(hex({_mac_sql("key", "encode(event_id::VARCHAR)")})) AS mac, user_id % 3 > 0 AS valid FROM k""")
 def keys(s: SparkSession, d: str) -> DataFrame:
-    days = [f"2024-01-{i:02d}" for i in range(1, 8)]
-    return _rows(s, [(x, tx.derive_key(b"master", x).hex(), tx.run_token(b"master", f"run-{x}", x)) for x in days], "date string, key string, token string")
+    """A day's key, a run's token, a code by the day's key, and whether a token, every third one another run's, holds: for every event."""
+    e = v.table(s, d, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).withColumn("key", tx.derive_key(_SECRET, F.col("day")))
+    run = F.concat(F.lit("run-"), F.col("event_id").cast("string"))
+    claimed = F.when(F.col("user_id") % 3 > 0, run).otherwise(F.concat(run, F.lit("x")))
+    mac = tx.hmac_sha256(F.col("key"), F.encode(F.col("event_id").cast("string"), "UTF-8"))
+    return e.select("event_id", F.lower(F.hex("key")).alias("key"), tx.run_token(_SECRET, run, F.col("day")).alias("token"), F.lower(F.hex(mac)).alias("mac"), tx.check_token(_SECRET, claimed, F.col("day"), tx.run_token(_SECRET, run, F.col("day"))).alias("valid"))
 
 
 @query("F24_local_dates", "SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') AS day FROM events")
