@@ -27,11 +27,16 @@ def head_to_head_before(x: DataFrame) -> DataFrame:
 def season_rates_before(counts: DataFrame, kappa: float) -> DataFrame:
     """(season, cell, player, outcome, posterior, weight): fits on the seasons before each season.
 
-    The join ranges over aggregated counts (a row a season, cell, player and
-    outcome), and players absent from a season keep what they had.
+    What a player had up to a season stands for each later season up to, and with, the
+    next one in which they have data: sums run within a player, and nothing is joined
+    with later seasons. Players absent from a season keep what they had.
     """
-    seasons = F.broadcast(counts.select(F.col("season").alias("s")).distinct())  # a row a season
-    own = counts.join(seasons, F.col("season") < F.col("s")).groupBy("s", "cell", "player", "outcome").agg(F.sum("n").alias("n"))
+    seasons = counts.select("season").distinct().agg(F.array_sort(F.collect_set("season")).alias("every"))  # a row a season
+    each = counts.groupBy("cell", "player", "outcome", "season").agg(F.sum("n").alias("n"))
+    w = W.partitionBy("cell", "player", "outcome").orderBy("season")
+    upto = each.select("cell", "player", "outcome", "season", F.sum("n").over(w).alias("n"), F.lead("season").over(w).alias("next")).crossJoin(F.broadcast(seasons))
+    later = F.filter("every", lambda s: (s > F.col("season")) & (F.col("next").isNull() | (s <= F.col("next"))))
+    own = upto.select(F.explode(later).alias("s"), "cell", "player", "outcome", "n")
     cell = own.groupBy("s", "cell", "outcome").agg(F.sum("n").alias("cn")).withColumn("prior", F.col("cn") / F.sum("cn").over(W.partitionBy("s", "cell")).cast("double"))
     who = own.groupBy("s", "cell", "player").agg(F.sum("n").alias("total"))
     full = who.join(F.broadcast(cell.select("s", "cell", "outcome", "prior")), ["s", "cell"]).join(own, ["s", "cell", "player", "outcome"], "left")

@@ -105,6 +105,7 @@ def aliases(s: SparkSession, d: str) -> DataFrame:
 def round_trip(s: SparkSession, d: str) -> DataFrame:
     x, path = v.ordered(s, d), scratch(s)
     ingest.write_facts(x, path)
+    ingest.verify_round_trip(x, path)
     return ingest.read_facts(s, path, x.schema).select("delivery_id", "innings_id", "season", "over", "batter", "bowler", "runs_bat", "wicket")
 
 

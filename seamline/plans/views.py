@@ -25,18 +25,32 @@ def _kind_expr(index: str) -> str:
 def materialise(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Writes both fact views once, rows of an innings together and in season order; queries over ``sf_dir`` in this application then read them.
 
-    Without it every query joins the tables anew. ``path`` is a folder that all executors share.
+    Without it, or once a table has changed, every query joins the tables anew. ``path`` is a folder that all executors share.
     """
+    state = _state(spark, sf_dir)
     for view in (relational, ordered):
         facts = view(spark, sf_dir).repartitionByRange("season", "innings_id").sortWithinPartitions("season", "innings_id", "delivery_id")
         facts.write.mode("overwrite").parquet(f"{path}/{view.__name__}")
     made = getattr(spark.sparkContext, "_seamline_facts", {})
-    spark.sparkContext._seamline_facts = made | {sf_dir: path}
+    spark.sparkContext._seamline_facts = made | {sf_dir: (path, state)}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """Size and time of every file below the tables that the views read, as the file system of the path tells them."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in ("lineitem", "orders", "customer", "supplier", "events"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
 
 
 def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
-    path = getattr(spark.sparkContext, "_seamline_facts", {}).get(sf_dir)
-    return spark.read.parquet(f"{path}/{name}") if path else None
+    """The view as written, if its tables have not changed since."""
+    path, state = getattr(spark.sparkContext, "_seamline_facts", {}).get(sf_dir, (None, None))
+    return spark.read.parquet(f"{path}/{name}") if path and state == _state(spark, sf_dir) else None
 
 
 def relational(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,10 +135,13 @@ def read_facts(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def load_attributes(spark: SparkSession, path: str) -> DataFrame:
     """The attribute table; absent means empty; an empty id or unknown provenance is an error."""
-    schema = ", ".join(f"{c} string" for c in ATTRIBUTES)
-    if "://" not in path and not os.path.exists(path):
-        return spark.createDataFrame([], schema)
-    df = spark.read.option("header", True).csv(path)
+    try:
+        df = spark.read.option("header", True).csv(path)
+    except AnalysisException as e:
+        # the file system of the path, not the driver's disk, says whether it is there
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ATTRIBUTES))
     assert_schema(df, ["person_id", "name", "batting_hand", "bowling_class"])
     df = df.select(*[(F.trim(F.col(c)) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in ATTRIBUTES])
     bad = df.where(F.coalesce("person_id", F.lit("")).eqNullSafe("") | ~F.coalesce("provenance", F.lit("")).isin(PROVENANCE)).limit(1).collect()

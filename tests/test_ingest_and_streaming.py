@@ -95,3 +95,14 @@ def test_stream_equals_batch(spark, tmp_path):
     want = wi.running_state(ex(spark, "/root/testdata/sf0.001")).select("innings_id", "delivery_id", "score_before", "wickets_before", "legal_before")
     got = spark.table("running")
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_absent_attributes_are_empty_and_other_faults_are_not(spark, tmp_path):
+    for path in (str(tmp_path / "none.csv"), f"file://{tmp_path}/none.csv"):
+        assert ingest.load_attributes(spark, path).count() == 0
+    there = spark.createDataFrame([("p1", "Ann", "RHB", "RAP", "manual")], "person_id string, name string, batting_hand string, bowling_class string, provenance string")
+    there.write.option("header", True).csv(str(tmp_path / "some.csv"))
+    # a folder that the driver's own working directory does not show under this name
+    assert ingest.load_attributes(spark, f"file:{tmp_path}/some.csv").count() == 1
+    with pytest.raises(Exception, match="[Ff]ile ?[Ss]ystem|scheme"):
+        ingest.load_attributes(spark, "nosuch://host/none.csv")
