@@ -96,6 +96,43 @@ def score(df: DataFrame, model: Ensemble, temperature: float = 1.0) -> DataFrame
     return df.withColumn("p", predict(*[F.col(c).cast("double") for c in model.features]))
 
 
+def node_table(spark, model: Ensemble) -> DataFrame:
+    """(tree, node, feature, threshold, default_left, left, right, leaf): inner nodes from 0, leaf i as -1 - i; ``leaf`` is null at inner nodes."""
+    rows = []
+    for i, t in enumerate(model.trees):
+        rows += [(i, n, int(t["feature"][n]), float(t["threshold"][n]), bool(t["default_left"][n]), int(t["left"][n]), int(t["right"][n]), None) for n in range(len(t["feature"]))]
+        rows += [(i, -1 - n, None, None, None, None, None, float(v)) for n, v in enumerate(t["leaf"])]
+    return spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, default_left boolean, left int, right int, leaf double")
+
+
+def walked(df: DataFrame, key: str, model: Ensemble) -> DataFrame:
+    """(key, output, margin): the trees as a table, walked by one join a level; what ``Ensemble.margins`` gives, in SQL's terms.
+
+    ``key`` must be unique. A row stands once for each tree, so this is for checking a model and for
+    models that live in tables; nodes, which the model bounds, are broadcast.
+    """
+    nodes = F.broadcast(node_table(df.sparkSession, model))
+    depth = max((_depth(t) for t in model.trees), default=0)
+    at = df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in model.features]).alias("x"))
+    at = at.select("key", "x", F.explode(F.sequence(F.lit(0), F.lit(len(model.trees) - 1))).alias("tree"))
+    at = at.join(F.broadcast(df.sparkSession.createDataFrame([(i, 0 if len(t["feature"]) else -1) for i, t in enumerate(model.trees)], "tree int, node int")), "tree")
+    for _ in range(depth):
+        value = F.get("x", F.col("feature"))
+        down = F.when(value.isNull() | F.isnan(value), F.col("default_left")).otherwise(value <= F.col("threshold"))
+        at = at.join(nodes, ["tree", "node"]).select("key", "x", "tree", F.when(F.col("leaf").isNotNull(), F.col("node")).when(down, F.col("left")).otherwise(F.col("right")).alias("node"))
+    leaves = at.join(nodes, ["tree", "node"]).select("key", (F.col("tree") % model.classes).alias("output"), "leaf")
+    return leaves.groupBy("key", "output").agg(F.sum("leaf").alias("margin")).withColumnRenamed("key", key)
+
+
+def _depth(tree: dict[str, np.ndarray]) -> int:
+    """The most inner nodes above a leaf."""
+    level, depth = [0] if len(tree["feature"]) else [], 0
+    while level:
+        depth += 1
+        level = [int(c) for n in level for c in (tree["left"][n], tree["right"][n]) if c >= 0]
+    return depth
+
+
 def temperature_slopes(df: DataFrame, margins: str, label: str, beta: float) -> tuple[float, float]:
     """First and second derivative, by the inverse temperature, of the negative log likelihood summed over all rows."""
     m, b = F.col(margins), F.lit(beta)

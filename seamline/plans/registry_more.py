@@ -574,22 +574,47 @@ def solve(s: SparkSession, d: str) -> DataFrame:
     return _rows(s, [(si.solve_target(s, _CANDIDATE, "day-1", 64),)], "target int")
 
 
-def synthetic_model(classes: int = 3, trees: int = 6) -> str:
-    """A small model in the text format, its numbers by rule."""
-    out = [f"tree\nversion=v3\nnum_class={classes}\nfeature_names=need balls_left wickets_left\n"]
-    for i in range(trees):
-        out.append(f"\nTree={i}\nnum_leaves=3\nnum_cat=0\nsplit_feature={i % 3} {(i + 1) % 3}\nthreshold={20 + 9 * i}.5 {6 + i}.5\ndecision_type=2 2\nleft_child=1 -1\nright_child=-3 -2\nleaf_value={0.1 * i:.2f} {-0.05 * i:.2f} {0.3 - 0.1 * i:.2f}\nis_linear=0\n")
+_SIX = ["need", "balls_left", "wickets_left", "required_rate", "current_rate", "venue_rate"]
+_TREES, _CLASSES = 585, 9
+
+
+def synthetic_model(trees: int = _TREES, classes: int = _CLASSES) -> str:
+    """A model of full trees with eight leaves in the text format, its numbers by rule."""
+    out = [f"tree\nversion=v3\nnum_class={classes}\nfeature_names={' '.join(_SIX)}\n"]
+    for t in range(trees):
+        line = lambda name, values: f"{name}={' '.join(map(str, values))}\n"
+        out.append(f"\nTree={t}\nnum_leaves=8\nnum_cat=0\n" + line("split_feature", [(t + j) % 6 for j in range(7)]) + line("threshold", [(t * 7 + j * 13) % 97 / 4 for j in range(7)]) + line("decision_type", [2] * 7)
+                   + line("left_child", [1, 3, 5, -1, -3, -5, -7]) + line("right_child", [2, 4, 6, -2, -4, -6, -8]) + line("leaf_value", [((t * 31 + i * 17) % 101 - 50) / 1000 for i in range(8)]) + "is_linear=0\n")
     return "".join(out)
 
 
-@query("M1_M2_M3_S18_ensemble")
+def _ensemble_sql() -> str:
+    """Every row goes down every tree: a node's children are 2 j + 1 and 2 j + 2, leaves follow the seven inner nodes."""
+    goes = lambda j: f"2 * ({j}) + CASE WHEN v[((t + ({j})) % 6 + 1)::INT] <= ((t * 7 + ({j}) * 13) % 97) / 4.0::DOUBLE THEN 1 ELSE 2 END"
+    return f"""WITH m AS (SELECT delivery_id, [{', '.join(f'{c}::DOUBLE' for c in _SIX)}] AS v FROM ({QUERIES["E3_S12_win_matrix"][1]}) w), r AS (SELECT delivery_id, v, t FROM m, range({_TREES}) r(t)),
+ a AS (SELECT *, {goes("0")} AS j FROM r), b AS (SELECT delivery_id, v, t, {goes("j")} AS j FROM a), c AS (SELECT delivery_id, t, {goes("j")} - 7 AS leaf FROM b),
+ s AS (SELECT delivery_id, (t % {_CLASSES})::INT AS k, sum(((t * 31 + leaf * 17) % 101 - 50) / 1000.0::DOUBLE) / 1.1::DOUBLE AS z FROM c GROUP BY ALL)
+ SELECT delivery_id, k AS outcome, round(exp(z) / sum(exp(z)) OVER (PARTITION BY delivery_id), 9) AS p FROM s"""
+
+
+@query("M1_M2_M3_S18_ensemble", _ensemble_sql())
 def ensemble(s: SparkSession, d: str) -> DataFrame:
     from seamline.plans.registry import win_matrix
 
     ship(s)
-    model = mo.parse_ensemble(synthetic_model(), ["need", "balls_left", "wickets_left"])
-    df = mo.score(win_matrix(s, d), model, 1.1)
-    return df.select("delivery_id", *[F.round(F.get("p", F.lit(i)), 9).alias(f"p{i}") for i in range(3)])
+    df = mo.score(win_matrix(s, d), mo.parse_ensemble(synthetic_model(), _SIX), 1.1)
+    return df.select("delivery_id", F.posexplode("p").alias("outcome", "p")).withColumn("p", F.round("p", 9))
+
+
+@query("M2_relational_walk", _ensemble_sql())
+def relational_walk(s: SparkSession, d: str) -> DataFrame:
+    """The same probabilities from the trees as a table."""
+    from pyspark.sql import Window as W
+
+    from seamline.plans.registry import win_matrix
+
+    z = mo.walked(win_matrix(s, d), "delivery_id", mo.parse_ensemble(synthetic_model(), _SIX)).withColumn("e", F.exp(F.col("margin") / 1.1))
+    return z.select("delivery_id", F.col("output").alias("outcome"), F.round(F.col("e") / F.sum("e").over(W.partitionBy("delivery_id")), 9).alias("p"))
 
 
 @query("S15_cached_pages", r"SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1), '') AS title, length(html)::INT AS n FROM pages WHERE html IS NOT NULL")

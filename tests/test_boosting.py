@@ -131,3 +131,15 @@ def test_odd_tables(spark):
     assert len(got.trees) == 2 and all(f != 2 for r in got.trees for t in r for f in t.feature)
     with pytest.raises(ValueError, match="labels"):
         bo.train(df.withColumn("label", F.lit(7)), NAMES)
+
+
+def test_walked_as_a_table(spark):
+    x, y, w = made(300, 4, 7)
+    df = table(spark, x, y, w).withColumn("i", F.monotonically_increasing_id())
+    fitted = bo.train(df, NAMES, options=bo.Options(classes=4, rounds=3, depth=4, rate=0.5, bins=16, least=3))
+    fitted.model.trees[5] = {"feature": np.array([], int), "threshold": np.array([]), "left": np.array([], int), "right": np.array([], int), "default_left": np.array([], bool), "leaf": np.array([0.25])}
+    rows = df.orderBy("i").collect()
+    want = fitted.model.margins(np.array([[np.nan if r[c] is None else r[c] for c in NAMES] for r in rows]))
+    got = {(r.i, r.output): r.margin for r in mo.walked(df, "i", fitted.model).collect()}
+    assert len(got) == 4 * len(rows)
+    np.testing.assert_allclose([[got[r.i, k] for k in range(4)] for r in rows], want, atol=1e-9)

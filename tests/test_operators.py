@@ -224,18 +224,18 @@ def test_judge(spark):
 def test_ensemble_matches_a_plain_walk(spark):
     text = synthetic_model()
     m = mo.parse_ensemble(text)
-    x = np.random.default_rng(0).uniform(0, 80, (200, 3))
+    x = np.random.default_rng(0).uniform(0, 25, (60, 6))
     x[0, 0] = np.nan
-    want = np.zeros((200, 3))
-    for r in range(200):
+    want = np.zeros((60, 9))
+    for r in range(60):
         for i, t in enumerate(m.trees):
             n = 0
             while n >= 0:
                 v = x[r, t["feature"][n]]
                 n = t["left"][n] if (t["default_left"][n] if np.isnan(v) else v <= t["threshold"][n]) else t["right"][n]
-            want[r, i % 3] += t["leaf"][-n - 1]
+            want[r, i % 9] += t["leaf"][-n - 1]
     assert np.allclose(m.margins(x), want)
-    for broken in (text.replace("num_cat=0", "num_cat=1", 1), text.replace("num_leaves=3", "num_leaves=4", 1), text.replace("num_class=3", "num_class=4")):
+    for broken in (text.replace("num_cat=0", "num_cat=1", 1), text.replace("num_leaves=8", "num_leaves=9", 1), text.replace("num_class=9", "num_class=4")):
         with pytest.raises(ValueError):
             mo.parse_ensemble(broken)
     with pytest.raises(ValueError):
