@@ -69,6 +69,13 @@ def parse_range(text: str, lowest: int = 1, highest: int = 20) -> tuple[int, int
     return lo - 1, hi - 1
 
 
+def range_of(text: Column, lowest: int = 1, highest: int = 20) -> tuple[Column, Column]:
+    """``parse_range`` of a column: (first, last) counted from 0, nulls where it would be an error."""
+    lo, hi = (F.nullif(F.regexp_extract(text, r"^\s*([0-9]{1,9})\s*-\s*([0-9]{1,9})\s*$", i), F.lit("")).cast("int") for i in (1, 2))
+    right = (lo >= lowest) & (lo <= hi) & (hi <= highest)
+    return F.when(right, lo - 1), F.when(right, hi - 1)
+
+
 def _count(c: Column | str, name: str) -> Column:
     return F.count_if(F.expr(c) if isinstance(c, str) else c).alias(name)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import ball
 from seamline.functions import text as tx
+from seamline.operators import aggregate as ag
 from seamline.operators import boosting as bo
 from seamline.operators import models as mo
 from seamline.operators import rates as ra
@@ -19,7 +20,7 @@ from seamline.operators.scan import in_order, numbered
 from seamline.plans import views as v
 from seamline.plans.registry import QUERIES, _COUNTS, _POOL, _STATS, E, L, _counts, _pool, ex, lx, query
 from seamline.session import scratch, ship, written
-from seamline.sources import ingest, remote
+from seamline.sources import ingest, loader, remote
 
 
 def _rows(s: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -290,6 +291,29 @@ def _wiki_sql(x: str) -> str:
     return f"trim({x}, ' ')"
 
 
+@query("S13_S14_load_report", E("""
+, q AS (SELECT unnest([{'key': 'deliveries', 'kind': 'count', 'value': (SELECT count(*) FROM d)::DOUBLE}, {'key': 'legal', 'kind': 'count', 'value': (SELECT count(*) FROM d WHERE wides = 0 AND noballs = 0)::DOUBLE}, {'key': 'wickets', 'kind': 'count', 'value': (SELECT count(wicket) FROM d)::DOUBLE},
+   {'key': 'matches', 'kind': 'count', 'value': (SELECT count(DISTINCT match_id) FROM d)::DOUBLE}, {'key': 'unresolved', 'kind': 'fault', 'value': 0.0::DOUBLE}, {'key': 'city', 'kind': 'coverage', 'value': 0.0::DOUBLE}, {'key': 'venue', 'kind': 'coverage', 'value': 1.0::DOUBLE}, {'key': 'toss', 'kind': 'coverage', 'value': 0.0::DOUBLE}, {'key': 'winner', 'kind': 'coverage', 'value': 0.0::DOUBLE}]) AS x)
+ SELECT x.key AS key, x.kind AS kind, x.value AS value, concat('| ', x.key, ' | ', x.kind, ' | ', x.value, ' |') AS line FROM q"""))
+def load_report(s: SparkSession, d: str) -> DataFrame:
+    """A whole load through its gate, then both of its reports read back."""
+    root = scratch(s)
+    x = v.ordered(s, d)
+    _documents(x).write.partitionBy("day").text(f"{root}/matches.json")
+    everyone = x.select(F.explode(F.array("batter", "bowler", "non_striker")).alias("p")).distinct()
+    everyone.select(F.concat(F.lit("id"), F.col("p").cast("string")).alias("identifier"), F.concat(F.lit("N"), F.col("p").cast("string")).alias("unique_name")).write.option("header", True).csv(f"{root}/register")
+    loader.load(s, root, f"{root}/register", f"{root}/out")
+    lines = s.read.text(f"{root}/out/quality.md").select(F.col("value").alias("line"), F.get(F.split("value", r"\|"), F.lit(1)).alias("cell"))
+    return loader.read_report(s, f"{root}/out/quality.json").join(lines, F.col("key") == F.trim("cell")).select("key", "kind", "value", "line")
+
+
+@query("P11_ranges", r"WITH t AS (SELECT l_orderkey::BIGINT AS k, l_linenumber::INT AS n, concat(CASE l_linenumber WHEN 7 THEN ' ' ELSE '' END, l_linenumber * 3 - 2, CASE l_suppkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '--' ELSE '-' END, l_quantity::INT) AS spec, l_linenumber * 3 - 2 AS lo, l_quantity::INT AS hi, l_suppkey % 5 > 1 AS dash FROM lineitem) SELECT k, n, spec, CASE WHEN dash AND lo >= 1 AND lo <= hi AND hi <= 20 THEN (lo - 1)::INT END AS first, CASE WHEN dash AND lo >= 1 AND lo <= hi AND hi <= 20 THEN hi - 1 END AS last FROM t")
+def ranges(s: SparkSession, d: str) -> DataFrame:
+    t = v.table(s, d, "lineitem").selectExpr("cast(l_orderkey as bigint) AS k", "cast(l_linenumber as int) AS n", "concat(CASE l_linenumber WHEN 7 THEN ' ' ELSE '' END, cast(l_linenumber * 3 - 2 as string), CASE l_suppkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '--' ELSE '-' END, cast(cast(l_quantity as int) as string)) AS spec")
+    first, last = ag.range_of(F.col("spec"))
+    return t.select("k", "n", "spec", first.alias("first"), last.alias("last"))
+
+
 _WIKI_HEAD = "[[Right-arm fast|fast bowler]] <ref>x</ref> QQQbQQQ <!-- c\n--> {{flag|X}} [[Y]]<br/>z <ref name=a/> ".replace("Q", "'")
 _WIKI = "concat('" + _WIKI_HEAD.replace("'", "''") + "', html)"
 

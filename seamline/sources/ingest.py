@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from seamline.functions import ball
 from seamline.operators.scan import numbered
+from seamline.session import opened
 
 #: The documents' fields, fixed by their format.
 MATCH = (
@@ -171,14 +174,23 @@ def _few(rows: DataFrame, most: int) -> list:
 def write_document(rows: DataFrame, path: str, most: int = 10_000, **more) -> None:
     """A small report as indented JSON: its rows, at most ``most``, under ``rows``."""
     got = [r.asDict(recursive=True) for r in _few(rows, most)]
-    with open(path, "w") as f:
-        json.dump(more | {"rows": got}, f, indent=2, default=str)
-        f.write("\n")
+    write_text(path, json.dumps(more | {"rows": got}, indent=2, default=str) + "\n")
+
+
+def write_text(path: str, text: str) -> None:
+    """A small file on the file system of its path, under its name only once it is whole."""
+    files, at = opened(path)
+    files.create_dir(os.path.dirname(at), recursive=True)
+    own = f"{at}.{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as f:
+        f.write(text.encode())
+    files.move(own, at)
 
 
 def read_document(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
+    files, at = opened(path)
+    with files.open_input_file(at) as f:
+        return json.loads(f.read())
 
 
 def markdown_table(rows: DataFrame, title: str, most: int = 1000) -> str:

@@ -31,16 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seamline.operators.scan import numbered
-from seamline.session import scratch, ship
+from seamline.session import opened, scratch, ship
 
 SCHEMA = "request array<string>, body string, cached boolean"
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI (or local path), and the path there."""
-    return fs.FileSystem.from_uri(uri) if uri.split("/")[0].endswith(":") else (fs.LocalFileSystem(), uri)
-
-
 def entry(kind: str, request: list[str]) -> str:
     """The name of a request's answer in the cache; no two lists of keys share one."""
     return f"{kind}_{hashlib.sha256(''.join(f'{len(k)}:{k}' for k in request).encode()).hexdigest()}.json"

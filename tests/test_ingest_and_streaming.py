@@ -106,3 +106,35 @@ def test_absent_attributes_are_empty_and_other_faults_are_not(spark, tmp_path):
     assert ingest.load_attributes(spark, f"file:{tmp_path}/some.csv").count() == 1
     with pytest.raises(Exception, match="[Ff]ile ?[Ss]ystem|scheme"):
         ingest.load_attributes(spark, "nosuch://host/none.csv")
+
+
+def test_a_load_passes_its_gate_or_leaves_what_was_published(spark, tmp_path):
+    from seamline.sources import loader
+
+    def match(day, balls, city):
+        ball = {"batter": "A", "bowler": "B", "non_striker": "C", "runs": {"batter": 1}}
+        info = {"dates": [day], "teams": ["X", "Y"], "venue": "V", "registry": {"people": {"A": "a", "B": "b", "C": "c"}}} | ({"city": "Z"} if city else {})
+        return json.dumps({"info": info, "innings": [{"team": "X", "overs": [{"over": 0, "deliveries": [ball] * balls}]}]})
+
+    folder, out = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    (folder / "1.json").write_text(match("2020-01-01", 6, True))
+    (folder / "2.json").write_text(match("2020-01-02", 5, True))
+    (tmp_path / "register.csv").write_text("identifier,unique_name\na,Ann\nb,Bo\n")
+    report = loader.load(spark, str(folder), str(tmp_path / "register.csv"), out)
+    assert {r.key: r.value for r in report.collect()} == {"deliveries": 11, "legal": 11, "wickets": 0, "unresolved": 0, "matches": 2, "city": 1, "venue": 1, "toss": 0, "winner": 0}
+    facts, players = loader.published(spark, out)
+    assert facts.count() == 11 and {r.name for r in players.collect()} == {"Ann", "Bo", "C"}
+    (tmp_path / "old.json").write_text((tmp_path / "out" / "quality.json").read_text())
+    (folder / "2.json").write_text(match("2020-01-02", 4, False))
+    with pytest.raises(loader.QualityError, match="city: coverage fell.*deliveries: fewer"):
+        loader.load(spark, str(folder), str(tmp_path / "register.csv"), out, baseline=str(tmp_path / "old.json"))
+    assert loader.published(spark, out)[0].count() == 11  # as before
+    (folder / "2.json").write_text(match("2020-01-02", 7, True))
+    loader.load(spark, str(folder), str(tmp_path / "register.csv"), out, baseline=str(tmp_path / "old.json"))
+    assert loader.published(spark, out)[0].count() == 13
+    assert "| deliveries | count | 13.0 |" in (tmp_path / "out" / "quality.md").read_text()
+    (folder / "3.json").write_text("{broken")
+    with pytest.raises(Exception, match="[Mm]alformed|FAILFAST"):
+        loader.load(spark, str(folder), str(tmp_path / "register.csv"), out)
+    assert loader.published(spark, out)[0].count() == 13

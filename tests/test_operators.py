@@ -253,3 +253,14 @@ def test_temperature_and_keys(spark):
     sure = df.withColumn("y", F.expr("cast(array_position(m, array_max(m)) - 1 as int)"))
     assert mo.fit_temperature(sure, "m", "y") == pytest.approx(math.exp(-2)) and mo.fit_temperature(df.where("y > 99"), "m", "y") == 1
     assert ra.affordable([9, 9, 3], 2, 8) == [5, 5, 3]
+
+
+def test_ranges_of_a_column_are_those_of_the_parser(spark):
+    texts = ["15-19", "3-3", "0-5", "5-4", "19-21", "7", "", None, " 1 - 20 ", "1--2", "a-b", "-1-3", "1-2-3", "999999999999-2", "1-20"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[c.alias(n) for c, n in zip(ag.range_of(F.col("t")), ("lo", "hi"), strict=True)]).collect()
+    for r in got:
+        try:
+            want = ag.parse_range(r.t or "")
+        except ValueError:
+            want = (None, None)
+        assert (r.lo, r.hi) == want, r.t
