@@ -138,12 +138,15 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 + r * (-1 / 360 + r * (1 / 1260 + r * (-1 / 1680 + r / 1188)))) / y - F.log(product)
 
 
-def digamma(x: Column) -> Column:
-    """The derivative of log-gamma, likewise."""
-    y = x + _SHIFT
-    less = sum((1 / (x + i) for i in range(1, _SHIFT)), 1 / x)
-    r = 1 / (y * y)
-    return F.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))) - less
+def digamma_rise(a: Column, n: Column) -> Column:
+    """The sum of 1 / (a + j) for j below n: the derivative of log-gamma at a + n less that at a.
+
+    Each part of the series is a difference of its own, so that little is lost where n is far below a.
+    """
+    y, z = a + _SHIFT, a + n + _SHIFT
+    below = sum((n / ((a + i) * (a + n + i)) for i in range(1, _SHIFT)), n / (a * (a + n)))
+    series = lambda r: r * r * (-1 / 120 + r * (1 / 252 + r * (-1 / 240 + r / 132)))
+    return F.log1p(n / y) + n / (2 * y * z) + n * (y + z) / (12 * y * y * z * z) + below - (series(1 / (z * z)) - series(1 / (y * y)))
 
 
 def log_marginal(sizes: DataFrame, stats: DataFrame, kappas: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ def marginal_slope(sizes: DataFrame, kappas: DataFrame) -> DataFrame:
     t = sizes.join(F.broadcast(kappas), "cell")
     share = F.when(F.col("outcome") == -1, F.lit(1.0)).otherwise(F.col("prior"))
     a = F.col("kappa") * share
-    term = F.when(a > 0, share * (digamma(F.col("n") + a) - digamma(a))).otherwise(0.0)
+    term = F.when(a > 0, share * digamma_rise(a, F.col("n").cast("double"))).otherwise(0.0)
     return t.groupBy("cell", "i").agg(F.sum(F.when(F.col("outcome") == -1, -term).otherwise(term) * F.col("players")).alias("slope"))
 
 
