@@ -20,12 +20,24 @@ def cell_counts(x: DataFrame, bat_attr: DataFrame, bowl_attr: DataFrame) -> Data
 
     Role 0 is the bowler against right or left hand, role 1 the batter against pace or spin.
     """
+    long = _sides(x, bat_attr, bowl_attr)
+    return long.groupBy("c.cell", "c.player", "season", "outcome").agg(F.count("*").alias("n"), F.sum(F.col("total").cast("bigint")).alias("runs")).where("player IS NOT NULL")
+
+
+def _sides(x: DataFrame, bat_attr: DataFrame, bowl_attr: DataFrame) -> DataFrame:
+    """(season, outcome, total, c): a row a ball and side that it counts for."""
     x = x.where(~F.col("super_over")).join(bat_attr.withColumnRenamed("player", "batter"), "batter", "left").join(bowl_attr.withColumnRenamed("player", "bowler"), "bowler", "left")
     p = ball.phase_no()
     bowl = F.when(F.col("hand").isNotNull(), F.struct(ball.cell(F.lit(0), p, (F.col("hand") == "LHB").cast("int")).alias("cell"), F.col("bowler").alias("player")))
     bat = F.when(F.col("bowl_class").isNotNull(), F.struct(ball.cell(F.lit(1), p, ball.is_spin(F.col("bowl_class")).cast("int")).alias("cell"), F.col("batter").alias("player")))
-    long = x.select("season", "outcome", "total", F.explode(F.array_compact(F.array(bowl, bat))).alias("c"))
-    return long.groupBy("c.cell", "c.player", "season", "outcome").agg(F.count("*").alias("n"), F.sum(F.col("total").cast("bigint")).alias("runs")).where("player IS NOT NULL")
+    return x.select("season", "outcome", "total", F.explode(F.array_compact(F.array(bowl, bat))).alias("c"))
+
+
+def player_counts(x: DataFrame, bat_attr: DataFrame, bowl_attr: DataFrame) -> DataFrame:
+    """(cell, player, total, n, runs): ``by_player`` of all seasons with runs by outcome, from one scan and one shuffle; written, it serves priors and rates alike."""
+    n = [F.count_if(F.col("outcome") == k) for k in OUT]
+    runs = [F.coalesce(F.sum(F.when(F.col("outcome") == k, F.col("total").cast("bigint"))), F.lit(0)) for k in OUT]
+    return _sides(x, bat_attr, bowl_attr).groupBy("c.cell", "c.player").agg(F.count("*").alias("total"), F.array(*n).alias("n"), F.array(*runs).alias("runs")).where("player IS NOT NULL")
 
 
 def nominal(spark) -> DataFrame:
@@ -45,6 +57,13 @@ def cell_stats(counts: DataFrame) -> DataFrame:
     return g.select("cell", "outcome", num.alias("n"), F.coalesce("players", F.lit(0)).alias("players"), F.coalesce("deliveries", F.lit(0)).alias("deliveries"), prior.alias("prior"), mean.alias("mean_runs"))
 
 
+def stats_of_players(players: DataFrame) -> DataFrame:
+    """``cell_stats`` from ``player_counts``."""
+    k = F.posexplode(F.arrays_zip("n", "runs")).alias("outcome", "z")
+    counts = players.select("cell", "player", k).select("cell", "player", "outcome", "z.n", "z.runs").where("n > 0")
+    return cell_stats(counts)
+
+
 def shrink(n: Column, total: Column, prior: Column, kappa: Column) -> Column:
     """(n + kappa * prior) / (total + kappa); the prior itself where that is 0 / 0."""
     return F.coalesce(F.try_divide(n + kappa * prior, total + kappa), prior)
@@ -84,14 +103,14 @@ def cell_rates(post: DataFrame) -> DataFrame:
     return g.select("cell", "player", "total", F.round("weight", 6).alias("weight"), F.round("xr", 6).alias("expected_runs"), F.round(legal, 6).alias("legal_share"), F.round(F.coalesce(F.try_divide(F.col("xr") * 6, legal), F.lit(0.0)), 6).alias("economy"), F.round(F.coalesce(F.try_divide(F.col("xr") * 100, legal), F.lit(0.0)), 6).alias("strike_rate"), F.round(F.coalesce(F.try_divide(legal, F.col("w")), F.lit(0.0)), 6).alias("balls_per_wicket"))
 
 
-def phase_rates(counts: DataFrame, stats: DataFrame, kappas: DataFrame) -> DataFrame:
-    """Rates of (player, role, phase): its two opposition cells weighted by deliveries, empty ones left out; raw and shrunk."""
+def phase_rates(players: DataFrame, stats: DataFrame, kappas: DataFrame) -> DataFrame:
+    """Rates of (player, role, phase) from ``by_player`` or ``player_counts``: its two opposition cells weighted by deliveries, empty ones left out; raw and shrunk."""
     role, phase, _ = ball.uncell(F.col("cell"))
     n, prior, mean = (lambda k, c=c: F.element_at(c, k + 1) for c in ("n", "prior", "mean_runs"))
     raw = lambda k: F.try_divide(n(k).cast("double"), F.col("total").cast("double"))
     post = lambda k: shrink(n(k), F.col("total"), prior(k), F.col("kappa"))
     total = lambda f, outcomes: sum((f(k) for k in outcomes), F.lit(0.0))
-    c = by_player(counts).where("total > 0").join(_by_cell(stats, kappas), "cell").select(
+    c = players.where("total > 0").join(_by_cell(stats, kappas), "cell").select(
         "player", role.alias("role"), phase.alias("phase"), "total", shrinkage_weight(F.col("total"), F.col("kappa")).alias("weight"),
         total(lambda k: post(k) * mean(k), OUT).alias("xr"), total(lambda k: raw(k) * mean(k), OUT).alias("rr"), total(post, [7, 8]).alias("xi"), total(raw, [7, 8]).alias("ri"),
     )

@@ -18,7 +18,7 @@ from seamline.operators import rates as ra
 from seamline.operators import results as re_
 from seamline.operators import windows as wi
 from seamline.plans import views as v
-from seamline.session import ship
+from seamline.session import ship, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -251,8 +251,8 @@ def _kappa(s: SparkSession, k: float = 150.0) -> DataFrame:
 
 
 def _phase_rates(s: SparkSession, d: str) -> DataFrame:
-    c = _counts(s, d)
-    return ra.phase_rates(c, ra.cell_stats(c), _kappa(s))
+    players = written(ra.player_counts(lx(s, d), v.batting_attributes(s, d), v.bowling_attributes(s, d)), "players")
+    return ra.phase_rates(players, ra.stats_of_players(players), _kappa(s))
 
 
 def _post(s: SparkSession, d: str) -> DataFrame:

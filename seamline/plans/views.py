@@ -36,15 +36,10 @@ def materialise(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 
 def _state(spark: SparkSession, sf_dir: str) -> list[tuple]:
-    """Size and time of every file below the tables that the views read, as the file system of the path tells them."""
-    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
-    for name in ("lineitem", "orders", "customer", "supplier", "events"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        files = path.getFileSystem(conf).listFiles(path, True)
-        while files.hasNext():
-            f = files.next()
-            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return sorted(out)
+    """Size and time of the tables that the views read, as the file system of the path tells them; a folder's time changes with its files."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{{lineitem,orders,customer,supplier,events}}.parquet")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
