@@ -261,55 +261,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "doc_id long, tag long, n_shingles long, node binary, keys array<long>, sketch binary")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """A table for each run of rows that agree in key, bi and bj; the input is sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy() for k in range(3)]
-        new = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = last is not None and last != tuple(c[0] for c in cols)
-        cuts = np.flatnonzero(new)
-        for lo, hi in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
-            if held and new[lo]:
-                yield pa.Table.from_batches(held)
-                held = []
-            if hi > lo:
-                held.append(batch.slice(lo, hi - lo))
-        last = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-
-
-def _sets(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, n_shingles, node, keys, sketch) of every row; tag is a hash of the text, node is null for an empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, raw, off in tk.column_chunks(batch, "text", rows=ROWS_AT_ONCE):
-                x, cuts = shingle_sets(raw, off)
-                size = np.diff(cuts)
-                mh = minhashes(x, cuts)
-                node = pa.array(fingerprints(x, cuts), pa.binary(), mask=size == 0)
-                keys = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * BANDS, pa.array(band_keys(mh).ravel()))
-                sketch = pa.array([r.tobytes() for r in odd_sketches(mh)], pa.binary())
-                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in (0, 2)), pa.array(size.astype(np.int64)), node, keys, sketch], names=["doc_id", "tag", "n_shingles", "node", "keys", "sketch"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "doc_id long, tag long, n_shingles long, node binary, keys array<long>, sketch binary")
-
-
 def _sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) for the ``wanted`` (id, doc_id, node): a bitmap of bounded size passes few other rows, the join settles it."""
     slot = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << NEED_BITS))
