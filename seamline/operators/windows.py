@@ -64,11 +64,16 @@ def streaks(results: DataFrame, upto: str) -> DataFrame:
     return n.groupBy("player").agg(F.max(F.when(F.col("last") == F.to_date(F.lit(upto)), F.col("n")).otherwise(0)).alias("streak"))
 
 
-def contiguity(x: DataFrame) -> DataFrame:
-    """Innings whose deliveries do not lie together in delivery order: none in a sound table."""
+def placed_innings(x: DataFrame) -> DataFrame:
+    """(innings_id, lo, hi, n, gap, fault): first and last delivery of every innings, its deliveries, and the ids between it and the innings before (null for the first)."""
     runs = x.groupBy("innings_id").agg(F.min("delivery_id").alias("lo"), F.max("delivery_id").alias("hi"), F.count("*").alias("n"))
     placed = in_order(runs, "lo", "innings_id", lags=("hi",))
-    return placed.select("innings_id", "lo", "hi", "n", (F.col("lo") - F.col("last_hi") - 1).alias("gap")).where("gap != 0 OR hi - lo + 1 != n")
+    return placed.select("innings_id", "lo", "hi", "n", (F.col("lo") - F.col("last_hi") - 1).alias("gap")).withColumn("fault", F.expr("coalesce(gap, 0) != 0 OR hi - lo + 1 != n"))
+
+
+def contiguity(x: DataFrame) -> DataFrame:
+    """Innings whose deliveries do not lie together in delivery order: none in a sound table."""
+    return placed_innings(x).where("fault").drop("fault")
 
 
 def over_deltas(x: DataFrame, value: Column) -> DataFrame:

@@ -1,5 +1,6 @@
 """Global row numbers, running sums and previous values against plain Python, over many ranges."""
 
+import os
 import random
 
 import pytest
@@ -70,3 +71,23 @@ def test_plans_have_no_window_over_everything(spark, many, capsys):
     assert wi.contiguity(x).count() == 0
     gap = x.where("delivery_id NOT IN (250, 303)")  # the first and the middle one of an innings
     assert sorted((r.innings_id, r.gap) for r in wi.contiguity(gap).collect()) == [(50, 1), (60, 0)]
+
+
+def test_every_innings_is_reported_with_its_place(spark):
+    x = spark.createDataFrame([(i, i // 5) for i in range(50) if i not in (25, 33)], "delivery_id long, innings_id long")
+    got = {r.innings_id: tuple(r)[1:] for r in wi.placed_innings(x).collect()}
+    assert sorted(got) == list(range(10))
+    assert got[0] == (0, 4, 5, None, False)
+    assert got[5] == (26, 29, 4, 1, True)
+    assert got[6] == (30, 34, 4, 0, True)
+    assert got[7] == (35, 39, 5, 0, False)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_contiguity_query_has_a_row_an_innings(spark):
+    from seamline.plans.registry import QUERIES, ex
+
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["W9_contiguity"][0](spark, d)
+    assert {"innings_id", "lo", "hi", "n", "gap"} <= set(got.columns)
+    assert got.count() == ex(spark, d).select("innings_id").distinct().count() > 1
