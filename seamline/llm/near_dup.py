@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import textkit as tk
-from seamline.llm.components import connected
+from seamline.llm.components import connected, relabelled
 from seamline.llm.shared import fresh_names, written
 
 SHINGLE = 5
@@ -387,10 +387,11 @@ def _meetings(groups: DataFrame, column: str, judge) -> DataFrame:
     return groups.select(*cols, "own", "id", "label", column).repartition(*cols).sortWithinPartitions(*cols).mapInArrow(each, "a long, b long")
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label) of every node."""
-    found = connected(links).withColumnRenamed("node", "id")
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+def _labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, label) of every node, with the labels joined that ``links`` (a, b) between nodes join."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return relabelled(labels, connected(between))
 
 
 def components(docs: DataFrame, percent: int) -> DataFrame:
@@ -405,15 +406,15 @@ def components(docs: DataFrame, percent: int) -> DataFrame:
     buckets = written(keyed.join(shared, "key"), "buckets")
 
     # rounds of one candidate a node; what has linked is one label from then on
-    labels, links, sets, now = nodes.select("id", F.col("id").alias("label")), None, None, buckets.withColumn("label", F.col("id"))
+    labels, sets, now = nodes.select("id", F.col("id").alias("label")), None, buckets.withColumn("label", F.col("id"))
     for turn in range(PIVOT_ROUNDS):
         near = _pivots(now, turn).join(_side(nodes, "a", "sketch", "sa"), "a").join(_side(nodes, "b", "sketch", "sb"), "b")
         near = written(_alike(near, limit), "near")
         sets = _with_sets(docs, nodes, near.select(F.col("a").alias("id")).union(near.select("b")), sets)
         found = near.join(_side(sets, "a", "shingles", "xa"), "a").join(_side(sets, "b", "shingles", "xb"), "b")
         found = written(_linked(found, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = written(_labels(nodes, links), "labels")
+        # only labels that differ still meet, so each round has its own links
+        labels = written(_labels(labels, found) if turn else relabelled(labels, connected(found)), "labels")
         now = written(buckets.join(labels, "id"), "labelled")
 
     # what still has several labels in a bucket meets in blocks: first by sketches, then, where those join labels, by full sets
@@ -423,8 +424,7 @@ def components(docs: DataFrame, percent: int) -> DataFrame:
     active = written(labels.join(cluster, "label").join(nodes.select("id", "n_shingles"), "id"), "active")
     sets = _with_sets(docs, nodes, active.select("id"), sets)
     more = _meetings(_across(active).join(sets, "id"), "shingles", lambda column: _BySet(column, percent))
-    merged = connected(written(more, "links"))
-    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("merged")), "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
+    final = relabelled(labels, connected(written(more, "links")))
 
     labelled = written(nodes.select("id", "node", "doc_id").join(final, "id"), "final")
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
