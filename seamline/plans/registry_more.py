@@ -665,7 +665,7 @@ def _fitted(s: SparkSession, d: str) -> tuple[DataFrame, bo.Fitted]:
     from seamline.plans.registry import win_matrix
 
     ship(s)
-    m = season_split(win_matrix(s, d), 1).withColumn("w", mo.recency_weight(F.col("season"))).withColumn("held", F.col("split") == "test")
+    m = season_split(written(win_matrix(s, d), "features"), 1).withColumn("w", mo.recency_weight(F.col("season"))).withColumn("held", F.col("split") == "test")
     return m, bo.train(m, _WIN, weight="w", held_out="held", options=bo.Options(rounds=12, depth=3, rate=0.3, least=20, monotone=_WIN_SIGNS, patience=4))
 
 
@@ -695,7 +695,7 @@ def root_splits(s: SparkSession, d: str) -> DataFrame:
     from seamline.plans.registry import win_matrix
 
     ship(s)
-    m = win_matrix(s, d)
+    m = written(win_matrix(s, d), "features")
     # every value of these is a cut, so the best gain is that over all of them
     gains = [(f, round(bo.train(m, [f], options=bo.Options(rounds=1, depth=1, bins=200, least=20)).trees[0][0].gain[0], 3)) for f in ("balls_left", "wickets_left")]
     return _rows(s, gains, "feature string, gain double")
@@ -708,6 +708,7 @@ def outcome_model(s: SparkSession, d: str) -> DataFrame:
     from seamline.plans.registry import features
 
     ship(s)
-    m = season_split(features(s, d), 1).withColumn("held", F.col("split") == "test")
+    # written once: the split, the cuts and the bins each read them
+    m = season_split(written(features(s, d), "features"), 1).withColumn("held", F.col("split") == "test")
     fitted = bo.train(m, FEATURES, held_out="held", options=bo.Options(classes=9, rounds=5, depth=3, rate=0.3, least=50, bins=32))
     return _rows(s, [(i, round(x, 6), i == fitted.best) for i, x in enumerate(fitted.losses)], "round int, log_loss double, best boolean")

@@ -26,3 +26,18 @@ def test_tasks_grow_with_the_table(spark, monkeypatch, name):
 
 def test_small_tables_are_left_to_spark(spark):
     assert v.parts(spark, SF) is None
+
+
+@pytest.mark.parametrize("name", ["M4_outcome_model", "M4_train_win_model"])
+def test_models_are_trained_on_features_that_are_made_once(spark, monkeypatch, name):
+    class Stop(Exception):
+        pass
+
+    def train(df, *args, **kwargs):
+        assert not [f for f in df.inputFiles() if "events" in f]
+        assert df.count()
+        raise Stop
+
+    monkeypatch.setattr(registry_more.bo, "train", train)
+    with pytest.raises(Stop):
+        QUERIES[name][0](spark, SF)
