@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
-@pytest.mark.parametrize("name", ["B18_chase_rules", "A21_phase_rates"])
+@pytest.mark.parametrize("name", ["B18_chase_rules", "A21_phase_rates", "A3_volumes"])
 def test_tasks_grow_with_the_table(spark, monkeypatch, name):
     query = QUERIES[name][0]
     plain = sorted(map(tuple, query(spark, SF).collect()))
