@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ HASH_BYTES = 1 << 20
 #: Rows of logits worked on at once.
 ROW_BLOCK = 2048
 NEVER = (1 << 63) - 1
+START_BITS = 18
 #: Text of a training chunk, its lanes, and tokens of a lane at least; the weights are summed up in so many parts.
 TRAIN_BYTES, TRAIN_LANES, LANE_TOKENS, SUM_PARTS = 4 << 20, 512, 1024, 16
 
@@ -144,6 +146,22 @@ def step(net: Net, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, tuple]
     return new, (h, z, r, an, n)
 
 
+def _advance(x: np.ndarray, u: np.ndarray, h: np.ndarray, token: np.ndarray) -> None:
+    """``step`` on the states themselves, by weights whose gates z and r are negated; without what the backward pass needs."""
+    g, a = x.take(token, axis=1), np.matmul(h, u)
+    zr, n = g[:2], a[2]
+    zr += a[:2]
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    n *= zr[1]
+    n += g[2]
+    np.tanh(n, out=n)
+    h -= n
+    h *= zr[0]
+    h += n
+
+
 def _blocks(n: int) -> Iterator[slice]:
     """Row ranges whose logits fit a core's cache."""
     return (slice(lo, min(lo + ROW_BLOCK, n)) for lo in range(0, n, ROW_BLOCK))
@@ -354,19 +372,25 @@ def score_texts(net: Net, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     start, size = first[:-1][order], size[order]
     out = np.zeros(len(order))
     h = np.zeros((len(order), net.hidden), np.float32)
+    x, u = net.x.copy(), net.u.copy()
+    np.negative(x[:2], out=x[:2])
+    np.negative(u[:2], out=u[:2])
     t0, end = 0, int(size[0]) if len(size) else 0
     while t0 < end:
         width = int(np.clip(WINDOW_TOKENS // np.searchsorted(-size, -t0, "left"), WINDOW_LEAST, WINDOW_MOST))
-        states, tokens, rows = [], [], []
-        for t in range(t0, min(t0 + width, end)):
-            live = int(np.searchsorted(-size, -t, "left"))  # texts longer than t
-            tok = ids[start[:live] + t]
-            states.append(h[:live].copy())
-            tokens.append(tok)
-            rows.append(np.arange(live))
-            h[:live] = step(net, h[:live], tok)[0]
-        lp = log_prob(net, np.concatenate(states), np.concatenate(tokens))
-        out += np.bincount(np.concatenate(rows), lp, len(out))
+        t = np.arange(t0, min(t0 + width, end))
+        live = np.searchsorted(-size, -t, "left")  # texts longer than t
+        cuts = np.r_[0, np.cumsum(live)]
+        rows = np.arange(cuts[-1]) - np.repeat(cuts[:-1], live)
+        tokens = ids[start[rows] + np.repeat(t, live)]
+        states = np.empty((len(rows), net.hidden), np.float32)
+        with np.errstate(over="ignore"):
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                now = h[: hi - lo]
+                states[lo:hi] = now
+                _advance(x, u, now, tokens[lo:hi])
+        lp = log_prob(net, states, tokens)
+        out += np.bincount(rows, lp, len(out))
         t0 += width
     back = np.empty(len(out))
     back[order] = out
@@ -389,11 +413,23 @@ class Model:
     def unknown(self) -> int:
         return self.net.size - 1
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where the hashes with each value of the first bits begin in ``known``: a few steps from there find any hash."""
+        return np.searchsorted(self.known, np.arange(1 << START_BITS, dtype=np.uint64) << np.uint64(64 - START_BITS))
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or -1 if not among the frequent tokens, network token)."""
         if not len(self.known):
             return np.full(len(h), -1), np.full(len(h), self.unknown, np.int32)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        last = len(self.known) - 1
+        at = np.minimum(self.starts[h >> np.uint64(64 - START_BITS)], last)
+        below = np.flatnonzero(self.known[at] < h)
+        while len(below):
+            at[below] += 1
+            below = below[at[below] <= last]
+            below = below[self.known[at[below]] < h[below]]
+        at = np.minimum(at, last)
         hit = self.known[at] == h
         return np.where(hit, self.count[at], -1), np.where(hit, self.token[at], self.unknown).astype(np.int32)
 

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,29 @@ def test_copies_score_alike_and_an_empty_table_gives_none(spark):
     counts = recurrent_lm.count_tokens(learned).cache()
     docs = learned.withColumn("doc_id", F.lit(1).cast("long")).limit(0)
     assert recurrent_lm.score(docs, recurrent_lm.fit(learned, counts), counts, ["doc_id"]).count() == 0
+
+
+def test_scoring_and_look_up_take_the_short_way_to_the_same_result(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = recurrent_lm.new_net(np.arange(90, 0, -1), per_class=8, hidden=16)
+    size = np.r_[rng.integers(1, 40, 60), 700]  # one text goes on alone
+    first = np.r_[0, np.cumsum(size)]
+    ids = rng.integers(0, 90, first[-1]).astype(np.int32)
+    want = []
+    for lo, hi in zip(first, first[1:], strict=False):
+        h, states = np.zeros((1, 16), np.float32), []
+        for t in ids[lo:hi]:
+            states.append(h)
+            h = recurrent_lm.step(net, h, np.array([t]))[0]
+        want.append(recurrent_lm.log_prob(net, np.concatenate(states), ids[lo:hi]).sum())
+    monkeypatch.setattr(recurrent_lm, "step", None)  # keeps what only learning needs
+    np.testing.assert_allclose(recurrent_lm.score_texts(net, ids, first), want, rtol=1e-5)
+
+    near = np.uint64(7 << 60) + np.arange(0, 300, 3, dtype=np.uint64)  # many that begin alike
+    known = np.unique(np.r_[near, rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.uint64(0), np.uint64((1 << 64) - 1)])
+    model = recurrent_lm.Model(net, known, np.arange(len(known)) + 1, np.arange(len(known)) % 90, 0, 0, 0, 0)
+    h = np.r_[known, near + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64)]
+    at = {int(k): i for i, k in enumerate(known)}
+    c, tok = model.look_up(h)
+    assert c.tolist() == [at.get(int(x), -2) + 1 for x in h]
+    assert tok.tolist() == [at[int(x)] % 90 if int(x) in at else model.unknown for x in h]
