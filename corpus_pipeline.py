@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from seamline.llm import decontaminate, lang_id, near_dup, pii, piece_codec
 from seamline.llm.registry import PII_KEY
-from seamline.llm.shared import fresh_names, ship, table, written
+from seamline.llm.shared import BATCH_BYTES, SMALL_BATCH, fresh_names, ship, table, written
 
 NEAR_PERCENT = 80
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package. Stages are written by whoever calls them, so the session itself gets batches that keep a task's Python small."""
+    ship(spark)
+    spark.conf.set(BATCH_BYTES, f"{SMALL_BATCH}b")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the identifier rejects; fills a missing ``lang``. With no labelled text, only texts without a letter go."""
-    ship(spark)
+    prepare(spark)
     names = fresh_names(docs.columns, "lang_pred", "score", "rejected")
     found = lang_id.identify(docs, lang_id.fit(docs), docs.columns, tuple(names)).where(~F.col(names[2]))
     named = F.when(F.col(names[0]) != lang_id.UNDETERMINED, F.col(names[0]))
@@ -23,13 +29,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group."""
-    ship(spark)
+    prepare(spark)
     return near_dup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,7 +47,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids, round_trip."""
-    ship(spark)
+    prepare(spark)
     return piece_codec.encode_column(docs, piece_codec.default_model(), ["doc_id", "lang", "source", "n_chars"])
 
 

@@ -68,9 +68,9 @@ def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h & mask, (h >> np.uint64(BITMAP_BITS)) & mask
 
 
-def _rows(h: np.ndarray, pos: np.ndarray, hashes: np.ndarray, spans: np.ndarray) -> list[pa.Array]:
-    words = [h[p : p + n].tobytes() for p, n in zip(pos, spans, strict=True)]
-    return [pa.array(hashes.view(np.int64)), pa.array(words, pa.binary())]
+def _rows(h: np.ndarray, pos: np.ndarray, hashes: np.ndarray, span: int) -> list[pa.Array]:
+    words = h[pos[:, None] + np.arange(span)].view(np.int64).ravel()
+    return [pa.array(hashes.view(np.int64)), pa.ListArray.from_arrays(np.arange(len(pos) + 1, dtype=np.int32) * span, pa.array(words))]
 
 
 def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -90,10 +90,16 @@ def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     sets.append((short, whole_hashes(w.hash, short, n), n))
                 for pos, hashes, n in sets:
                     d = doc[pos]
-                    cols = _rows(w.hash, pos, hashes, np.full(len(pos), n))
+                    cols = _rows(w.hash, pos, hashes, n)
                     yield pa.record_batch([*cols, ids.take(pa.array(d)), pa.array(pos - w.first[d]), pa.array(count[d].astype(np.int64))], names=names)
 
-    return benchmark.select("item_id", "text").mapInArrow(run, "h long, words binary, item_id long, item_pos long, item_words long")
+    return benchmark.select("item_id", "text").mapInArrow(run, "h long, words array<long>, item_id long, item_pos long, item_words long")
+
+
+def equal_words(x: Column, y: Column) -> Column:
+    """Positions at which windows of one length agree, 0 for other lengths; no Python, so that a task of this join has one worker."""
+    same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, hit: n + hit)
+    return F.when(F.size(x) == F.size(y), same).otherwise(F.lit(0))
 
 
 def longest_run(starts: Column, span: Column) -> Column:
@@ -148,29 +154,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, substitutions: int = SU
                     sets.append((at[ok], hashes[ok], n))
                 for pos, hashes, n in sets:
                     if len(pos):
-                        cols = _rows(w.hash, pos, hashes, np.full(len(pos), n))
+                        cols = _rows(w.hash, pos, hashes, n)
                         yield pa.record_batch([*cols, ids.take(pa.array(doc[pos])), pa.array(pos - w.first[doc[pos]])], names=["h", "doc_words", "doc_id", "doc_pos"])
 
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h long, doc_words binary, doc_id long, doc_pos long")
-
-    @F.pandas_udf("int")
-    def equal(x, y):
-        import pandas as pd
-
-        n = x.map(len).to_numpy()
-        same = n == y.map(len).to_numpy()
-        out = np.zeros(len(x), np.int32)
-        for size in np.unique(n[same]):
-            at = np.flatnonzero(same & (n == size))
-            p, q = (np.frombuffer(b"".join(c.iloc[at]), np.uint64).reshape(len(at), -1) for c in (x, y))
-            out[at] = (p == q).sum(axis=1)
-        return pd.Series(out)
+    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h long, doc_words array<long>, doc_id long, doc_pos long")
 
     joined = hits.join(F.broadcast(tests) if tests.count() <= BROADCAST_WINDOWS else tests, "h")
     size = F.least(F.col("item_words"), F.lit(SPAN))
     need = F.when(F.col("item_words") < SPAN, F.col("item_words")).otherwise(F.lit(SPAN - substitutions))
     # of a diagonal the positions that hit, an item's words at most, folded in each task before the shuffle
-    hit = joined.where(equal("doc_words", "words") >= need).groupBy("doc_id", "item_id", "item_words", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"))
+    hit = joined.where(equal_words(F.col("doc_words"), F.col("words")) >= need).groupBy("doc_id", "item_id", "item_words", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"))
     longest = hit.select("doc_id", "item_id", "item_words", longest_run(F.array_sort("at"), size).alias("run"))
     out = longest.groupBy("doc_id", "item_id", "item_words").agg(F.max("run").alias("overlap_words"))
     return out.select("doc_id", "item_id", "overlap_words", "item_words", (F.col("overlap_words") / F.col("item_words")).alias("coverage"))

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from seamline.llm import textkit as tk
 from seamline.llm.components import connected, relabelled
-from seamline.llm.shared import fresh_names, written
+from seamline.llm.shared import SMALL_BATCH, fresh_names
+from seamline.llm.shared import written as _written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -51,6 +52,10 @@ TASK_LABELS = 500_000  # that a task remembers
 NEED_BITS = 24  # of the bitmap of documents whose sets are needed: 2 MB at most
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    return _written(df, name, SMALL_BATCH)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, cuts): the sorted distinct shingles of text i are ``hashes[cuts[i]:cuts[i + 1]]``."""
     w = tk.Words(raw, offsets)

@@ -47,7 +47,7 @@ LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
 def _grown(name: str, base: int, n: int) -> np.ndarray:
     have = _powers[name]
     if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())  # chunks hold a power of two at most, so this seldom grows again
         step = np.full(size, base, U64)
         step[0] = 1
         with np.errstate(over="ignore"):
