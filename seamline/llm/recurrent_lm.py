@@ -232,17 +232,21 @@ def log_prob(net: Net, h: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _loss(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, m: int, dh: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Summed loss of the softmax of ``h @ w + b``, and the gradients of w and b over ``m``; that of h is added to ``dh``."""
-    loss, g_w, g_b = 0.0, np.zeros_like(w), np.zeros_like(b)
+    """Summed loss of the softmax of ``h @ w + b``, and the gradients of w and b over ``m``; that of h is added to ``dh``.
+
+    The exponentials stay as they are: what divides them is put on the states and on the gradient of h, which are narrower.
+    """
+    loss, g_w, g_b, back = 0.0, np.zeros_like(w), np.zeros_like(b), w.T
     for at in _blocks(len(h)):
         d, total, hit = _softmax_parts(h[at], w, b, target[at])
         loss += float((np.log(total) - hit).sum())
-        d /= total[:, None]
-        d[np.arange(len(d)), target[at]] -= 1
-        d /= m
-        g_w += h[at].T @ d
-        g_b += d.sum(axis=0)
-        dh[at] += d @ w.T
+        d[np.arange(len(d)), target[at]] -= total
+        share = 1 / (total * total.dtype.type(m))
+        g_w += (h[at] * share[:, None]).T @ d
+        g_b += share @ d
+        part = d @ back
+        part *= share[:, None]
+        dh[at] += part
     return loss, g_w, g_b
 
 
@@ -253,9 +257,9 @@ def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> t
     kind = net.u.dtype
     h, states, saved = h0, np.empty((steps, lanes, k), kind), []
     for t in range(steps):
-        if fresh[t].any():
-            h = np.where(fresh[t][:, None], kind.type(0), h)
         states[t] = h
+        h = states[t]
+        h[fresh[t]] = 0
         h, s = step(net, h, tokens[t])
         saved.append(s)
     flat, tok = states.reshape(-1, k), tokens.ravel()
@@ -271,33 +275,34 @@ def _grads(net: Net, h0: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> t
     dh_out = np.empty_like(dh_rows)
     dh_out[order] = dh_rows
     dh_out = dh_out.reshape(steps, lanes, k)
-    dgate, da = np.empty((3, steps, lanes, k), kind), np.empty((3, steps, lanes, k), kind)
+    # gradients of n, z and r as the input sees them, and of n as the state sees it
+    d = np.empty((4, steps, lanes, k), kind)
     dh, back = np.zeros((lanes, k), kind), np.ascontiguousarray(net.u.transpose(0, 2, 1))
     for t in reversed(range(steps)):
         hp, z, r, an, n = saved[t]
+        dn, dz, dr, da = d[:, t]
         keep = 1 - z
-        dz = np.multiply(dh, hp - n, out=dgate[0, t])
+        np.subtract(hp, n, out=dz)
+        dz *= dh
         dz *= z
         dz *= keep
-        dn = np.multiply(dh, keep, out=dgate[2, t])
+        np.multiply(dh, keep, out=dn)
         n *= n
         n *= dn
         dn -= n
-        dr = np.multiply(dn, an, out=dgate[1, t])
-        keep = np.multiply(r, r, out=keep)
-        np.subtract(r, keep, out=keep)
-        dr *= keep
-        da[:2, t] = dgate[:2, t]
-        np.multiply(dn, r, out=da[2, t])
+        np.multiply(dn, an, out=dr)
+        np.multiply(dn, r, out=da)
+        dr *= r
+        np.subtract(1, r, out=r)
+        dr *= r
         dh *= z
         dh += dh_out[t]
-        for gate in np.matmul(da[:, t], back):
+        for gate in np.matmul(d[1:, t], back):
             dh += gate
-        if fresh[t].any():
-            dh[fresh[t]] = 0
-    g_u = np.stack([flat.T @ d.reshape(-1, k) for d in da])
-    rows = np.concatenate([d.reshape(-1, k) for d in dgate], axis=1)
-    g_x = np.ascontiguousarray(_sum_by_token(net.size, tok, rows).reshape(net.size, 3, k).transpose(1, 0, 2))
+        dh[fresh[t]] = 0
+    g_u = np.stack([flat.T @ x.reshape(-1, k) for x in d[1:]])
+    rows = np.concatenate([x.reshape(-1, k) for x in d[:3]], axis=1)
+    g_x = np.ascontiguousarray(_sum_by_token(net.size, tok, rows).reshape(net.size, 3, k).transpose(1, 0, 2)[[1, 2, 0]])
     return loss / m, [g_x, g_u, g_wc, g_bc, g_wt, g_bt], h
 
 

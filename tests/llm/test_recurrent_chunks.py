@@ -77,3 +77,18 @@ def test_scoring_and_look_up_take_the_short_way_to_the_same_result(monkeypatch):
     c, tok = model.look_up(h)
     assert c.tolist() == [at.get(int(x), -2) + 1 for x in h]
     assert tok.tolist() == [at[int(x)] % 90 if int(x) in at else model.unknown for x in h]
+
+
+def test_gradients_of_the_softmax_are_those_of_its_definition():
+    rng = np.random.default_rng(8)
+    for scale in (1.0, 300.0):  # logits as they are, and shifted by their greatest
+        h, w, b = rng.normal(0, scale, (50, 6)), rng.normal(0, 1, (6, 9)), rng.normal(0, 1, 9)
+        target, dh = rng.integers(0, 9, 50), np.ones((50, 6))
+        a = h @ w + b
+        p = np.exp(a - a.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        want = (p - np.eye(9)[target]) / 40
+        _, g_w, g_b = recurrent_lm._loss(h, w, b, target, 40, dh)
+        np.testing.assert_allclose(g_w, h.T @ want, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(g_b, want.sum(axis=0), rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(dh, 1 + want @ w.T, rtol=1e-9, atol=1e-9)
