@@ -100,9 +100,9 @@ class _Source:
     def __init__(self, f, size: int):
         self.f, self.size, self.base, self.data = f, size, 0, b""
 
-    def at(self, pos: int) -> bytes:
-        """Some bytes from ``pos``; empty at the end of the file."""
-        if not self.base <= pos < self.base + len(self.data):
+    def at(self, pos: int, least: int = 1) -> bytes:
+        """Bytes from ``pos``, ``least`` of them or all that the file still has."""
+        if not self.base <= pos <= self.base + len(self.data) - least:
             self.f.seek(pos)
             self.base, self.data = pos, self.f.read(min(BLOCK, self.size - pos)) if pos < self.size else b""
         return self.data[pos - self.base :] if pos > self.base else self.data
@@ -136,9 +136,9 @@ def read_range(f, size: int, start: int, end: int) -> Iterator[Record]:
     """The records of an open file that start in ``[start, end)``."""
     src, pos = _Source(f, size), start
     while pos < min(end, size):
-        piece = src.at(pos)
+        piece = src.at(pos, len(MAGIC))  # a whole magic: it may lie across two blocks
         hit = piece.find(MAGIC)
-        if hit < 0:  # the magic may lie across two blocks
+        if hit < 0:
             pos += max(1, len(piece) - len(MAGIC) + 1)
             continue
         pos += hit

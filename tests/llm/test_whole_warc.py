@@ -1,3 +1,6 @@
+import io
+import random
+
 import pytest
 
 from seamline.llm import warc
@@ -15,3 +18,17 @@ def test_warc_records_are_counted(spark):
     manifest = warc.write_archives(warc.with_refers_to(pages))
     with pytest.raises(ValueError):
         warc.checked(warc.read_archives(manifest).limit(1), manifest)
+
+
+@pytest.mark.parametrize("before", range(5))
+def test_warc_record_that_starts_at_the_edge_of_a_block(monkeypatch, before):
+    rng = random.Random(3)
+    first = warc.record(0, "u", rng.randbytes(3000), None)
+    data = first + b"".join(warc.record(i, "u", rng.randbytes(rng.randint(0, 900)), None) for i in range(1, 40))
+    monkeypatch.setattr(warc, "BLOCK", len(first) + before)
+    chain = [r.headers["warc-record-id"] for r in warc.read_range(io.BytesIO(data), len(data), 0, len(data))]
+    assert chain == [warc._id(i) for i in range(40)]
+    # a range that starts inside the first record looks for the next one byte by byte
+    monkeypatch.setattr(warc, "BLOCK", len(first) - 100 + before)
+    scan = [r.headers["warc-record-id"] for r in warc.read_range(io.BytesIO(data), len(data), 100, len(data))]
+    assert scan == chain[1:]
